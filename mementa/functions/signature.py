@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 from mementa import constants as K
@@ -19,23 +21,31 @@ def aspect_q(width: Column | str, height: Column | str) -> Column:
     return F.when((w == 0) | (h == 0), F.lit(127)).otherwise(F.round(scaled.cast("double"), 0).cast("int"))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` over a value that is computed once, even where the optimizer merges projections."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def dhash256(luma: Column | str) -> Column:
     """256 difference bits as four longs (bit = left darker than right); NULL when flat."""
-    grid = _col(luma)
 
-    def word(w: Column) -> Column:
-        def bit(acc: Column, b: Column) -> Column:
-            index = w * 64 + b
-            # cell = row * 17 + column, with 16 comparisons per row
-            cell = F.floor(index / 16).cast("int") * GRID_WIDTH + F.pmod(index, F.lit(16))
-            darker = F.get(grid, cell) < F.get(grid, cell + 1)
-            return acc.bitwiseOR(F.when(darker, F.call_function("shiftleft", F.lit(1).cast("long"), b)).otherwise(F.lit(0).cast("long")))
+    def words(grid: Column) -> Column:
+        def word(w: Column) -> Column:
+            def bit(acc: Column, b: Column) -> Column:
+                # cell = row * 17 + column, with 16 comparisons per row
+                row = w * 4 + F.floor(b / 16).cast("int")
+                cell = row * GRID_WIDTH + F.pmod(b, F.lit(16))
+                darker = F.get(grid, cell) < F.get(grid, cell + 1)
+                set_bit = F.call_function("shiftleft", F.lit(1).cast("long"), b)
+                return acc.bitwiseOR(F.when(darker, set_bit).otherwise(F.lit(0).cast("long")))
+
+            return F.aggregate(F.sequence(F.lit(0), F.lit(63)), F.lit(0).cast("long"), bit)
 
-        return F.aggregate(F.sequence(F.lit(0), F.lit(63)), F.lit(0).cast("long"), bit)
+        detail = F.array_max(grid) - F.array_min(grid)
+        usable = (F.size(grid) == GRID_WIDTH * GRID_HEIGHT) & (detail >= K.LUMA_RANGE_MIN)
+        return F.when(usable, F.transform(F.sequence(F.lit(0), F.lit(3)), word))
 
-    detail = F.array_max(grid) - F.array_min(grid)
-    words = F.transform(F.sequence(F.lit(0), F.lit(3)), word)
-    return F.when((F.size(grid) == GRID_WIDTH * GRID_HEIGHT) & (detail >= K.LUMA_RANGE_MIN), words)
+    return let(_col(luma), words)
 
 
 def bits_text(words: Column | str) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from mementa import constants as K
 from mementa.functions import paths as P
 from mementa.functions import text as X
+from mementa.functions.signature import let
 from mementa.operators.common import dimension, prefix_sum
 from mementa.schemas import STRUCTURED_RECORD
 
@@ -31,7 +32,8 @@ def _ident(*parts: Column | str) -> Column:
     return F.concat_ws(":", *columns)
 
 
-NO_TEXT = F.lit(None).cast("string")
+def _no_text() -> Column:
+    return F.lit(None).cast("string")
 
 
 def status_rows(df: DataFrame, kind: str, status: str | Column) -> DataFrame:
@@ -39,7 +41,7 @@ def status_rows(df: DataFrame, kind: str, status: str | Column) -> DataFrame:
     return df.select(
         "backup_id",
         *_record(
-            kind, P.base_name("source_path"), NO_TEXT, status,
+            kind, P.base_name("source_path"), _no_text(), status,
             _ident(F.col("backup_id"), kind, F.col("source_path")),
         ),
     )
@@ -204,17 +206,24 @@ def call_elements(xml: Column | str) -> Column:
     tags = F.regexp_extract_all(visible, F.lit(CALL_ELEMENT), F.lit(0))
 
     def parse(tag: Column) -> Column:
-        names = F.regexp_extract_all(tag, F.lit(XML_ATTRIBUTE), F.lit(1))
-        values = F.regexp_extract_all(tag, F.lit(XML_ATTRIBUTE), F.lit(2))
+        attributes = F.struct(
+            F.regexp_extract_all(tag, F.lit(XML_ATTRIBUTE), F.lit(1)).alias("names"),
+            F.regexp_extract_all(tag, F.lit(XML_ATTRIBUTE), F.lit(2)).alias("values"),
+        )
+
+        def pick(found: Column) -> Column:
+            names, values = found["names"], found["values"]
+
+            def value(key: str) -> Column:
+                at = F.array_position(names, key)
+                quoted = F.get(values, (at - 1).cast("int"))
+                return F.when(at > 0, X.xml_unescape(F.substr(quoted, F.lit(2), F.length(quoted) - 2)))
 
-        def value(key: str) -> Column:
-            at = F.array_position(names, key)
-            quoted = F.get(values, (at - 1).cast("int"))
-            return F.when(at > 0, X.xml_unescape(F.substr(quoted, F.lit(2), F.length(quoted) - 2)))
+            title = F.coalesce(value("name"), value("number"), value("phoneNumber"), F.lit("Call log"))
+            subtitle = F.coalesce(value("date"), value("type"), value("duration"))
+            return F.struct(title.alias("title"), subtitle.alias("subtitle"))
 
-        title = F.coalesce(value("name"), value("number"), value("phoneNumber"), F.lit("Call log"))
-        subtitle = F.coalesce(value("date"), value("type"), value("duration"))
-        return F.struct(title.alias("title"), subtitle.alias("subtitle"))
+        return let(attributes, pick)
 
     return F.transform(tags, parse)
 
@@ -348,7 +357,7 @@ def missing_kind_status(inventory: DataFrame, records: DataFrame) -> DataFrame:
         F.concat_ws(":", "backup_id", "kind", "source_path").alias("id"),
         "kind",
         F.col("folder").alias("title"),
-        NO_TEXT.alias("subtitle"),
+        _no_text().alias("subtitle"),
         "source_path",
         F.col("status").alias("parse_status"),
     )

@@ -41,10 +41,10 @@ class Library:
         return target, target.getFileSystem(self.spark._jsc.hadoopConfiguration())
 
     def pointer(self) -> dict:
-        target, fs = self._fs(f"{self.root}/_current.json")
+        target, fs = self._fs(f"{self.root}/current.json")
         if not fs.exists(target):
             return {"version": 0, "tables": {}}
-        return json.loads(self.spark.read.text(f"{self.root}/_current.json", wholetext=True).first()[0])
+        return json.loads(self.spark.read.text(f"{self.root}/current.json", wholetext=True).first()[0])
 
     def read(self, name: str) -> DataFrame:
         folders = self.pointer()["tables"].get(name, [])
@@ -81,7 +81,7 @@ class Library:
 
     def _publish(self, pointer: dict) -> None:
         jvm = self.spark._jvm
-        fresh, fs = self._fs(f"{self.root}/_current.json.{uuid.uuid4().hex}")
+        fresh, fs = self._fs(f"{self.root}/current.json.{uuid.uuid4().hex}")
         stream = fs.create(fresh, True)
         stream.write(bytearray(json.dumps(pointer), "utf-8"))
         stream.close()
@@ -90,7 +90,7 @@ class Library:
         )
         options = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
         options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
-        context.rename(fresh, self._fs(f"{self.root}/_current.json")[0], options)
+        context.rename(fresh, self._fs(f"{self.root}/current.json")[0], options)
 
 
 def with_new_ids(snapshot: DataFrame) -> DataFrame:

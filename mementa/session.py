@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -13,6 +14,8 @@ SQL_SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # split a skewed join side even if the plan needs one more exchange afterwards
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # of repeated JSON keys the last one counts
+    "spark.sql.variant.allowDuplicateKeys": "true",
 }
 
 
@@ -38,20 +41,29 @@ def local_session(cores: int = 8, partitions: int = 8, memory: str = "8g") -> Sp
     return tune(spark)
 
 
-def reliable_checkpoint(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint that survives executor loss.
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder of the session.
 
-    The shared folder comes from ``spark.checkpoint.dir``.  Only a local master without that setting
-    gets a temporary folder; a cluster without one is an error, as a machine-local folder would be
-    unreadable to other executors.
+    It comes from ``spark.checkpoint.dir``.  Only a local master without that setting gets a temporary
+    folder; a cluster without one is an error, as other executors could not read a local folder.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
+    folder = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
+        folder = tempfile.mkdtemp(prefix="mementa-checkpoint-")
     if sc.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not sc.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
-            folder = tempfile.mkdtemp(prefix="mementa-checkpoint-")
         sc.setCheckpointDir(folder)
+    return folder
+
+
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A fresh folder for intermediate tables, beside the checkpoints."""
+    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def reliable_checkpoint(df: DataFrame) -> DataFrame:
+    """Cut lineage with a reliable checkpoint that survives executor loss."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
