@@ -169,3 +169,8 @@ def write_objects(inventory: DataFrame, contents: DataFrame, bytes_table: DataFr
         F.substring("content_hash", 1, 2).alias("shard"),
     )
     stored.repartition("shard", F.substring("hash", 3, 1)).write.mode("append").partitionBy("shard").parquet(path)
+
+
+def read_objects(spark: SparkSession, path: str) -> DataFrame:
+    """Stored contents; the explicit schema keeps shards such as ``07`` as text."""
+    return spark.read.schema("hash STRING, extension STRING, content BINARY, shard STRING").parquet(path)

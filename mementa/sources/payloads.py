@@ -15,7 +15,7 @@ ENTRY_SCHEMA = "archive_path string, entry_index int, entry_name string, head bi
 
 def whole_text(spark: SparkSession, path: str) -> DataFrame:
     """One row per text file: (source_path, text)."""
-    raw = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path)
+    raw = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True)
     return raw.select(
         F.regexp_replace(F.col("_metadata.file_path"), "^file:/+", "/").alias("source_path"),
         F.col("value").alias("text"),
