@@ -27,23 +27,26 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def dhash256(luma: Column | str) -> Column:
-    """256 difference bits as four longs (bit = left darker than right); NULL when flat."""
+    """256 difference bits as four longs (bit = left darker than right); NULL when flat.
 
-    def words(grid: Column) -> Column:
-        def word(w: Column) -> Column:
-            def bit(acc: Column, b: Column) -> Column:
-                # cell = row * 17 + column, with 16 comparisons per row
-                row = w * 4 + F.floor(b / 16).cast("int")
-                cell = row * GRID_WIDTH + F.pmod(b, F.lit(16))
-                darker = F.get(grid, cell) < F.get(grid, cell + 1)
-                set_bit = F.call_function("shiftleft", F.lit(1).cast("long"), b)
-                return acc.bitwiseOR(F.when(darker, set_bit).otherwise(F.lit(0).cast("long")))
-
-            return F.aggregate(F.sequence(F.lit(0), F.lit(63)), F.lit(0).cast("long"), bit)
+    Neighbours are compared along the whole grid; dropping every 17th comparison leaves 16 per row.
+    """
 
+    def words(grid: Column) -> Column:
+        cells = GRID_WIDTH * GRID_HEIGHT
+        steps = F.zip_with(
+            F.slice(grid, 1, cells - 1), F.slice(grid, 2, cells - 1),
+            lambda a, b: F.when(a < b, F.lit("1")).otherwise(F.lit("0")),
+        )
+        bits = F.regexp_replace(F.array_join(steps, ""), "(.{16}).", "$1")
         detail = F.array_max(grid) - F.array_min(grid)
-        usable = (F.size(grid) == GRID_WIDTH * GRID_HEIGHT) & (detail >= K.LUMA_RANGE_MIN)
-        return F.when(usable, F.transform(F.sequence(F.lit(0), F.lit(3)), word))
+        usable = (F.size(grid) == cells) & (detail >= K.LUMA_RANGE_MIN)
+        return F.when(usable, let(bits, pack))
+
+    def pack(bits: Column) -> Column:
+        # the first bit is the lowest one; base -10 reads the 64 bits as a signed number
+        parts = [F.conv(F.reverse(F.substring(bits, 64 * w + 1, 64)), 2, -10).cast("long") for w in range(4)]
+        return F.array(*parts)
 
     return let(_col(luma), words)
 

@@ -31,12 +31,15 @@ def group_winner(df: DataFrame, group: Sequence[str], order: Sequence[Column], c
 
 
 def lookup_join(big: DataFrame, small: DataFrame, key: str, rows: str,
-                heavy_rows: int = HEAVY_KEY_ROWS) -> DataFrame:
+                 heavy_rows: int = HEAVY_KEY_ROWS, total: int | None = None) -> DataFrame:
     """``big`` inner join ``small`` (one row per key, ``rows`` = rows of ``big`` with that key).
 
     Keys with ``heavy_rows`` or more rows never shuffle their members: they are few by construction
-    (at most rows/heavy_rows) and are broadcast.  All other keys take an ordinary shuffle join.
+    (at most rows/heavy_rows) and are broadcast.  All other keys take an ordinary shuffle join.  When
+    the caller knows ``total``, the rows of ``big``, to be below the limit, no key can be heavy.
     """
+    if total is not None and total < heavy_rows:
+        return big.join(small, key)
     heavy = F.broadcast(small.filter(F.col(rows) >= heavy_rows))
     light = small.filter(F.col(rows) < heavy_rows)
     spread = big.join(heavy, key)

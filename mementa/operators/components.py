@@ -8,21 +8,21 @@ from mementa.operators.common import HEAVY_KEY_ROWS, lookup_join
 from mementa.session import reliable_checkpoint
 
 
-def _large_star(edges: DataFrame, heavy_rows: int) -> DataFrame:
+def _large_star(edges: DataFrame, heavy_rows: int, total: int) -> DataFrame:
     """Link every larger neighbour of a vertex to the least vertex around it."""
     both = edges.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionByName(
         edges.select(F.col("lo").alias("u"), F.col("hi").alias("v"))
     )
     least = both.groupBy("u").agg(F.count("*").alias("n"), F.min("v").alias("m"))
     least = least.select("u", "n", F.least("u", "m").alias("root"))
-    linked = lookup_join(both.filter("v > u"), least, "u", "n", heavy_rows)
+    linked = lookup_join(both.filter("v > u"), least, "u", "n", heavy_rows, total)
     return linked.select(F.col("v").alias("hi"), F.col("root").alias("lo")).filter("hi <> lo").distinct()
 
 
-def _small_star(edges: DataFrame, heavy_rows: int) -> DataFrame:
+def _small_star(edges: DataFrame, heavy_rows: int, total: int) -> DataFrame:
     """Link a vertex and its smaller neighbours to the least of them."""
     least = edges.groupBy("hi").agg(F.count("*").alias("n"), F.min("lo").alias("root"))
-    linked = lookup_join(edges, least, "hi", "n", heavy_rows).select(F.col("lo").alias("hi"), F.col("root").alias("lo"))
+    linked = lookup_join(edges, least, "hi", "n", heavy_rows, total).select(F.col("lo").alias("hi"), F.col("root").alias("lo"))
     return linked.filter("hi <> lo").unionByName(
         least.select("hi", F.col("root").alias("lo"))
     ).distinct()
@@ -45,7 +45,7 @@ def connected_components(edges: DataFrame, heavy_rows: int = HEAVY_KEY_ROWS) ->
     )
     mark = _fingerprint(state)
     while mark[0] > 0:
-        state = reliable_checkpoint(_small_star(_large_star(state, heavy_rows), heavy_rows))
+        state = reliable_checkpoint(_small_star(_large_star(state, heavy_rows, 2 * mark[0]), heavy_rows, 2 * mark[0]))
         seen, mark = mark, _fingerprint(state)
         if seen == mark:
             break

@@ -183,6 +183,7 @@ def signature_components(signatures: DataFrame, hot_rows: int = HOT_ROWS,
                          heavy_rows: int = HEAVY_KEY_ROWS) -> DataFrame:
     """(sid, component) of distinct signatures (sid, aspect_q, w0..w3); the component is its least sid."""
     base = reliable_checkpoint(signatures)
+    total = BANDS * base.count()
     exact = exact_keys(base)
     buckets = reliable_checkpoint(
         exact.groupBy("key")
@@ -191,7 +192,7 @@ def signature_components(signatures: DataFrame, hot_rows: int = HOT_ROWS,
     )
     star = (
         lookup_join(exact.alias("x").select("key", F.struct("sid", "aspect_q", *WORDS).alias("own")),
-                    buckets, "key", "n", heavy_rows)
+                    buckets, "key", "n", heavy_rows, total)
         .filter((F.col("own.sid") != F.col("rep.sid")) & _same("own", "rep"))
         .select(F.col("own.sid").alias("a"), F.col("rep.sid").alias("b"))
     )
@@ -232,15 +233,24 @@ def distinct_signatures(photos: DataFrame) -> DataFrame:
 
 def similar_members(photos: DataFrame, hot_rows: int = HOT_ROWS,
                     heavy_rows: int = HEAVY_KEY_ROWS) -> DataFrame:
-    """Every photo (id, size_bytes, ...) with a signature, with its component."""
-    distinct = reliable_checkpoint(distinct_signatures(photos))
+    """Every photo with a signature as (id, size_bytes, component).
+
+    The signatures are materialised first (some 80 bytes per photo), so callers may pass them as an
+    expression over pixels without having it evaluated again by every step.
+    """
+    stored = reliable_checkpoint(
+        photos.select("id", "size_bytes", "aspect_q", "sig")
+    ).filter("sig IS NOT NULL")
+    total = stored.count()
+    distinct = distinct_signatures(stored)
     words = [F.get("signature.sig", F.lit(i)).alias(w) for i, w in enumerate(WORDS)]
     components = signature_components(
         distinct.select("sid", F.col("signature.aspect_q").alias("aspect_q"), *words), hot_rows, heavy_rows
     )
     labelled = distinct.join(components, "sid").select("signature", "copies", "component")
-    tagged = photos.filter("sig IS NOT NULL").withColumn("signature", F.struct("aspect_q", "sig"))
-    return lookup_join(tagged, labelled, "signature", "copies", heavy_rows).drop("signature", "copies")
+    tagged = stored.withColumn("signature", F.struct("aspect_q", "sig"))
+    joined = lookup_join(tagged, labelled, "signature", "copies", heavy_rows, total)
+    return joined.select("id", "size_bytes", "component")
 
 
 def similar_groups(members: DataFrame) -> DataFrame:

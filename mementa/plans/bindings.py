@@ -119,14 +119,9 @@ def backup_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 def luma_grids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Luma grids from the first 272 bytes of the documents that have as many."""
     d = table(spark, sf_dir, "documents")
-    digits = F.hex(F.substring(F.encode("text", "UTF-8"), 1, 272))
-    luma = S.let(
-        digits,
-        lambda h: F.transform(
-            F.sequence(F.lit(0), F.lit(271)),
-            lambda i: F.conv(F.substr(h, i * 2 + 1, F.lit(2)), 16, 10).cast("int"),
-        ),
-    )
+    # one Latin-1 character per byte, so a character code is a byte value
+    first = F.decode(F.substring(F.encode("text", "UTF-8"), 1, 272), "ISO-8859-1")
+    luma = F.transform(F.split(first, ""), lambda c: F.ascii(c))
     return (
         d.withColumn("size_bytes", F.octet_length("text").cast("long"))
         .filter("size_bytes >= 272")
