@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, functions as F
 
 from mementa import constants as K
-from mementa.functions.paths import _col
+from mementa.functions.paths import _col, let
 
 GRID_WIDTH, GRID_HEIGHT = 17, 16
 
@@ -21,11 +19,6 @@ def aspect_q(width: Column | str, height: Column | str) -> Column:
     return F.when((w == 0) | (h == 0), F.lit(127)).otherwise(F.round(scaled.cast("double"), 0).cast("int"))
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` over a value that is computed once, even where the optimizer merges projections."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def dhash256(luma: Column | str) -> Column:
     """256 difference bits as four longs (bit = left darker than right); NULL when flat.
 

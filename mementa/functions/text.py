@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from mementa import constants as K
-from mementa.functions.paths import _col
+from mementa.functions.paths import _col, let
 
 
 def trim_unicode(value: Column | str) -> Column:
@@ -54,10 +54,15 @@ def xml_region(text: Column | str, root_tag: str) -> Column:
     start = F.coalesce(
         *[F.nullif(F.instr(t, marker), F.lit(0)) for marker in ("<?xml", f"<{root_tag}", "<")]
     )
-    tail = F.substr(t, start)
-    closed = F.regexp_extract(tail, f"(?s)^.*</{root_tag}>", 0)
-    opened = F.regexp_extract(tail, "(?s)^.*>", 0)
-    return F.when(F.length(closed) > 0, closed).when(F.length(opened) > 0, opened)
+
+    def cut(tail: Column) -> Column:
+        def to_end(closed: Column) -> Column:
+            opened = F.regexp_extract(tail, "(?s)^.*>", 0)
+            return F.when(F.length(closed) > 0, closed).otherwise(F.nullif(opened, F.lit("")))
+
+        return let(F.regexp_extract(tail, f"(?s)^.*</{root_tag}>", 0), to_end)
+
+    return let(F.substr(t, start), cut)
 
 
 def xml_unescape(value: Column | str) -> Column:
@@ -86,10 +91,10 @@ def xml_unescape(value: Column | str) -> Column:
             )
         )
 
-    resolved = F.transform(tokens, resolve)
-    return F.when(~v.contains("&"), v).when(
-        ~F.exists(resolved, lambda x: x.isNull()), F.array_join(resolved, "")
-    )
+    def joined(parts: Column) -> Column:
+        return F.when(~F.exists(parts, lambda x: x.isNull()), F.array_join(parts, ""))
+
+    return F.when(~v.contains("&"), v).otherwise(let(F.transform(tokens, resolve), joined))
 
 
 def calendar_field(line: Column | str) -> tuple[Column, Column]:

@@ -6,9 +6,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-# A key with at least this many rows takes the broadcast branch of ``lookup_join``.  The branch can
-# hold at most rows/HEAVY_KEY_ROWS keys: 100,000 keys (about 15 MB) for 10^11 rows.
+# A key with at least this many rows is broadcast by ``lookup_join``: at most rows/HEAVY_KEY_ROWS keys,
+# 100,000 (about 15 MB) for 10^11 rows.  Its members are spread over SALTS values.
 HEAVY_KEY_ROWS = 1_000_000
+SALTS = 4096
 
 
 def dimension(spark: SparkSession, names: Sequence[str], rows: Sequence[tuple]) -> DataFrame:
@@ -30,21 +31,33 @@ def group_winner(df: DataFrame, group: Sequence[str], order: Sequence[Column], c
     return df.groupBy(*group).agg(chosen).select(*group, *[F.col(f"_w.{c}").alias(c) for c in columns])
 
 
+def _spread(df: DataFrame) -> Column:
+    """A deterministic salt from the plain columns of a row."""
+    plain = [f"`{n}`" for n, t in df.dtypes if t in ("string", "bigint", "int", "boolean", "double")]
+    return F.pmod(F.xxhash64(*plain), F.lit(SALTS)).cast("int")
+
+
 def lookup_join(big: DataFrame, small: DataFrame, key: str, rows: str,
-                 heavy_rows: int = HEAVY_KEY_ROWS, total: int | None = None) -> DataFrame:
+                heavy_rows: int = HEAVY_KEY_ROWS, total: int | None = None) -> DataFrame:
     """``big`` inner join ``small`` (one row per key, ``rows`` = rows of ``big`` with that key).
 
-    Keys with ``heavy_rows`` or more rows never shuffle their members: they are few by construction
-    (at most rows/heavy_rows) and are broadcast.  All other keys take an ordinary shuffle join.  When
+    Keys with ``heavy_rows`` or more rows are few by construction (at most rows/heavy_rows), so their
+    values are broadcast and their members take a salt, which spreads them over the one shuffle that
+    joins all other keys.  ``big`` is read once, and both uses of ``small`` share one exchange.  When
     the caller knows ``total``, the rows of ``big``, to be below the limit, no key can be heavy.
     """
     if total is not None and total < heavy_rows:
         return big.join(small, key)
-    heavy = F.broadcast(small.filter(F.col(rows) >= heavy_rows))
-    light = small.filter(F.col(rows) < heavy_rows)
-    spread = big.join(heavy, key)
-    shuffled = big.join(heavy.select(key), key, "left_anti").join(light, key)
-    return spread.unionByName(shuffled)
+    values = [c for c in small.columns if c != key]
+    packed = F.struct(*values)
+    heavy = small.filter(F.col(rows) >= heavy_rows).select(key, packed.alias("_heavy"))
+    light = small.filter(F.col(rows) < heavy_rows).select(key, F.lit(0).alias("_salt"), packed.alias("_light"))
+    tagged = big.withColumn("_spread", _spread(big)).join(F.broadcast(heavy), key, "left")
+    salt = F.when(F.col("_heavy").isNotNull(), F.col("_spread") + 1).otherwise(F.lit(0))
+    joined = tagged.withColumn("_salt", salt).join(light, [key, "_salt"], "left")
+    return joined.filter("_heavy IS NOT NULL OR _light IS NOT NULL").select(
+        *big.columns, *[F.coalesce(F.col(f"_heavy.{c}"), F.col(f"_light.{c}")).alias(c) for c in values]
+    )
 
 
 def upsert(current: DataFrame, changes: DataFrame, keys: Sequence[str],

@@ -87,21 +87,24 @@ def copied_files(inventory: DataFrame, contents: DataFrame) -> DataFrame:
     )
 
 
-def run_actions(inventory: DataFrame, contents: DataFrame) -> DataFrame:
-    """Every source file with its action.
+def run_actions(inventory: DataFrame, contents: DataFrame, copied: DataFrame | None = None) -> DataFrame:
+    """Every source file with its action; ``copied`` may pass winners already found.
 
     The winners are found per hash by aggregation, then matched back on the unique path, so no join
     moves all copies of one content to one task.
     """
-    winners = copied_files(inventory, contents).select("absolute_path", F.lit("copied").alias("_a"))
+    found = copied_files(inventory, contents) if copied is None else copied
+    winners = found.select("absolute_path", F.lit("copied").alias("_a"))
     return inventory.join(winners, "absolute_path", "left").withColumn(
         "action", F.coalesce("_a", F.lit("duplicate"))
     ).drop("_a")
 
 
-def new_contents(inventory: DataFrame, contents: DataFrame, destination: str) -> DataFrame:
+def new_contents(inventory: DataFrame, contents: DataFrame, destination: str,
+                 copied: DataFrame | None = None) -> DataFrame:
     """Rows to append to ``contents``: insert-if-absent, the first file keeps extension and path."""
-    return copied_files(inventory, contents).select(
+    found = copied_files(inventory, contents) if copied is None else copied
+    return found.select(
         F.col("content_hash").alias("hash"),
         "size_bytes",
         "extension",

@@ -10,6 +10,9 @@ from mementa.operators.common import HEAVY_KEY_ROWS, group_winner, lookup_join
 from mementa.operators.index import category_filter
 
 NULL_LAST = 2**63 - 1
+# Protected roots are broadcast up to this number (some 10 MB), and salted beyond it.
+BROADCAST_ROOTS = 100_000
+ROOT_SALTS = 64
 
 
 def keep_order() -> list[Column]:
@@ -125,33 +128,39 @@ def protected_roots(contents: DataFrame) -> DataFrame:
     )
 
 
-def purge_verdict(requests: DataFrame, roots: DataFrame, existing: DataFrame) -> DataFrame:
+def purge_verdict(requests: DataFrame, roots: DataFrame, existing: DataFrame,
+                  broadcast_roots: int = BROADCAST_ROOTS) -> DataFrame:
     """Verdict per requested path: refused inside a protected root, else missing, else eligible.
 
     A path lies in a root exactly when one of its ancestors (or itself) is that root, so each path is
-    expanded to its ancestors and the prefix test becomes an equi-join.  Neither side is broadcast by
-    force and no path is compared with every root.
+    expanded to its ancestors and the prefix test becomes an equi-join.  Few roots are broadcast (their
+    number is checked); more are joined under a salt, because top folders are ancestors of every path.
     """
     wanted = requests.select("absolute_path").distinct()
     parts = F.split(F.col("absolute_path"), "/")
     lineage = F.transform(
         F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/")
     )
-    clean = roots.select(F.regexp_replace("root", "/+$", "").alias("ancestor")).distinct()
-    guarded = (
-        wanted.select("absolute_path", F.explode(lineage).alias("ancestor"))
-        .join(clean, "ancestor", "left_semi")
-        .select("absolute_path")
-        .distinct()
-        .withColumn("guarded", F.lit(True))
+    clean = roots.select(F.regexp_replace("root", "/+$", "").alias("ancestor")).distinct().withColumn(
+        "hit", F.lit(True)
+    )
+    expanded = wanted.select("absolute_path", F.explode(lineage).alias("ancestor"))
+    if clean.limit(broadcast_roots + 1).count() <= broadcast_roots:
+        matched = expanded.join(F.broadcast(clean), "ancestor", "left")
+    else:
+        salted = clean.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(ROOT_SALTS - 1))))
+        matched = expanded.withColumn(
+            "salt", F.pmod(F.xxhash64("absolute_path"), F.lit(ROOT_SALTS)).cast("int")
+        ).join(salted, ["ancestor", "salt"], "left")
+    guarded = matched.groupBy("absolute_path").agg(
+        F.coalesce(F.bool_or("hit"), F.lit(False)).alias("guarded")
     )
     present = existing.select("absolute_path").distinct().withColumn("present", F.lit(True))
     verdict = (
         F.when(F.col("guarded"), "refused").when(F.col("present"), "eligible").otherwise("missing")
     )
     return (
-        wanted.join(guarded, "absolute_path", "left")
-        .join(present, "absolute_path", "left")
+        guarded.join(present, "absolute_path", "left")
         .withColumn("verdict", verdict)
         .withColumn(
             "error",

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from mementa import constants as K
 from mementa.functions import paths as P
-from mementa.operators.common import dimension, upsert
+from mementa.operators.common import dimension, lookup_join, upsert
+from mementa.session import reliable_checkpoint
 
 # Above this many files the list of paths to hash is shuffled instead of broadcast (about 100 MB).
 BROADCAST_PATHS = 500_000
@@ -47,8 +48,8 @@ def hash_from_table(contents: DataFrame, content: str = "content",
     """
 
     def run(wanted: DataFrame) -> DataFrame:
-        rows = wanted.limit(broadcast_paths + 1).count()
-        if rows <= broadcast_paths:
+        wanted = reliable_checkpoint(wanted)  # counted and joined: the index join behind it runs once
+        if wanted.count() <= broadcast_paths:
             found = contents.join(F.broadcast(wanted), "absolute_path", "left_semi")
             return found.select("absolute_path", F.sha2(F.col(content), 256).alias("content_hash"))
         hashed = contents.select("absolute_path", F.sha2(F.col(content), 256).alias("content_hash"))
@@ -130,8 +131,6 @@ def size_groups(files: DataFrame) -> DataFrame:
 
 def size_candidates(files: DataFrame) -> DataFrame:
     """Files whose size collides with another file (skew-safe for popular sizes)."""
-    from mementa.operators.common import lookup_join
-
     return lookup_join(files, size_groups(files), "size_bytes", "n_files").drop("n_files")
 
 

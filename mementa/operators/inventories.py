@@ -36,27 +36,28 @@ def readable_xml(head: Column | str) -> Column:
 def archive_inventory(entries: DataFrame) -> DataFrame:
     """Per archive: entry counts by type and a status from its last call-log entry."""
     name = F.col("entry_name")
-    status = F.when(
-        (F.col("item_type") == "CALLLOG") & name.endswith("call_log.exml"),
-        F.when(readable_xml("head"), "xml_readable").otherwise("binary_or_encrypted_exml"),
-    )
+    call_log = (F.col("item_type") == "CALLLOG") & name.endswith("call_log.exml")
     keys = ["backup_id", "backup_label", "item_type", "archive_path"]
-    counted = entries.withColumn("_status", status).groupBy(*keys).agg(
+    # the last call-log entry decides; a boolean keeps the aggregation buffer fixed-width (hash based)
+    readable = F.when(call_log, readable_xml("head"))
+    counted = entries.withColumn("_readable", readable).groupBy(*keys).agg(
         F.count("*").alias("entry_count"),
         F.count_if(name.endswith(".enc")).alias("encrypted_entries"),
         F.count_if(name.contains("/image/") | name.endswith(".jpg") | name.endswith(".png")).alias(
             "image_entries"
         ),
         F.count_if(name.contains("/blob/")).alias("blob_entries"),
-        F.max_by("_status", F.when(F.col("_status").isNotNull(), F.col("entry_index"))).alias("_status"),
+        F.max_by("_readable", F.when(F.col("_readable").isNotNull(), F.col("entry_index"))).alias("_readable"),
     )
     encrypted = (F.col("item_type") == "CONTACT") & (F.col("encrypted_entries") > 0)
     return counted.withColumn(
         "parse_status",
         F.when(encrypted, "encrypted_contact_payload").otherwise(
-            F.coalesce("_status", F.lit("inventory_only"))
+            F.when(F.col("_readable"), "xml_readable")
+            .when(~F.col("_readable"), "binary_or_encrypted_exml")
+            .otherwise("inventory_only")
         ),
-    ).drop("_status")
+    ).drop("_readable")
 
 
 def folder_inventory(inventory: DataFrame, folder_names: list[str]) -> DataFrame:

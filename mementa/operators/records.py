@@ -10,9 +10,10 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from mementa import constants as K
 from mementa.functions import paths as P
 from mementa.functions import text as X
-from mementa.functions.signature import let
+from mementa.functions.paths import let
 from mementa.operators.common import dimension, prefix_sum
 from mementa.schemas import STRUCTURED_RECORD
+from mementa.session import reliable_checkpoint
 
 
 def _record(kind: str, title: Column, subtitle: Column, status: str | Column, ident: Column) -> list[Column]:
@@ -59,45 +60,38 @@ def json_objects(payloads: DataFrame, text: str = "text", max_depth: int = 10) -
     """
     others = [c for c in payloads.columns if c != text]
 
-    def open_node(df: DataFrame) -> DataFrame:
-        return df.withColumn("_object", F.try_variant_get("_v", "$", "map<string,variant>")).withColumn(
-            "_list", F.try_variant_get("_v", "$", "array<variant>")
-        )
+    def as_object(v: Column) -> Column:
+        return F.try_variant_get(v, "$", "map<string,variant>")
+
+    def as_list(v: Column) -> Column:
+        return F.try_variant_get(v, "$", "array<variant>")
+
+    def node(index: Column, v: Column) -> Column:
+        place = F.concat(F.col("_pos"), F.lpad(index.cast("string"), 10, "0"))
+        return F.struct(place.alias("_pos"), v.alias("_v"), F.lit(False).alias("_done"))
 
-    def place(index: Column) -> Column:
-        return F.concat(F.col("_pos"), F.lpad(index.cast("string"), 10, "0"))
+    def by_key(a: Column, b: Column) -> Column:
+        return F.when(a["key"] < b["key"], -1).when(a["key"] > b["key"], 1).otherwise(0)
 
-    nodes = open_node(
-        payloads.select(*others, F.try_parse_json(F.col(text)).alias("_v"))
-        .withColumn("_pos", F.lit(""))
-        .withColumn("_done", F.lit(False))
+    v, done = F.col("_v"), F.col("_done")
+    container = as_object(v).isNotNull() | as_list(v).isNotNull()
+    nodes = payloads.select(
+        *others, F.lit("").alias("_pos"), F.try_parse_json(F.col(text)).alias("_v"), F.lit(False).alias("_done")
     )
-    for _ in range(max_depth):
-        entries = F.array_sort(
-            F.map_entries("_object"),
-            lambda a, b: F.when(a["key"] < b["key"], -1).when(a["key"] > b["key"], 1).otherwise(0),
-        )
-        from_object = F.transform(
-            entries, lambda e, i: F.struct(place(i).alias("_pos"), e["value"].alias("_v"), F.lit(False).alias("_done"))
-        )
-        from_list = F.transform(
-            F.col("_list"), lambda v, i: F.struct(place(i).alias("_pos"), v.alias("_v"), F.lit(False).alias("_done"))
-        )
-        itself = F.array(F.struct(F.col("_pos"), F.col("_v"), F.lit(True).alias("_done")))
-        step = F.when(F.col("_done"), itself).otherwise(
-            F.concat(itself, F.coalesce(from_object, from_list))
-        )
-        nodes = open_node(
-            nodes.filter("_object IS NOT NULL OR _list IS NOT NULL").select(*others, F.inline(step))
-        )
-    too_deep = F.when(
-        ~F.col("_done"),
-        F.raise_error(F.lit(f"JSON nested deeper than max_depth={max_depth}")).cast("boolean"),
-    ).otherwise(F.lit(True))
-    containers = nodes.filter("_object IS NOT NULL OR _list IS NOT NULL").filter(too_deep)
-    return containers.filter("_object IS NOT NULL").select(
-        *others, F.col("_pos").alias("position"), F.col("_object").alias("object")
+    itself = F.array(F.struct(F.col("_pos"), v.alias("_v"), F.lit(True).alias("_done")))
+    children = F.coalesce(
+        F.transform(F.array_sort(F.map_entries(as_object(v)), by_key), lambda e, i: node(i, e["value"])),
+        F.transform(as_list(v), lambda e, i: node(i, e)),
     )
+    # finished nodes pass through untouched; scalars leave at the next step
+    step = F.when(done, itself).otherwise(F.concat(itself, children))
+    for _ in range(max_depth):
+        nodes = nodes.filter(done | container).select(*others, F.inline(step))
+    message = F.lit(f"JSON nested deeper than max_depth={max_depth}")
+    too_deep = F.when(~done & container, F.raise_error(message).cast("boolean")).otherwise(done)
+    return nodes.filter(too_deep).select(
+        *others, F.col("_pos").alias("position"), as_object(v).alias("object")
+    ).filter("object IS NOT NULL")
 
 
 def first_string(node: Column | str, keys: Sequence[str]) -> Column:
@@ -122,10 +116,11 @@ def contacts(payloads: DataFrame) -> DataFrame:
     found = (
         json_objects(region.select("backup_id", "source_path", "entry_index", "text"))
         .withColumn("title", first_string("object", ["displayName", "name", "formattedName", "givenName"]))
-        .filter("title IS NOT NULL")
         .withColumn("subtitle", first_string("object", ["phoneNumber", "phone", "email", "number"]))
         .drop("object")
     )
+    # ranks and offsets both start from the records, so the walk is done once and kept
+    found = reliable_checkpoint(found).filter("title IS NOT NULL")
     entry = ["backup_id", "source_path", "entry_index"]
     ranked = found.withColumn(
         "_rank", F.row_number().over(Window.partitionBy(*entry).orderBy("position")) - 1
@@ -196,8 +191,9 @@ def browser_html(payloads: DataFrame) -> DataFrame:
     )
 
 
-CALL_ELEMENT = r"""(?s)<CallLog(?=[\s/>])(?:[^>"']|"[^"]*"|'[^']*')*>"""
-XML_ATTRIBUTE = r"""(?s)([^\s=/"'<>]+)\s*=\s*("[^"]*"|'[^']*')"""
+# possessive repetition: one step per run of characters, no backtracking
+CALL_ELEMENT = r"""(?s)<CallLog(?=[\s/>])(?:[^>"']++|"[^"]*+"|'[^']*+')*+>"""
+XML_ATTRIBUTE = r"""(?s)([^\s=/"'<>]++)\s*+=\s*+("[^"]*+"|'[^']*+')"""
 
 
 def call_elements(xml: Column | str) -> Column:
@@ -217,7 +213,8 @@ def call_elements(xml: Column | str) -> Column:
             def value(key: str) -> Column:
                 at = F.array_position(names, key)
                 quoted = F.get(values, (at - 1).cast("int"))
-                return F.when(at > 0, X.xml_unescape(F.substr(quoted, F.lit(2), F.length(quoted) - 2)))
+                inner = F.substr(quoted, F.lit(2), F.length(quoted) - 2)
+                return F.when(at > 0, let(inner, X.xml_unescape))
 
             title = F.coalesce(value("name"), value("number"), value("phoneNumber"), F.lit("Call log"))
             subtitle = F.coalesce(value("date"), value("type"), value("duration"))
@@ -350,7 +347,8 @@ def missing_kind_status(inventory: DataFrame, records: DataFrame) -> DataFrame:
     """Status row for a contact, call log or app folder without any record of its kind."""
     rules = dimension(inventory.sparkSession, ["kind", "folder", "status"], K.STATUS_FOLDERS)
     present = folders(inventory, [f for _, f, _ in K.STATUS_FOLDERS]).join(F.broadcast(rules), "folder")
-    parsed = records.select("backup_id", "kind").distinct()
+    kinds = [k for k, _, _ in K.STATUS_FOLDERS]
+    parsed = records.filter(F.col("kind").isin(kinds)).select("backup_id", "kind").distinct()
     missing = present.join(parsed, ["backup_id", "kind"], "left_anti")
     return missing.select(
         "backup_id",

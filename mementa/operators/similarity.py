@@ -30,6 +30,9 @@ from mementa.session import reliable_checkpoint
 BITS, BANDS = 256, 13
 WORDS = [f"w{i}" for i in range(4)]
 HOT_ROWS = 4096
+# Hot keys are broadcast; the limit that makes a bucket hot rises with the data so that at most this many
+# first- or second-level buckets can exceed it.
+MAX_HOT_KEYS = 1_000_000
 NO_BIT = 511
 
 
@@ -150,8 +153,7 @@ def _refined_links(members: DataFrame, probes: DataFrame, hot_rows: int) -> Data
         .filter(F.col("n") > hot_rows)
         .select("key2", F.col("m.label").alias("main"), F.ceil(F.col("n") / hot_rows).cast("int").alias("cells"))
     )
-    # at most (12 * hot members / hot_rows) rows
-    big = F.broadcast(crowded)
+    big = F.broadcast(crowded)  # at most MAX_HOT_KEYS rows
     columns = ["key2", "sid", "label", "aspect_q", *WORDS]
     plain = _links(
         left.join(big, "key2", "left_anti").select(columns),
@@ -203,17 +205,16 @@ def signature_components(signatures: DataFrame, hot_rows: int = HOT_ROWS,
         .drop("vertex", "component")
     )
     members, probes = exact_keys(labelled), probe_keys(labelled)
-    hot = buckets.filter(F.col("n") > hot_rows).select("key")
-    n_hot = hot.count()
-    if n_hot == 0:
+    limit = max(hot_rows, total * (BANDS - 1) // MAX_HOT_KEYS)
+    hot = buckets.filter(F.col("n") > limit).select("key")
+    if hot.isEmpty():
         links = _links(members, probes, ["key"], ordered=True)
     else:
-        # at most 13 * signatures / hot_rows keys of eight bytes
         small = F.broadcast(hot)
         links = _links(
             members.join(small, "key", "left_anti"), probes.join(small, "key", "left_anti"), ["key"], ordered=True
         ).unionByName(
-            _refined_links(members.join(small, "key"), probes.join(small, "key"), hot_rows)
+            _refined_links(members.join(small, "key"), probes.join(small, "key"), limit)
         )
     second = connected_components(links, heavy_rows)
     return labelled.join(second, F.col("label") == F.col("vertex"), "left").select(

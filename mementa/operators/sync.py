@@ -86,7 +86,9 @@ def requested_verdicts(requested: DataFrame, inventory: DataFrame, source_root:
 
 def sync_actions(inventory: DataFrame, target: DataFrame, verdicts: DataFrame, destination_root: str) -> DataFrame:
     """Copy or skip per source file of an accepted category; a size difference adds an error."""
-    accepted = verdicts.filter(F.col("verdict") == "ok").select(F.col("category").alias("folder"))
+    accepted = (
+        verdicts.filter(F.col("verdict") == "ok").select(F.col("category").alias("folder")).distinct()
+    )
     files = media_mapping(
         with_folder(inventory).join(F.broadcast(accepted), "folder", "left_semi"), "folder"
     )

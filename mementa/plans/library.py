@@ -11,6 +11,7 @@ from mementa import schemas
 from mementa.functions import paths as P
 from mementa.operators import consolidation as C
 from mementa.operators import index as I
+from mementa.session import reliable_checkpoint
 
 TABLES = {
     "files": schemas.FILES,
@@ -123,7 +124,8 @@ def run_consolidation(library: Library, inventory: DataFrame, adapter: str, labe
     row = ids.first()
     summary = C.run_summary(inventory, contents, C.indexed_outside(files, destination))
     totals = spark.createDataFrame(summary.collect(), summary.schema)
-    fresh = C.new_contents(inventory, contents, destination).withColumn("first_seen_at", now)
+    copied = reliable_checkpoint(C.copied_files(inventory, contents))  # feeds three of the tables
+    fresh = C.new_contents(inventory, contents, destination, copied).withColumn("first_seen_at", now)
     after = contents.unionByName(fresh, allowMissingColumns=True)
     imported = C.imported_index(inventory, after, destination, label).withColumn("indexed_at", now)
     backup = spark.range(0, 1, 1, 1).select(
@@ -150,7 +152,7 @@ def run_consolidation(library: Library, inventory: DataFrame, adapter: str, labe
             F.lit(None).cast("string").alias("android_version"), now.alias("created_at"),
         )
         replace["devices"] = C.upsert_devices(library.read("devices"), device)
-    entries = C.manifest_entries(C.run_actions(inventory, contents), row["run"]).withColumn("created_at", now)
+    entries = C.manifest_entries(C.run_actions(inventory, contents, copied), row["run"]).withColumn("created_at", now)
     library.commit(
         replace, {"contents": fresh, "import_runs": run, "import_run_entries": entries}, expected=version
     )

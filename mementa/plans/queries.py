@@ -22,7 +22,7 @@ from mementa.operators import sync as Y
 from mementa.operators.common import upsert
 from mementa.plans import bindings as B
 from mementa.plans.library import Library
-from mementa.session import scratch_folder, tune
+from mementa.session import reliable_checkpoint, scratch_folder, tune
 from mementa.sources import registry as G
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -430,7 +430,7 @@ def flt_unchanged(s, d):
 @query
 def flt_similar(s, d):
     """Photos that look like the first photo: the test against one fixed signature."""
-    photos = B.signed_photos(s, d).filter("sig IS NOT NULL")
+    photos = reliable_checkpoint(B.signed_photos(s, d)).filter("sig IS NOT NULL")
     anchor = photos.agg(F.min_by(F.struct("aspect_q", "sig"), "id").alias("anchor"))
     near = photos.withColumn("_one", F.lit(1)).join(F.broadcast(anchor.withColumn("_one", F.lit(1))), "_one")
     words = [[F.get(c, F.lit(i)) for i in range(4)] for c in ("sig", "anchor.sig")]

@@ -9,6 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from mementa.operators import consolidation as C
 from mementa.plans.library import Library, run_index
+from mementa.session import reliable_checkpoint
 
 
 def inventory_stream(spark: SparkSession, path: str, schema: str, files_per_trigger: int = 1000) -> DataFrame:
@@ -54,8 +55,9 @@ def dedup_ingest(stream: DataFrame, library: Library, destination: str, checkpoi
             return
         contents = library.read("contents")
         now = F.current_timestamp()
-        fresh = C.new_contents(batch, contents, destination).withColumn("first_seen_at", now)
-        entries = C.manifest_entries(C.run_actions(batch, contents), run).withColumn("created_at", now)
+        copied = reliable_checkpoint(C.copied_files(batch, contents))
+        fresh = C.new_contents(batch, contents, destination, copied).withColumn("first_seen_at", now)
+        entries = C.manifest_entries(C.run_actions(batch, contents, copied), run).withColumn("created_at", now)
         marker = batch.sparkSession.range(0, 1, 1, 1).select(
             F.lit(run).alias("id"), F.lit("stream").alias("source_path"),
             F.lit(destination).alias("destination_path"), F.lit("completed").alias("status"),

@@ -137,6 +137,8 @@ def test_purge_guard(spark):
     contents = spark.createDataFrame([("/lib/objects/ab/abc.jpg",)], "storage_path string")
     roots = D.protected_roots(contents).unionByName(spark.createDataFrame([("/home/.app/",)], "root string"))
     existing = spark.createDataFrame([("/data/here",), ("/lib/objects/ab/x",)], "absolute_path string")
+    salted = {tuple(r) for r in D.purge_verdict(requests, roots, existing, broadcast_roots=1).collect()}
+    assert salted == {tuple(r) for r in D.purge_verdict(requests, roots, existing).collect()}
     rows = {r.absolute_path: r for r in D.purge_verdict(requests, roots, existing).collect()}
     assert {p: r.verdict for p, r in rows.items()} == dict(zip(paths, ["refused", "missing", "refused", "missing", "eligible", "refused"]))
     assert "own storage" in rows[paths[0]].error and rows["/data/here"].error is None
