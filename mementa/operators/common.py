@@ -50,11 +50,17 @@ def lookup_join(big: DataFrame, small: DataFrame, key: str, rows: str,
         return big.join(small, key)
     values = [c for c in small.columns if c != key]
     packed = F.struct(*values)
+
+    def route(salt: Column) -> Column:
+        # one struct key: with two keys the optimizer would fold the constant salt of the light side
+        # out of the join, and heavy members would meet in one task after all
+        return F.struct(F.col(key).alias("key"), salt.cast("int").alias("salt"))
+
     heavy = small.filter(F.col(rows) >= heavy_rows).select(key, packed.alias("_heavy"))
-    light = small.filter(F.col(rows) < heavy_rows).select(key, F.lit(0).alias("_salt"), packed.alias("_light"))
+    light = small.filter(F.col(rows) < heavy_rows).select(route(F.lit(0)).alias("_route"), packed.alias("_light"))
     tagged = big.withColumn("_spread", _spread(big)).join(F.broadcast(heavy), key, "left")
     salt = F.when(F.col("_heavy").isNotNull(), F.col("_spread") + 1).otherwise(F.lit(0))
-    joined = tagged.withColumn("_salt", salt).join(light, [key, "_salt"], "left")
+    joined = tagged.withColumn("_route", route(salt)).join(light, "_route", "left")
     return joined.filter("_heavy IS NOT NULL OR _light IS NOT NULL").select(
         *big.columns, *[F.coalesce(F.col(f"_heavy.{c}"), F.col(f"_light.{c}")).alias(c) for c in values]
     )

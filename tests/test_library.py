@@ -287,3 +287,22 @@ def test_lookup_join_is_a_join(spark, heavy):
     small = big.groupBy("k").agg(F.count("*").alias("n")).filter("k <> 'c'")
     assert sorted((r.k, r.i, r.n) for r in lookup_join(big, small, "k", "n", heavy).collect()) == sorted(
         [("a", i, 7) for i in range(7)] + [("b", i, 2) for i in (7, 8)])
+
+
+def test_heavy_members_are_spread_over_partitions(spark):
+    """All members of a heavy key must not end up in one shuffle partition."""
+    big = spark.range(0, 4000, 1, 4).select((F.col("id") % 4000 >= 1000).alias("hot"), "id").select(
+        F.when(F.col("hot"), F.lit("hot")).otherwise(F.col("id").cast("string")).alias("k"), "id"
+    )
+    small = big.groupBy("k").agg(F.count("*").alias("n"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        joined = lookup_join(big, small, "k", "n", heavy_rows=1000)
+        sizes = [r["count"] for r in joined.filter("k = 'hot'").groupBy(F.spark_partition_id()).count().collect()]
+        assert sum(sizes) == 3000 and len(sizes) == 4 and max(sizes) < 1200
+        plain = big.join(small, "k").filter("k = 'hot'").groupBy(F.spark_partition_id()).count().collect()
+        assert len(plain) == 1
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
