@@ -171,3 +171,13 @@ def purge_verdict(requests: DataFrame, roots: DataFrame, existing: DataFrame,
         )
         .select("absolute_path", "verdict", "error")
     )
+
+
+def purge_summary(verdicts: DataFrame, files: DataFrame) -> DataFrame:
+    """Files that may go, index rows that go with them, and the number of refusals."""
+    counts = verdicts.agg(
+        F.count_if(F.col("verdict") == "eligible").alias("trashed"), F.count("error").alias("n_errors")
+    )
+    gone = verdicts.filter("verdict = 'eligible'").select("absolute_path")
+    rows = files.join(gone, "absolute_path", "left_semi").agg(F.count("*").alias("removed_from_index"))
+    return counts.withColumn("_one", F.lit(1)).join(rows.withColumn("_one", F.lit(1)), "_one").drop("_one")

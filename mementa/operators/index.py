@@ -23,20 +23,27 @@ def describe(inventory: DataFrame) -> DataFrame:
 
 
 def with_previous(inventory: DataFrame, previous: DataFrame) -> DataFrame:
-    """Left join the previous index on path and flag unchanged files (NULL mtimes are equal)."""
+    """Left join the previous index on path and flag unchanged files (NULL mtimes are equal).
+
+    Unchanged files carry over their hash and, where the index has signatures, those as well.
+    """
+    carried = {"content_hash": "reused_hash"}
+    if "sig" in previous.columns:
+        carried |= {"sig": "reused_sig", "aspect_q": "reused_aspect"}
     prev = previous.select(
         "absolute_path",
         F.col("size_bytes").alias("_size"),
         F.col("modified_unix").alias("_mtime"),
-        F.col("content_hash").alias("_hash"),
+        *[F.col(old).alias(new) for old, new in carried.items()],
     )
     joined = inventory.join(prev, "absolute_path", "left")
     unchanged = F.coalesce(F.col("_size") == F.col("size_bytes"), F.lit(False)) & F.col(
         "_mtime"
     ).eqNullSafe(F.col("modified_unix"))
-    return joined.withColumn("unchanged", unchanged).withColumn(
-        "reused_hash", F.when(unchanged, F.col("_hash"))
-    ).drop("_size", "_mtime", "_hash")
+    flagged = joined.withColumn("unchanged", unchanged)
+    for name in carried.values():
+        flagged = flagged.withColumn(name, F.when(F.col("unchanged"), F.col(name)))
+    return flagged.drop("_size", "_mtime")
 
 
 def hash_from_table(contents: DataFrame, content: str = "content",
@@ -58,22 +65,42 @@ def hash_from_table(contents: DataFrame, content: str = "content",
     return run
 
 
-def incremental_index(inventory: DataFrame, previous: DataFrame,
-                      hasher: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Index rows of one scan: unchanged files reuse their hash, all others are hashed.
+Reader = Callable[[DataFrame], DataFrame]
+
+
+def incremental_index(inventory: DataFrame, previous: DataFrame, hasher: Reader,
+                      signer: Reader | None = None) -> DataFrame:
+    """Index rows of one scan: unchanged files reuse hash and signature, all others are read.
 
-    ``hasher`` maps wanted paths to (absolute_path, content_hash); a path it cannot read is simply
-    missing and keeps a NULL hash.
+    ``hasher`` maps wanted paths to (absolute_path, content_hash), ``signer`` the wanted photos to
+    (absolute_path, aspect_q, sig).  A path they cannot read is missing and keeps NULL.
     """
-    state = with_previous(inventory, previous)
+    state = describe(with_previous(inventory, previous))
     wanted = state.filter(F.col("reused_hash").isNull()).select("absolute_path")
     fresh = hasher(wanted).withColumnRenamed("content_hash", "fresh_hash")
-    joined = state.join(fresh, "absolute_path", "left")
-    return describe(
-        joined.withColumn("content_hash", F.coalesce("reused_hash", "fresh_hash"))
+    indexed = (
+        state.join(fresh, "absolute_path", "left")
+        .withColumn("content_hash", F.coalesce("reused_hash", "fresh_hash"))
         .withColumn("rehashed", F.col("fresh_hash").isNotNull())
         .drop("reused_hash", "fresh_hash")
     )
+    if signer is None:
+        return indexed.drop("reused_sig", "reused_aspect")
+    photo = F.col("category") == "photo"
+    known = "reused_sig" in state.columns
+    missing = F.col("reused_sig").isNull() if known else F.lit(True)
+    unsigned = state.filter(photo & missing & P.ascii_lower("extension").isin(K.DECODABLE_EXTENSIONS))
+    signed = signer(unsigned.select("absolute_path")).select(
+        "absolute_path", F.col("aspect_q").alias("new_aspect"), F.col("sig").alias("new_sig")
+    )
+    both = indexed.join(signed, "absolute_path", "left")
+    old_sig = F.col("reused_sig") if known else F.lit(None)
+    old_aspect = F.col("reused_aspect") if known else F.lit(None)
+    return (
+        both.withColumn("aspect_q", F.when(photo, F.coalesce(old_aspect, F.col("new_aspect"))))
+        .withColumn("sig", F.when(photo, F.coalesce(old_sig, F.col("new_sig"))))
+        .drop("reused_sig", "reused_aspect", "new_sig", "new_aspect")
+    )
 
 
 def index_summary(scanned: DataFrame) -> DataFrame:
@@ -124,6 +151,21 @@ def backfill_hashes(files: DataFrame, hasher: Callable[[DataFrame], DataFrame])
     )
 
 
+def backfill_signatures(files: DataFrame, signer: Reader) -> DataFrame:
+    """Fill missing signatures of decodable photos."""
+    photo = (F.col("category") == "photo") & P.ascii_lower("extension").isin(K.DECODABLE_EXTENSIONS)
+    wanted = files.filter(photo & F.col("sig").isNull()).select("absolute_path")
+    fresh = signer(wanted).select(
+        "absolute_path", F.col("aspect_q").alias("_aspect"), F.col("sig").alias("_sig")
+    )
+    return (
+        files.join(fresh, "absolute_path", "left")
+        .withColumn("aspect_q", F.coalesce("aspect_q", "_aspect"))
+        .withColumn("sig", F.coalesce("sig", "_sig"))
+        .select(*files.columns)
+    )
+
+
 def size_groups(files: DataFrame) -> DataFrame:
     """Sizes held by two or more files, with their number of files."""
     return files.groupBy("size_bytes").agg(F.count("*").alias("n_files")).filter("n_files >= 2")

@@ -99,10 +99,10 @@ def with_new_ids(snapshot: DataFrame) -> DataFrame:
     return snapshot.withColumn("id", F.coalesce("id", F.xxhash64("absolute_path")))
 
 
-def run_index(library: Library, inventory: DataFrame, hasher) -> int:
+def run_index(library: Library, inventory: DataFrame, hasher: I.Reader, signer: I.Reader | None = None) -> int:
     """Incremental index of a scan, upserted into ``files`` with its scan run."""
     version = library.pointer()["version"]
-    scanned = I.incremental_index(inventory, library.read("files"), hasher).withColumn(
+    scanned = I.incremental_index(inventory, library.read("files"), hasher, signer).withColumn(
         "indexed_at", F.current_timestamp()
     )
     snapshot = with_new_ids(I.upsert_files(library.read("files"), scanned))

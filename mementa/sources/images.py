@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -70,3 +70,17 @@ def luma_grids(images: DataFrame) -> DataFrame:
 def with_signature(grids: DataFrame) -> DataFrame:
     """Add aspect_q and the 256-bit signature (NULL for flat images) to a grid table."""
     return grids.withColumn("aspect_q", S.aspect_q("width", "height")).withColumn("sig", S.dhash256("luma"))
+
+
+def signer(spark: SparkSession, folder: str) -> Callable[[DataFrame], DataFrame]:
+    """Signatures of wanted photos below a folder: (absolute_path, aspect_q, sig).
+
+    Only wanted photos reach the resize step; the image source decodes what it lists, so pass the
+    narrowest folder that holds them.
+    """
+
+    def run(wanted: DataFrame) -> DataFrame:
+        found = decoded(spark, folder).join(wanted, "absolute_path", "left_semi")
+        return with_signature(luma_grids(found)).select("absolute_path", "aspect_q", "sig")
+
+    return run
