@@ -13,8 +13,9 @@ adds nothing; the plan below exploits this to stay exact without ever listing al
    the components of these edges become labels.  Near-identical bursts collapse here in linear work.
 4. Signatures meet their one-bit neighbours per band in an equi-join; pairs with equal labels are
    skipped and only distinct pairs of labels leave the join.
-5. A bucket above ``hot_rows`` is refined by a second band instead of being joined directly; what is
-   still large then keeps its main component apart and is cut into a salted grid.
+5. In a bucket above ``hot_rows`` the rows of the main label are kept apart and never meet each other.
+   The rest is joined directly when small, else refined by a second band (the same principle for the
+   remaining bits); what is still large then is split again and cut into a salted grid.
 """
 
 from __future__ import annotations
@@ -123,13 +124,18 @@ def _same(left: str, right: str) -> Column:
     )
 
 
-def _links(left: DataFrame, right: DataFrame, on: list[str], ordered: bool) -> DataFrame:
-    """Distinct pairs of labels joined by at least one look-alike pair."""
-    joined = left.alias("l").join(right.alias("r"), on)
-    different = F.col("l.label") != F.col("r.label")
-    order = (F.col("l.sid") < F.col("r.sid")) if ordered else F.lit(True)
+COLUMNS = ["sid", "label", "aspect_q", *WORDS]
+
+
+def _links(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
+    """Distinct pairs of labels joined by at least one look-alike pair.
+
+    The member has the smaller sid and the prober the larger one, so every pair is tested once.
+    """
+    joined = left.select(*on, *COLUMNS).alias("l").join(right.select(*on, *COLUMNS).alias("r"), on)
+    wanted = (F.col("l.label") != F.col("r.label")) & (F.col("l.sid") < F.col("r.sid"))
     return (
-        joined.filter(different & order & _same("l", "r"))
+        joined.filter(wanted & _same("l", "r"))
         .select(
             F.least("l.label", "r.label").alias("a"), F.greatest("l.label", "r.label").alias("b")
         )
@@ -137,47 +143,61 @@ def _links(left: DataFrame, right: DataFrame, on: list[str], ordered: bool) -> D
     )
 
 
-def _refined_links(members: DataFrame, probes: DataFrame, hot_rows: int) -> DataFrame:
-    """Links found through hot buckets, by a second band.
-
-    A second-level bucket above ``hot_rows`` is split into its main label and the rest: rows of the
-    main label are never compared with each other.  The remaining work is cut into a grid of cells of
-    about ``hot_rows`` by ``hot_rows``, so no task receives a whole bucket.
-    """
-    left = _explode_keys(members, _second_codes(exact=True), "key2", "key")
-    right = _explode_keys(probes, _second_codes(exact=False), "key2", "key")
-    labels = left.groupBy("key2", "label").agg(F.count("*").alias("n"))
-    crowded = reliable_checkpoint(
-        labels.groupBy("key2")
+def _crowded(rows: DataFrame, key: str, limit: int) -> DataFrame:
+    """Keys with more than ``limit`` rows: their main label and the number of rows outside it."""
+    labels = rows.groupBy(key, "label").agg(F.count("*").alias("n"))
+    return reliable_checkpoint(
+        labels.groupBy(key)
         .agg(F.sum("n").alias("n"), F.max(F.struct("n", "label")).alias("m"))
-        .filter(F.col("n") > hot_rows)
-        .select("key2", F.col("m.label").alias("main"), F.ceil(F.col("n") / hot_rows).cast("int").alias("cells"))
-    )
-    big = F.broadcast(crowded)  # at most MAX_HOT_KEYS rows
-    columns = ["key2", "sid", "label", "aspect_q", *WORDS]
-    plain = _links(
-        left.join(big, "key2", "left_anti").select(columns),
-        right.join(big, "key2", "left_anti").select(columns),
-        ["key2"], ordered=False,
+        .filter(F.col("n") > limit)
+        .select(key, F.col("m.label").alias("main"), F.col("n"), (F.col("n") - F.col("m.n")).alias("others"))
     )
-    every = F.sequence(F.lit(0), F.col("cells") - 1)
-    own = F.pmod(F.xxhash64("sid"), F.col("cells")).cast("int")
+
+
+def _split(members: DataFrame, probes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Part 0 holds the rows of the main label, part 1 the rest; the main label only probes the rest."""
     is_main = F.col("label") == F.col("main")
-    grid_left = (
-        left.join(big, "key2")
-        .withColumn("part", F.when(is_main, 0).otherwise(1))
-        .withColumn("row", own)
-        .withColumn("col", F.explode(every))
+    parts = F.when(is_main, F.array(F.lit(1))).otherwise(F.array(F.lit(0), F.lit(1)))
+    return members.withColumn("part", F.when(is_main, 0).otherwise(1)), probes.withColumn("part", F.explode(parts))
+
+
+def _hot_links(members: DataFrame, probes: DataFrame, limit: int) -> DataFrame:
+    """Links found through hot buckets (``members`` and ``probes`` carry main label and counts).
+
+    Rows of the main label of a bucket are never compared with each other.  A rest of at most ``limit``
+    rows is joined directly; everything else is refined by a second band.
+    """
+    left, right = _split(members, probes)
+    few = (F.col("part") == 1) & (F.col("others") <= limit)
+    direct = _links(left.filter(few), right.filter(few), ["key", "part"])
+    parted = F.xxhash64("key", "part")
+    refined = _refined_links(
+        left.filter(~few).withColumn("key", parted).drop("main", "n", "others", "part"),
+        right.filter(~few).withColumn("key", parted).drop("main", "n", "others", "part"),
+        limit,
     )
-    grid_right = (
-        right.join(big, "key2")
-        .withColumn("part", F.explode(F.when(is_main, F.array(F.lit(1))).otherwise(F.array(F.lit(0), F.lit(1)))))
-        .withColumn("col", own)
-        .withColumn("row", F.explode(every))
+    return direct.unionByName(refined)
+
+
+def _refined_links(members: DataFrame, probes: DataFrame, limit: int) -> DataFrame:
+    """Links found by a second band inside hot buckets.
+
+    A second-level bucket above ``limit`` is again split by its main label, and the remaining work is
+    cut into a grid of cells of about ``limit`` by ``limit``, so no task receives a whole bucket.
+    """
+    left = _explode_keys(members, _second_codes(exact=True), "key2", "key")
+    right = _explode_keys(probes, _second_codes(exact=False), "key2", "key")
+    big = F.broadcast(_crowded(left, "key2", limit))  # at most MAX_HOT_KEYS rows
+    plain = _links(left.join(big, "key2", "left_anti"), right.join(big, "key2", "left_anti"), ["key2"])
+    cells = F.ceil(F.col("n") / limit).cast("int")
+    every = F.explode(F.sequence(F.lit(0), cells - 1))
+    own = F.pmod(F.xxhash64("sid"), cells).cast("int")
+    grid_left, grid_right = _split(left.join(big, "key2"), right.join(big, "key2"))
+    gridded = _links(
+        grid_left.withColumn("row", own).withColumn("col", every),
+        grid_right.withColumn("col", own).withColumn("row", every),
+        ["key2", "part", "row", "col"],
     )
-    on = ["key2", "part", "row", "col"]
-    extra = columns + ["part", "row", "col"]
-    gridded = _links(grid_left.select(extra), grid_right.select(extra), on, ordered=False)
     return plain.unionByName(gridded)
 
 
@@ -208,14 +228,13 @@ def signature_components(signatures: DataFrame, hot_rows: int = HOT_ROWS,
     limit = max(hot_rows, total * (BANDS - 1) // MAX_HOT_KEYS)
     hot = buckets.filter(F.col("n") > limit).select("key")
     if hot.isEmpty():
-        links = _links(members, probes, ["key"], ordered=True)
+        links = _links(members, probes, ["key"])
     else:
         small = F.broadcast(hot)
+        main = F.broadcast(_crowded(members.join(small, "key"), "key", limit))
         links = _links(
-            members.join(small, "key", "left_anti"), probes.join(small, "key", "left_anti"), ["key"], ordered=True
-        ).unionByName(
-            _refined_links(members.join(small, "key"), probes.join(small, "key"), limit)
-        )
+            members.join(small, "key", "left_anti"), probes.join(small, "key", "left_anti"), ["key"]
+        ).unionByName(_hot_links(members.join(main, "key"), probes.join(main, "key"), limit))
     second = connected_components(links, heavy_rows)
     return labelled.join(second, F.col("label") == F.col("vertex"), "left").select(
         "sid", F.coalesce("component", "label").alias("component")
