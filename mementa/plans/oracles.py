@@ -222,7 +222,7 @@ ORACLES: dict[str, str] = {
     "src_item_metrics": sql("items", "SELECT * FROM items"),
     "src_archive_entries": sql("entries", "SELECT archive_path, entry_index, entry_name, readable AND ((split_part(split_part(archive_path, '/', 3), '.', 1)::BIGINT + entry_index // 100000) % 4 <> 0) AS readable FROM entries"),
     "src_text_whole": "SELECT '/b/SBROWSER/' || page_id || '.html' AS source_path, CAST(octet_length(encode(html)) AS BIGINT) AS n_bytes, html AS text FROM pages",
-    "src_text_lines": """SELECT conv_id, turn, generate_subscripts(l, 1) - 1 AS line_no, unnest(l) AS line FROM (
+    "src_text_lines": """SELECT conv_id, turn, CAST(generate_subscripts(l, 1) - 1 AS INT) AS line_no, unnest(l) AS line FROM (
         SELECT conv_id, turn, regexp_split_to_array(text, '\\r?\\n') AS l FROM conversations)""",
     "src_messages": sql("msg", "SELECT * FROM msg"),
     "src_listing_lines": sql("lst", """SELECT device, folder, line_no, CASE kind WHEN 0 THEN '  ' WHEN 1 THEN 'find: ''/x/' || line_no || ''': Permission denied'
@@ -274,7 +274,7 @@ ORACLES: dict[str, str] = {
     "fn_first_string": """SELECT c_custkey AS entry_index, CASE n WHEN 0 THEN NULL WHEN 1 THEN c_name ELSE c_mktsegment END AS title,
         CASE n WHEN 1 THEN c_mktsegment || '@example.org' END AS subtitle FROM customer, (VALUES (0), (1), (2)) v(n)""",
     "fn_strip_html": f"SELECT page_id, {STRIP % 'html'} AS plain FROM pages",
-    "fn_href": """SELECT page_id, pos AS n, CASE WHEN regexp_matches(tag, 'href="[^"]*"') THEN regexp_extract(tag, 'href="([^"]*)"', 1) END AS href,
+    "fn_href": """SELECT page_id, CAST(pos AS INT) AS n, CASE WHEN regexp_matches(tag, 'href="[^"]*"') THEN regexp_extract(tag, 'href="([^"]*)"', 1) END AS href,
         CASE WHEN regexp_matches(tag, 'href="[^"]*"') THEN regexp_extract(tag, 'href="([^"]*)"', 1) END AS upper_href FROM (
         SELECT page_id, unnest(l) AS tag, generate_subscripts(l, 1) - 1 AS pos FROM (SELECT page_id, regexp_extract_all(html, '<a[^>]*') AS l FROM pages))""",
     "fn_json_region": """SELECT c_custkey AS entry_index, '{"contacts":[{"displayName":" ' || c_name || ' ","phone":' || c_custkey || ',"email":"' || c_mktsegment ||
@@ -329,7 +329,7 @@ ORACLES: dict[str, str] = {
     "agg_scan_summary": sql("inv files grp", "SELECT count(*) AS total_groups, CAST(coalesce(sum(reclaimable_bytes), 0) AS BIGINT) AS reclaimable_bytes, (SELECT CAST(sum(n) AS BIGINT) FROM (SELECT count(*) AS n FROM files GROUP BY size_bytes HAVING count(*) >= 2)) AS scanned_candidates FROM grp"),
     "agg_plan": sql("inv prior outside", PLAN),
     "agg_category_scan": sql("inv", "SELECT backup_id, split_part(relative_path, '/', 1) AS name, count(*) AS file_count, CAST(sum(size_bytes) AS BIGINT) AS total_bytes, count(DISTINCT split_part(relative_path, '/', 2)) AS n_sub_sources FROM inv WHERE split_part(relative_path, '/', 1) IN ('Photo','Video','Music','Documents') GROUP BY 1, 2"),
-    "agg_folder_inventory": sql("phone", "SELECT backup_id, backup_label, top AS item_type, root_path || '/' || top AS archive_path, count(*) AS entry_count, 0 AS encrypted_entries, 0 AS image_entries, 0 AS blob_entries, 'inventory_only' AS parse_status FROM phone WHERE top IN ('CALENDER', 'APK') GROUP BY ALL"),
+    "agg_folder_inventory": sql("phone", "SELECT backup_id, backup_label, top AS item_type, root_path || '/' || top AS archive_path, count(*) AS entry_count, CAST(0 AS BIGINT) AS encrypted_entries, CAST(0 AS BIGINT) AS image_entries, CAST(0 AS BIGINT) AS blob_entries, 'inventory_only' AS parse_status FROM phone WHERE top IN ('CALENDER', 'APK') GROUP BY ALL"),
     "agg_archive_inventory": sql("entries", """SELECT backup_id, backup_label, item_type, archive_path, count(*) AS entry_count,
         count(*) FILTER (entry_name LIKE '%.enc') AS encrypted_entries,
         count(*) FILTER (entry_name LIKE '%/image/%' OR entry_name LIKE '%.jpg' OR entry_name LIKE '%.png') AS image_entries,
@@ -361,7 +361,7 @@ ORACLES: dict[str, str] = {
             CASE o_custkey % 6 WHEN 0 THEN 'msgstore.db.crypt14' ELSE 'msgstore-' || strftime(o_orderdate, '%Y-%m-%d') || '.1.db.crypt15' END AS name FROM orders WHERE o_custkey % 6 <> 1)) WHERE rn = 1""",
     "win_last_calendar_field": "SELECT '/k/' || o_orderkey || '.' || (['ics','VCS','dat'])[o_orderkey % 3 + 1] AS source_path, 'Order ' || o_orderkey AS summary, CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE ';TZID=UTC:' || strftime(o_orderdate, '%Y%m%d') END AS start FROM orders",
     "win_latest_source": sql("src", "SELECT id, adapter, label, seq FROM src QUALIFY row_number() OVER (PARTITION BY id ORDER BY seq DESC) = 1"),
-    "win_tile_cap": sql("inv files", """SELECT category AS "group", row_number() OVER (PARTITION BY category ORDER BY coalesce(modified_unix, 9223372036854775807), id) AS tile, id FROM files QUALIFY tile <= 24"""),
+    "win_tile_cap": sql("inv files", """SELECT category AS "group", CAST(row_number() OVER (PARTITION BY category ORDER BY coalesce(modified_unix, 9223372036854775807), id) AS INT) AS tile, id FROM files QUALIFY tile <= 24"""),
     "page_files": sql("inv files", "SELECT id, absolute_path, size_bytes, modified_unix FROM files WHERE category = 'photo' ORDER BY coalesce(modified_unix, 0) DESC, size_bytes DESC, id LIMIT 120 OFFSET 20"),
     "page_keyset": sql("inv", "SELECT id, size_bytes, modified_unix FROM inv WHERE coalesce(modified_unix, 0) < 1700500000 ORDER BY coalesce(modified_unix, 0) DESC, size_bytes DESC, id LIMIT 500"),
     "page_has_more": "SELECT least(count(*), 120) AS n_rows, count(*) >= 120 AS has_more FROM documents",

@@ -20,11 +20,18 @@ CHUNK = 1 << 20
 ENTRY_SCHEMA = "root_path string, absolute_path string, is_dir boolean, size_bytes long, modified_unix long"
 
 
+ENTRY_COLUMNS = ["root_path", "absolute_path", "is_dir", "size_bytes", "modified_unix"]
+ENTRIES_PER_FRAME = 50_000
+
+
+def _entry_frame(rows: list[tuple]) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=ENTRY_COLUMNS).astype({"modified_unix": "Int64"})
+
+
 def _list_folders(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    names = ["root_path", "absolute_path", "is_dir", "size_bytes", "modified_unix"]
+    rows = []
     for batch in batches:
         for root, folder in zip(batch["root_path"], batch["absolute_path"]):
-            rows = []
             with os.scandir(folder) as entries:
                 for entry in entries:
                     is_dir = entry.is_dir(follow_symlinks=False)
@@ -33,8 +40,10 @@ def _list_folders(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     info = entry.stat(follow_symlinks=False)
                     mtime = int(info.st_mtime // 1) if info.st_mtime >= 0 else None
                     rows.append((root, entry.path, is_dir, 0 if is_dir else info.st_size, mtime))
-            table = pd.DataFrame(rows, columns=names)
-            yield table.astype({"modified_unix": "Int64"})
+                    if len(rows) >= ENTRIES_PER_FRAME:  # a folder may hold any number of files
+                        yield _entry_frame(rows)
+                        rows = []
+    yield _entry_frame(rows)
 
 
 def walk(roots: DataFrame, partitions: int | None = None) -> DataFrame:

@@ -29,7 +29,12 @@ def text_lines(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+ENTRY_COLUMNS = ["archive_path", "entry_index", "entry_name", "head", "content"]
+FRAME_ROWS, FRAME_BYTES = 1000, 32 << 20
+
+
 def _read_entries(batches: Iterator[pd.DataFrame], with_content: bool) -> Iterator[pd.DataFrame]:
+    rows, size = [], 0
     for batch in batches:
         for path, data in zip(batch["archive_path"], batch["content"]):
             with zipfile.ZipFile(io.BytesIO(data)) as archive:
@@ -37,10 +42,12 @@ def _read_entries(batches: Iterator[pd.DataFrame], with_content: bool) -> Iterat
                     with archive.open(info) as entry:
                         head = entry.read(HEAD_BYTES)
                         body = head + entry.read() if with_content else None
-                    yield pd.DataFrame(
-                        {"archive_path": [path], "entry_index": [index], "entry_name": [info.filename],
-                         "head": [head], "content": [body]}
-                    )
+                    rows.append((path, index, info.filename, head, body))
+                    size += len(body or head)
+                    if len(rows) >= FRAME_ROWS or size >= FRAME_BYTES:
+                        yield pd.DataFrame(rows, columns=ENTRY_COLUMNS)
+                        rows, size = [], 0
+    yield pd.DataFrame(rows, columns=ENTRY_COLUMNS)
 
 
 def archive_entries(spark: SparkSession, path: str, with_content: bool = False) -> DataFrame:
