@@ -46,9 +46,9 @@ CTE = {
       FROM inv)""",
     "acts": """acts AS (SELECT *, CASE WHEN rn = 1 AND content_hash NOT IN (SELECT hash FROM prior)
       THEN 'copied' ELSE 'duplicate' END AS action FROM ranked)""",
-    "outside": """outside AS (SELECT DISTINCT content_hash FROM (
+    "outside": f"""outside AS (SELECT DISTINCT content_hash FROM (
         SELECT storage_path AS absolute_path, hash AS content_hash FROM prior UNION ALL
-        SELECT absolute_path, content_hash FROM inv WHERE CAST(substr(backup_id, 4) AS INT) % 2 = 1)
+        SELECT absolute_path, content_hash FROM inv WHERE backup_id NOT IN {IMPORTED})
       WHERE NOT (absolute_path = '/library' OR starts_with(absolute_path, '/library/')))""",
     "grp": """grp AS (SELECT content_hash, count(*) AS n_files,
         (count(*) - 1) * first(size_bytes ORDER BY coalesce(modified_unix, 9223372036854775807), id) AS reclaimable_bytes,
@@ -154,7 +154,7 @@ CTE = {
           WHEN 'refused' THEN 'Refused to trash a file inside the library''s own storage: ' || absolute_path
           WHEN 'missing' THEN 'File no longer exists: ' || absolute_path END AS error FROM (
         SELECT absolute_path, CASE WHEN starts_with(absolute_path, '/library/objects/') THEN 'refused'
-          WHEN absolute_path IN (SELECT absolute_path FROM files WHERE id % 4 <> 0) THEN 'eligible' ELSE 'missing' END AS verdict
+          WHEN absolute_path IN (SELECT absolute_path FROM files WHERE modified_unix IS NOT NULL) THEN 'eligible' ELSE 'missing' END AS verdict
         FROM (SELECT absolute_path FROM inv UNION SELECT storage_path FROM prior UNION
               SELECT '/library/objects2' || absolute_path FROM inv)))""",
     "a": """a AS (SELECT page_id, unnest(l) AS el, generate_subscripts(l, 1) - 1 AS pos FROM (
@@ -250,7 +250,7 @@ ORACLES: dict[str, str] = {
         FROM ranked r JOIN ranked f ON f.content_hash = r.content_hash AND f.rn = 1 LEFT JOIN prior p ON p.hash = r.content_hash WHERE r.rev = 1"""),
     "sink_objects": sql("inv prior ranked acts", "SELECT content_hash AS hash, substr(content_hash, 1, 2) AS shard, size_bytes AS n_bytes FROM acts WHERE action = 'copied'"),
     "sink_category_sync": sql("inv synced syncact", "SELECT absolute_path, destination, inner_path, size_bytes FROM syncact WHERE action = 'copied'"),
-    "sink_delete_index": sql("inv files", "SELECT id, absolute_path FROM files WHERE id % 4 = 0"),
+    "sink_delete_index": sql("inv files", "SELECT id, absolute_path FROM files WHERE modified_unix IS NULL"),
     "sink_recategorize": sql("inv files", "SELECT id, category FROM files"),
     "sink_hash_backfill": sql("inv", """SELECT id, CASE WHEN id % 3 = 0 OR count(*) OVER (PARTITION BY size_bytes) >= 2
         THEN content_hash END AS content_hash FROM inv"""),
@@ -410,8 +410,8 @@ ORACLES: dict[str, str] = {
         'inventory_only_proprietary_payload' AS parse_status FROM phone WHERE top = 'SBROWSER' AND backup_id NOT IN (SELECT 'p' || (page_id % 20) FROM a)"""),
     "set_union_records": sql("phone apprec dbrec calrec", f"SELECT kind, parse_status, count(*) AS n_records FROM (SELECT {RECORD} FROM apprec UNION ALL SELECT {RECORD} FROM dbrec UNION ALL SELECT {RECORD} FROM calrec) GROUP BY 1, 2"),
     "set_prepend_messages": sql("msg top100 msgrec phone dbrec", "SELECT 0 AS part, id, title FROM msgrec UNION ALL SELECT 1, id, title FROM dbrec"),
-    "set_remove_selected": sql("inv files grp member", "SELECT content_hash, id, n_left FROM (SELECT content_hash, id, count(*) OVER (PARTITION BY content_hash) AS n_left FROM member WHERE NOT (id % 3 = 0 AND preselected)) WHERE n_left >= 2"),
-    "set_deletable_selection": sql("inv files grp member", "SELECT content_hash, count(*) AS n_files, count(*) FILTER (id % 2 = 0) AS n_selected, count(*) FILTER (id % 2 = 0) BETWEEN 1 AND count(*) - 1 AS deletable FROM member GROUP BY 1"),
+    "set_remove_selected": sql("inv files grp member", "SELECT content_hash, id, n_left FROM (SELECT content_hash, id, count(*) OVER (PARTITION BY content_hash) AS n_left FROM member WHERE NOT (category = 'photo' AND preselected)) WHERE n_left >= 2"),
+    "set_deletable_selection": sql("inv files grp member", "SELECT content_hash, count(*) AS n_files, count(*) FILTER (category = 'photo') AS n_selected, count(*) FILTER (category = 'photo') BETWEEN 1 AND count(*) - 1 AS deletable FROM member GROUP BY 1"),
     "stream_incremental_index": "SELECT '/backups/' || source || '/Documents/' || source || '/' || doc_id || '.txt' AS absolute_path, 'documents' AS category, source, CAST(octet_length(encode(text)) AS BIGINT) AS size_bytes, sha256(text) AS content_hash FROM documents",
     "stream_dedup_ingest": """SELECT original_path, content_hash, CASE WHEN row_number() OVER (PARTITION BY content_hash ORDER BY original_path, absolute_path) = 1 THEN 'copied' ELSE 'duplicate' END AS action, size_bytes FROM (
         SELECT 'Documents/' || source || '/' || doc_id || '.txt' AS original_path, '/backups/' || source || '/Documents/' || source || '/' || doc_id || '.txt' AS absolute_path, sha256(text) AS content_hash, CAST(octet_length(encode(text)) AS BIGINT) AS size_bytes FROM documents)""",

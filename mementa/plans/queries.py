@@ -200,7 +200,7 @@ def sink_category_sync(s, d):
 
 
 def _purge(s, d):
-    existing = B.files(s, d).filter(F.col("id") % 4 != 0)
+    existing = B.files(s, d).filter("modified_unix IS NOT NULL")  # a file without a time is gone
     return D.purge_verdict(B.purge_requests(s, d), D.protected_roots(B.prior_contents(s, d)), existing)
 
 
@@ -500,10 +500,10 @@ def join_indexed_outside(s, d):
 
 
 def _mixed_index(s, d):
-    """Index of library objects plus the backups with odd numbers."""
+    """Index of the library objects and of the backup folders not imported yet."""
     stored = B.prior_contents(s, d).select(F.col("storage_path").alias("absolute_path"), F.col("hash").alias("content_hash"))
-    odd = F.substr("backup_id", F.lit(4)).cast("int") % 2 == 1
-    return stored.unionByName(B.inventory(s, d).filter(odd).select("absolute_path", "content_hash"))
+    waiting = B.inventory(s, d).filter(~F.col("backup_id").isin(B.IMPORTED_SOURCES))
+    return stored.unionByName(waiting.select("absolute_path", "content_hash"))
 
 
 @query
@@ -898,7 +898,7 @@ def set_prepend_messages(s, d):
 def set_remove_selected(s, d):
     f = B.files(s, d)
     members = D.duplicate_members(f, D.duplicate_groups(f))
-    chosen = members.filter((F.col("id") % 3 == 0) & F.col("preselected"))
+    chosen = members.filter((F.col("category") == "photo") & F.col("preselected"))
     return D.remove_selected(members, chosen, "content_hash").select("content_hash", "id", "n_left")
 
 
@@ -906,7 +906,7 @@ def set_remove_selected(s, d):
 def set_deletable_selection(s, d):
     f = B.files(s, d)
     members = D.duplicate_members(f, D.duplicate_groups(f))
-    chosen = members.filter(F.col("id") % 2 == 0)
+    chosen = members.filter(F.col("category") == "photo")
     return D.deletable_selection(members, chosen, "content_hash")
 
 
