@@ -5,7 +5,7 @@ import pytest
 import __spark_entry__ as entry
 from compare import difference, duck
 
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
+QUERIES, ORACLES = entry.QUERIES, entry.ORACLES
 
 
 @pytest.fixture(scope="module")
