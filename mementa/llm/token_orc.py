@@ -20,21 +20,23 @@ from mementa.llm.common import int_lists, int_rows, text_of
 STRIPE_BYTES = 32 << 20
 ROW_INDEX_STRIDE = 1000
 BLOOM_FPP = 0.01
-# Known strings of one worker; the table starts anew beyond it.
-MEMO_ENTRIES = 1_200_000
-# White space that the tokenizer drops and that no normal form touches.
+# Known words and chunks of one worker; a table starts anew beyond its size.
+KNOWN_WORDS = 900_000
+KNOWN_CHUNKS = 400_000
+# White space that the tokenizer drops; Python also splits at separators that are words to the tokenizer.
 _SPLIT = re.compile(r"[ \t\n\r]+").split
+_SEPARATORS = re.compile(r"[\x1c-\x1f]").search
 # Ends a batch entry: a private character, a word of its own in every text.
 _MARK = "\ue000"
-_TAIL = ".,!?;:"
+_TAIL = re.compile(r"(?<=[a-z])[.,!?;:](?=\n|\Z)")
 
 
 class ChunkEncoder:
     """The library's ids of whole texts, with ids of white-space-free chunks kept in a bounded table.
 
     The tokenizer drops white space before its merges, so a text's ids are those of its chunks.  New chunks are
-    brought to lower case and freed of a last punctuation mark (where that changes nothing for the tokenizer),
-    joined by a mark character and encoded by the library together.
+    brought to lower case and freed of a last punctuation mark (where that changes nothing for the tokenizer); the
+    words that are new then are joined by a mark character and encoded by the library together.
     """
 
     def __init__(self, path: str):
@@ -43,9 +45,10 @@ class ChunkEncoder:
         self.library = Tokenizer.from_file(path)
         self.mark = self.library.encode(_MARK, add_special_tokens=False).ids
         self.known: dict[str, bytes] = {"": b""}
+        self.chunks: dict[str, bytes] = {}
 
     def _encode(self, chunks: list[str]) -> None:
-        """Add the library's ids of ``chunks`` to the table."""
+        """Add the library's ids of ``chunks`` to the known words."""
         plain = [c for c in chunks if _MARK not in c]
         for start in range(0, len(plain), 500):
             some = plain[start : start + 500]
@@ -69,22 +72,25 @@ class ChunkEncoder:
             self.known[chunk] = np.array(ids, "<u4").tobytes()
 
     def batch(self, texts: list[str]) -> list[bytes]:
-        if len(self.known) > MEMO_ENTRIES:
+        if len(self.known) > KNOWN_WORDS:
             self.known = {"": b""}
-        cut = [_SPLIT(text) for text in texts]
-        parts = {}
-        for chunk in set().union(*cut) - self.known.keys():
-            core = chunk.lower() if chunk.isascii() and "<|" not in chunk else chunk
-            tail = ""
-            if len(core) > 1 and core[-1] in _TAIL and core[-2].isascii() and core[-2].isalpha():
-                core, tail = core[:-1], core[-1]
-            parts[chunk] = (core, tail)
-        new = {p for pair in parts.values() for p in pair} - self.known.keys()
-        self._encode(sorted(new))
+        if len(self.chunks) > KNOWN_CHUNKS:
+            self.chunks = {}
+        cut = [_SPLIT(t) if _SEPARATORS(t) else t.split() for t in texts]
+        new = list(set().union(*cut) - self.chunks.keys())
+        plain = [c for c in new if c.isascii() and "<|" not in c and "\n" not in c]
+        other = [c for c in new if not (c.isascii() and "<|" not in c and "\n" not in c)]
+        lower = "\n".join(plain).lower()
+        cores, lower = _TAIL.sub("", lower).split("\n"), lower.split("\n")
+        tails = {low[len(core):] for low, core in zip(lower, cores)}
+        self._encode(list(set(cores).union(tails, other) - self.known.keys()))
         known = self.known
-        for chunk, (core, tail) in parts.items():
-            known[chunk] = known[core] + known[tail]
-        return [b"".join(map(known.__getitem__, chunks)) for chunks in cut]
+        for chunk, low, core in zip(plain, lower, cores):
+            self.chunks[chunk] = known[core] if len(low) == len(core) else known[core] + known[low[len(core):]]
+        for chunk in other:
+            self.chunks[chunk] = known[chunk]
+        ids = self.chunks.__getitem__
+        return [b"".join(map(ids, chunks)) for chunks in cut]
 
 
 @lru_cache(maxsize=1)
@@ -107,8 +113,8 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int, key: str =
         encoder, part, skipped = _encoder(tokenizer), TaskContext.get().partitionId(), 0
         last = np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            for start in range(0, batch.num_rows, 1000):
-                some = batch.slice(start, 1000)
+            for start in range(0, batch.num_rows, 2000):
+                some = batch.slice(start, 2000)
                 chunks = [c + last for c in encoder.batch(some.column(1).to_pylist())]
                 ends = skipped + np.cumsum([len(c) // 4 for c in chunks])
                 before = np.concatenate(([skipped], ends[:-1]))
