@@ -20,9 +20,10 @@ from mementa.llm.common import int_lists, int_rows, text_of
 STRIPE_BYTES = 32 << 20
 ROW_INDEX_STRIDE = 1000
 BLOOM_FPP = 0.01
-# Known words and chunks of one worker; a table starts anew beyond its size.
-KNOWN_WORDS = 900_000
-KNOWN_CHUNKS = 400_000
+# Known words of one worker, in two generations of this size at most: words met again survive.
+KNOWN_WORDS = 300_000
+# Known chunks of one worker; the table starts anew beyond it.
+KNOWN_CHUNKS = 200_000
 # White space that the tokenizer drops; Python also splits at separators that are words to the tokenizer.
 _SPLIT = re.compile(r"[ \t\n\r]+").split
 _SEPARATORS = re.compile(r"[\x1c-\x1f]").search
@@ -44,12 +45,13 @@ class ChunkEncoder:
 
         self.library = Tokenizer.from_file(path)
         self.mark = self.library.encode(_MARK, add_special_tokens=False).ids
-        self.known: dict[str, bytes] = {"": b""}
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.chunks: dict[str, bytes] = {}
 
     def _encode(self, chunks: list[str]) -> None:
         """Add the library's ids of ``chunks`` to the known words."""
-        plain = [c for c in chunks if _MARK not in c]
+        plain = [c for c in chunks if c and _MARK not in c]
         for start in range(0, len(plain), 500):
             some = plain[start : start + 500]
             joined = f" {_MARK} ".join(some)
@@ -64,7 +66,7 @@ class ChunkEncoder:
             begins = np.concatenate(([0], ends + len(self.mark)))
             for chunk, a, b in zip(some, begins, [*ends, len(ids)]):
                 self.known[chunk] = ids[a:b].tobytes()
-        self._singly([c for c in chunks if _MARK in c])
+        self._singly([c for c in chunks if not c or _MARK in c])
 
     def _singly(self, chunks: list[str]) -> None:
         for chunk in chunks:
@@ -73,7 +75,7 @@ class ChunkEncoder:
 
     def batch(self, texts: list[str]) -> list[bytes]:
         if len(self.known) > KNOWN_WORDS:
-            self.known = {"": b""}
+            self.known, self.older = {}, self.known
         if len(self.chunks) > KNOWN_CHUNKS:
             self.chunks = {}
         cut = [_SPLIT(t) if _SEPARATORS(t) else t.split() for t in texts]
@@ -83,8 +85,11 @@ class ChunkEncoder:
         lower = "\n".join(plain).lower()
         cores, lower = _TAIL.sub("", lower).split("\n"), lower.split("\n")
         tails = {low[len(core):] for low, core in zip(lower, cores)}
-        self._encode(list(set(cores).union(tails, other) - self.known.keys()))
-        known = self.known
+        known, older = self.known, self.older
+        missing = set(cores).union(tails, other) - known.keys()
+        met = missing & older.keys()
+        known.update(zip(met, map(older.__getitem__, met)))
+        self._encode(list(missing - met))
         for chunk, low, core in zip(plain, lower, cores):
             self.chunks[chunk] = known[core] if len(low) == len(core) else known[core] + known[low[len(core):]]
         for chunk in other:
