@@ -21,7 +21,7 @@ STRIPE_BYTES = 32 << 20
 ROW_INDEX_STRIDE = 1000
 BLOOM_FPP = 0.01
 # Known words of one worker, in two generations of this size at most: words met again survive.
-KNOWN_WORDS = 300_000
+KNOWN_WORDS = 350_000
 # Known chunks of one worker; the table starts anew beyond it.
 KNOWN_CHUNKS = 200_000
 # White space that the tokenizer drops; Python also splits at separators that are words to the tokenizer.
@@ -106,7 +106,7 @@ def _encoder(path: str) -> ChunkEncoder:
 def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int, key: str = "doc_id", text: str = "text") -> None:
     """Encode every text, append ``end_id`` and write ORC in ascending ``key`` order.
 
-    Columns: key, part (number of the range), skipped (ids before the row in its range), ids array<int>.  Null and
+    Columns: key, part (number of the range), skipped (ids before the row in its range), n_ids, ids array<int>.  Null and
     empty texts consist of the end id, null keys come first, rows with equal keys lie next to each other in no
     defined order, other columns are not read.
     """
@@ -118,21 +118,22 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int, key: str =
         encoder, part, skipped = _encoder(tokenizer), TaskContext.get().partitionId(), 0
         last = np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            for start in range(0, batch.num_rows, 2000):
-                some = batch.slice(start, 2000)
+            for start in range(0, batch.num_rows, 4000):
+                some = batch.slice(start, 4000)
                 chunks = [c + last for c in encoder.batch(some.column(1).to_pylist())]
-                ends = skipped + np.cumsum([len(c) // 4 for c in chunks])
-                before = np.concatenate(([skipped], ends[:-1]))
+                counts = np.array([len(c) // 4 for c in chunks])
+                ends = skipped + np.cumsum(counts)
+                before = ends - counts
                 skipped = int(ends[-1])
                 yield pa.RecordBatch.from_arrays(
-                    [some.column(0), pa.array([part] * len(chunks), pa.int32()), pa.array(before, pa.int64()), int_lists(chunks)],
-                    ["key", "part", "skipped", "ids"],
+                    [some.column(0), pa.array([part] * len(chunks), pa.int32()), pa.array(before, pa.int64()), pa.array(counts, pa.int64()), int_lists(chunks)],
+                    ["key", "part", "skipped", "n_ids", "ids"],
                 )
 
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(F.col(key).alias("key"), text_of(text).alias("text"))
     ordered = rows.repartitionByRange("key").sortWithinPartitions("key")
-    encoded = ordered.mapInArrow(run, f"key {kind}, part int, skipped long, ids array<int>")
+    encoded = ordered.mapInArrow(run, f"key {kind}, part int, skipped long, n_ids long, ids array<int>")
     (
         encoded.withColumnRenamed("key", key).write.format("orc")
         .option("compression", "zstd")
@@ -168,7 +169,7 @@ def positions(stored: DataFrame, key: str = "doc_id") -> DataFrame:
             )
 
     kind = stored.schema[key].dataType.simpleString()
-    ends = stored.groupBy("part").agg(F.max(F.col("skipped") + F.size("ids")).alias("total"))
+    ends = stored.groupBy("part").agg(F.max(F.col("skipped") + F.col("n_ids")).alias("total"))
     earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     starts = ends.select("part", F.coalesce(F.sum("total").over(earlier), F.lit(0)).alias("first"))
     rows = stored.select(F.col(key).alias("key"), "part", "skipped", "ids")
