@@ -21,8 +21,10 @@ from pyspark.sql import DataFrame, functions as F
 
 from mementa.llm.common import gather, int_lists, int_rows, text_of
 
-# Known strings of one worker; the tables start anew beyond it.
-MEMO_ENTRIES = 500_000
+# Known words of one worker, in two generations of this size at most: words met again survive.
+KNOWN_WORDS = 300_000
+# Known pieces of one worker; their tables start anew beyond it.
+KNOWN_PIECES = 250_000
 # Code points of the documents that are replayed together.
 BLOCK_CHARS = 4 << 20
 # Spaces beside other white space: such a text is cut by the pattern alone.
@@ -120,12 +122,15 @@ class Encoder:
 
         self.merges, self.find = Merges(path), regex.compile(pattern).findall
         self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.spaced: dict[str, bytes] = {}
         self.plain: dict[str, bytes] = {}
 
     def block(self, texts: list[str]) -> list[bytes]:
-        if len(self.words) + len(self.spaced) + len(self.plain) > MEMO_ENTRIES:
-            self.words, self.spaced, self.plain = {}, {}, {}
+        if len(self.words) > KNOWN_WORDS:
+            self.words, self.older = {}, self.words
+        if len(self.spaced) + len(self.plain) > KNOWN_PIECES:
+            self.spaced, self.plain = {}, {}
         cut = []
         for text in texts:
             even = text and text[0] != " " and text[-1] != " " and not _UNEVEN.search(text)
@@ -134,7 +139,10 @@ class Encoder:
         others = set().union(*(p[1:] for p in cut if p)) - self.spaced.keys()
         new_plain = {t: self.find(t) for t in firsts}
         new_spaced = {t: self.find(" " + t) for t in others}
-        new = list(set().union(*new_plain.values(), *new_spaced.values()) - self.words.keys())
+        missing = set().union(*new_plain.values(), *new_spaced.values()) - self.words.keys()
+        met = missing & self.older.keys()
+        self.words.update(zip(met, map(self.older.__getitem__, met)))
+        new = list(missing - met)
         ids = self.merges.replay([w.encode() for w in new])
         self.words.update((w, np.array(i, "<u4").tobytes()) for w, i in zip(new, ids))
         word = self.words.__getitem__

@@ -518,7 +518,8 @@ def test_bpe_replay(tiktoken_encoding, texts):
 
 
 def test_bpe_memo_is_bounded(monkeypatch, documents, tiktoken_encoding):
-    monkeypatch.setattr(bpe, "MEMO_ENTRIES", 50)
+    monkeypatch.setattr(bpe, "KNOWN_WORDS", 50)
+    monkeypatch.setattr(bpe, "KNOWN_PIECES", 50)
     encoder = bpe.Encoder(RANKS, public_tokenizers.PATTERN)
     for _, text in documents[:30]:
         assert np.frombuffer(encoder.block([text])[0], "<u4").tolist() == tiktoken_encoding.encode_ordinary(text)
