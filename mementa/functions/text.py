@@ -70,8 +70,12 @@ def xml_unescape(value: Column | str) -> Column:
     v = _col(value)
     tokens = F.regexp_extract_all(v, F.lit(r"(?s)&[^;&]*;|[^&]+|&"), F.lit(0))
 
-    def code_point(number: Column) -> Column:
-        return F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")
+    def code_point(digits: Column, base: int) -> Column:
+        """The character of a number; NULL for zero, surrogates and what lies beyond Unicode."""
+        short = F.regexp_replace(digits, "^0+", "")
+        number = F.when(F.length(short).between(1, 7), F.conv(short, base, 10).cast("long"))
+        valid = number.between(1, 0xD7FF) | number.between(0xE000, 0x10FFFF)
+        return F.when(valid, F.decode(F.unhex(F.lpad(F.hex(F.when(valid, number).otherwise(32)), 8, "0")), "UTF-32"))
 
     def resolve(token: Column) -> Column:
         return (
@@ -82,13 +86,9 @@ def xml_unescape(value: Column | str) -> Column:
             .when(token == "&apos;", F.lit("'"))
             .when(token == "&amp;", F.lit("&"))
             .when(
-                token.rlike(r"^&#x[0-9a-fA-F]{1,6};$"),
-                code_point(F.conv(F.regexp_extract(token, r"x([0-9a-fA-F]+)", 1), 16, 10).cast("long")),
-            )
-            .when(
-                token.rlike(r"^&#[0-9]{1,7};$"),
-                code_point(F.regexp_extract(token, r"([0-9]+)", 1).cast("long")),
+                token.rlike(r"^&#x[0-9a-fA-F]+;$"), code_point(F.regexp_extract(token, r"x([0-9a-fA-F]+)", 1), 16)
             )
+            .when(token.rlike(r"^&#[0-9]+;$"), code_point(F.regexp_extract(token, r"([0-9]+)", 1), 10))
         )
 
     def joined(parts: Column) -> Column:

@@ -51,12 +51,12 @@ def status_rows(df: DataFrame, kind: str, status: str | Column) -> DataFrame:
 # ---------------------------------------------------------------- nested JSON
 
 
-def json_objects(payloads: DataFrame, text: str = "text", max_depth: int = 10) -> DataFrame:
+def json_objects(payloads: DataFrame, text: str = "text", levels: int = 10) -> DataFrame:
     """Every object at any depth, with a sortable depth-first position (parents before children).
 
-    Each step explodes a node into itself and its children, so the walk stays one narrow pipeline over
-    one scan.  Object children come in key order.  Deeper nesting than ``max_depth`` raises an error
-    rather than dropping objects; pass a larger value for such payloads.
+    Each step explodes a node into itself and its children, so ``levels`` steps are one narrow pipeline over
+    one scan.  The walk goes on from a checkpoint until no unopened container is left, whatever the depth.
+    Object children come in key order.
     """
     others = [c for c in payloads.columns if c != text]
 
@@ -85,11 +85,16 @@ def json_objects(payloads: DataFrame, text: str = "text", max_depth: int = 10) -
     )
     # finished nodes pass through untouched; scalars leave at the next step
     step = F.when(done, itself).otherwise(F.concat(itself, children))
-    for _ in range(max_depth):
-        nodes = nodes.filter(done | container).select(*others, F.inline(step))
-    message = F.lit(f"JSON nested deeper than max_depth={max_depth}")
-    too_deep = F.when(~done & container, F.raise_error(message).cast("boolean")).otherwise(done)
-    return nodes.filter(too_deep).select(
+
+    def walked(rows: DataFrame) -> DataFrame:
+        for _ in range(levels):
+            rows = rows.filter(done | container).select(*others, F.inline(step))
+        return reliable_checkpoint(rows)
+
+    nodes = walked(nodes)
+    while not nodes.filter(~done & container).isEmpty():
+        nodes = walked(nodes)
+    return nodes.filter(done).select(
         *others, F.col("_pos").alias("position"), as_object(v).alias("object")
     ).filter("object IS NOT NULL")
 

@@ -117,21 +117,31 @@ def backup_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def luma_grids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Luma grids from the first 272 bytes of the documents that have as many."""
-    d = table(spark, sf_dir, "documents")
+    """Luma grids from whole documents: cell i is the mean of the bytes from i/272 to (i+1)/272 of the text.
+
+    Texts below 272 bytes stay as photos that cannot be decoded: no grid.
+    """
+    d = table(spark, sf_dir, "documents").withColumn("size_bytes", F.octet_length("text").cast("long"))
     # one Latin-1 character per byte, so a character code is a byte value
-    first = F.decode(F.substring(F.encode("text", "UTF-8"), 1, 272), "ISO-8859-1")
-    luma = F.transform(F.split(first, ""), lambda c: F.ascii(c))
-    return (
-        d.withColumn("size_bytes", F.octet_length("text").cast("long"))
-        .filter("size_bytes >= 272")
-        .select(
-            F.col("doc_id").alias("id"),
-            "size_bytes",
-            (F.lit(300) + F.col("n_chars") % 8).cast("int").alias("width"),
-            F.lit(200).alias("height"),
-            luma.alias("luma"),
-        )
+    codes = F.transform(F.split(F.decode(F.encode("text", "UTF-8"), "ISO-8859-1"), ""), lambda c: F.ascii(c))
+
+    def border(i: Column) -> Column:
+        return F.floor(i * F.col("size_bytes") / 272).cast("int")
+
+    def cells(values: Column) -> Column:
+        def mean(i: Column) -> Column:
+            low, n = border(i), border(i + 1) - border(i)
+            total = F.aggregate(F.slice(values, low + 1, n), F.lit(0), lambda a, x: a + x)
+            return F.floor(total / n).cast("int")
+
+        return F.transform(F.sequence(F.lit(0), F.lit(271)), mean)
+
+    return d.select(
+        F.col("doc_id").alias("id"),
+        "size_bytes",
+        (F.lit(300) + F.col("n_chars") % 8).cast("int").alias("width"),
+        F.lit(200).alias("height"),
+        F.when(F.col("size_bytes") >= 272, P.let(codes, cells)).alias("luma"),
     )
 
 

@@ -67,10 +67,13 @@ CTE = {
         CAST(CASE WHEN count(*) = count(p.hash) THEN coalesce(sum(p.size_bytes), 0) ELSE 0 END AS BIGINT) AS reclaimable_bytes,
         count(*) = count(p.hash) AS safe_to_delete
       FROM inv LEFT JOIN prior p ON p.hash = inv.content_hash GROUP BY backup_id, root_path)""",
-    "grids": """grids AS (SELECT doc_id AS id, CAST(octet_length(encode(text)) AS BIGINT) AS size_bytes,
-        300 + n_chars % 8 AS width,
-        list_transform(range(0, 272), lambda i: CAST('0x' || substr(hex(encode(text)), CAST(2 * i + 1 AS INT), 2) AS INT)) AS luma
-      FROM documents WHERE octet_length(encode(text)) >= 272)""",
+    "grids": """grids AS (SELECT id, size_bytes, width, CASE WHEN size_bytes >= 272 THEN
+          list_transform(range(0, 272), lambda i: CAST(list_sum(codes[i * size_bytes // 272 + 1 : (i + 1) * size_bytes // 272])
+            // ((i + 1) * size_bytes // 272 - i * size_bytes // 272) AS INT)) END AS luma
+      FROM (SELECT doc_id AS id, n, n AS size_bytes, 300 + n_chars % 8 AS width,
+              list_transform(range(0, n), lambda j: 16 * (strpos('0123456789ABCDEF', substr(hex_text, CAST(2 * j + 1 AS INT), 1)) - 1)
+                + strpos('0123456789ABCDEF', substr(hex_text, CAST(2 * j + 2 AS INT), 1)) - 1) AS codes
+            FROM (SELECT doc_id, n_chars, hex(encode(text)) AS hex_text, CAST(octet_length(encode(text)) AS BIGINT) AS n FROM documents)))""",
     "signed": """signed AS (SELECT id, size_bytes,
         CAST(round(CAST(CAST((least(greatest(CAST(log2(CAST(width AS FLOAT) / CAST(200 AS FLOAT)) AS FLOAT), CAST(-2 AS FLOAT)), CAST(2 AS FLOAT)) + CAST(2 AS FLOAT)) / CAST(4 AS FLOAT) AS FLOAT) * CAST(254 AS FLOAT) AS FLOAT)) AS INT) AS aspect_q,
         CASE WHEN list_max(luma) - list_min(luma) >= 10 THEN array_to_string(list_transform(range(0, 256),

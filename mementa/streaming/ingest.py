@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -41,15 +43,18 @@ def incremental_index(stream: DataFrame, library: Library, hasher: Callable[[Dat
     )
 
 
-def dedup_ingest(stream: DataFrame, library: Library, destination: str, checkpoint: str) -> StreamingQuery:
+def dedup_ingest(stream: DataFrame, library: Library, destination: str, checkpoint: str,
+                 stream_id: str | None = None) -> StreamingQuery:
     """First content wins, later copies are duplicates; the contents table is the only state.
 
-    A batch that is replayed after a failure finds its run already recorded under the same run id and
-    is skipped, so the tables receive every batch once.
+    A run is named by stream and batch.  A batch that is replayed after a failure finds its own run recorded
+    and is skipped, so the tables receive every batch once, and batches of other streams never count as it.
+    ``stream_id`` defaults to the checkpoint, which is what makes two streams different to Spark.
     """
+    name = stream_id or hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        run = f"stream-{batch_id}"
+        run, version = f"stream-{name}-{batch_id}", library.pointer()["version"]
         done = library.read("import_runs").filter(F.col("id") == run)
         if not done.isEmpty():
             return
@@ -63,7 +68,8 @@ def dedup_ingest(stream: DataFrame, library: Library, destination: str, checkpoi
             F.lit(destination).alias("destination_path"), F.lit("completed").alias("status"),
             now.alias("started_at"), now.alias("finished_at"),
         )
-        library.commit(append={"contents": fresh, "import_run_entries": entries, "import_runs": marker})
+        # fails if another writer was faster; the restarted stream repeats the batch
+        library.commit(append={"contents": fresh, "import_run_entries": entries, "import_runs": marker}, expected=version)
 
     return (
         stream.writeStream.foreachBatch(handle)

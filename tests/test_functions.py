@@ -117,3 +117,9 @@ def test_difference_hash(spark):
         expected = [sum(1 << i for i in range(64) if bits[w * 64 + i]) for w in range(4)]
         assert [w % 2**64 for w in words] == expected
     assert got[6] == [-1, -1, -1, -1]
+
+
+def test_character_references(spark):
+    cases = {"&#x00000041;": "A", "&#0000000066;": "B", "&#x110000;": None, "&#xD800;": None, "&#0;": None, "&#x1F600;": "\U0001F600", "&#99999999999;": None}
+    frame = spark.createDataFrame([(k,) for k in cases], "v string")
+    assert {r["v"]: r["x"] for r in frame.select("v", X.xml_unescape("v").alias("x")).collect()} == cases

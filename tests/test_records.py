@@ -37,12 +37,12 @@ def test_wrapped_contact_and_repeated_keys(spark):
     assert brief(R.contacts(payloads(spark, "not json", "{broken"))) == []
 
 
-def test_deep_json_is_an_error_not_a_loss(spark):
+def test_deep_json_is_no_loss(spark):
     text = '{"a":' * 5 + '{"name":"x"}' + "}" * 5
     frame = payloads(spark, text)
-    assert R.json_objects(frame, max_depth=6).count() == 6
-    with pytest.raises(Exception, match="max_depth"):
-        R.json_objects(frame, max_depth=3).collect()
+    assert R.json_objects(frame, levels=6).count() == R.json_objects(frame, levels=2).count() == 6
+    deep = spark.createDataFrame([('{"a": [' * 60 + "1" + "]}" * 60,)], "text string")
+    assert R.json_objects(deep).count() == 60
 
 
 def test_browser_json_and_html(spark):

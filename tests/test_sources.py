@@ -149,6 +149,17 @@ def test_stream_dedup_over_batches_and_restart(spark, tmp_path):
     assert library.read("contents").count() == 3
 
 
+def test_two_streams_share_a_library(spark, tmp_path):
+    library = Library(spark, str(tmp_path / "lib"))
+    for name, data in (("one", [("a", b"x", 1)]), ("two", [("b", b"x", 1), ("c", b"y", 1)])):
+        arriving = str(tmp_path / name)
+        _arrive(spark, arriving, 1, data)
+        stream = spark.readStream.schema(ingest_schema() + ", content_hash string").option("recursiveFileLookup", True).parquet(arriving)
+        ingest.dedup_ingest(stream, library, "/dest", str(tmp_path / f"ck-{name}")).awaitTermination()
+    got = {r.original_path: r.action for r in library.read("import_run_entries").collect()}
+    assert got == {"a": "copied", "b": "duplicate", "c": "copied"}
+
+
 def test_stream_index_updates_changed_files(spark, tmp_path):
     arriving, library = str(tmp_path / "in"), Library(spark, str(tmp_path / "lib"))
 
