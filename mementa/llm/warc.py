@@ -30,6 +30,7 @@ DICTIONARY_BYTES = 64 << 10
 ARCHIVE_BYTES = 256 << 20
 LEVEL = 3
 READ_BYTES = 1 << 20
+READ_TASKS = 20_000
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _ODD = re.compile(r"[^!-~]")
 
@@ -202,9 +203,11 @@ def write(pages: DataFrame, folder: str, least: int = LEAST_REVISIT_BYTES) -> Da
 def read(spark: SparkSession, archives: DataFrame, folder: str) -> DataFrame:
     """(page_id, url, record_type, refers_to, payload_digest, payload_bytes, payload) per record of the listed archives.
 
-    Archives are dealt out one by one.  A response whose payload does not have the recorded digest is an error.
-    ``payload`` is null for revisits.
+    Every archive is a task of its own, up to ``READ_TASKS``: their list is too short for adaptive execution to see how
+    much lies behind it.  A response whose payload does not have the recorded digest is an error.  ``payload`` is null
+    for revisits.
     """
+    tasks = max(1, min(archives.count(), READ_TASKS))
 
     def run(batches):
         import pyarrow as pa
@@ -232,7 +235,7 @@ def read(spark: SparkSession, archives: DataFrame, folder: str) -> DataFrame:
                     yield out(some)
 
     schema = "page_id long, url string, record_type string, refers_to long, payload_digest string, payload_bytes long, payload binary"
-    return archives.select("archive").repartition("archive").mapInArrow(run, schema)
+    return archives.select("archive").repartition(tasks).mapInArrow(run, schema)
 
 
 def _page(uri: str | None) -> int | None:
