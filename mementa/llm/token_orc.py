@@ -21,7 +21,7 @@ STRIPE_BYTES = 32 << 20
 ROW_INDEX_STRIDE = 1000
 BLOOM_FPP = 0.01
 # Known words of one worker, in two generations of this size at most: words met again survive.
-KNOWN_WORDS = 350_000
+KNOWN_WORDS = 330_000
 # Known chunks of one worker; the table starts anew beyond it.
 KNOWN_CHUNKS = 200_000
 # White space that the tokenizer drops; Python also splits at separators that are words to the tokenizer.
@@ -118,8 +118,8 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int, key: str =
         encoder, part, skipped = _encoder(tokenizer), TaskContext.get().partitionId(), 0
         last = np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            for start in range(0, batch.num_rows, 4000):
-                some = batch.slice(start, 4000)
+            for start in range(0, batch.num_rows, 2000):
+                some = batch.slice(start, 2000)
                 chunks = [c + last for c in encoder.batch(some.column(1).to_pylist())]
                 counts = np.array([len(c) // 4 for c in chunks])
                 ends = skipped + np.cumsum(counts)
