@@ -38,6 +38,28 @@ def path_within(path: Column | str, root: Column | str) -> Column:
     return (p == r) | p.startswith(F.concat(r, F.lit("/")))
 
 
+def resolved(path: Column | str) -> Column:
+    """Path without ``.``, ``..`` and empty components, links left alone.
+
+    As for an operating system, ``/..`` is ``/``; what a relative path climbs above its start stays as leading ``..``.
+    """
+    p = _col(path)
+    absolute = p.startswith("/")
+    parts = F.filter(F.split(p, "/"), lambda x: ~x.isin("", "."))
+
+    def step(done: Column, x: Column) -> Column:
+        inside = (F.size(done) > 0) & (F.coalesce(F.try_element_at(done, F.lit(-1)), F.lit("..")) != "..")
+        return (
+            F.when(x != "..", F.concat(done, F.array(x)))
+            .when(inside, F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0))))
+            .when(absolute, done)
+            .otherwise(F.concat(done, F.array(x)))
+        )
+
+    kept = F.aggregate(parts, F.array().cast("array<string>"), step)
+    return F.concat(F.when(absolute, F.lit("/")).otherwise(F.lit("")), F.array_join(kept, "/"))
+
+
 def relative_path(path: Column | str, root: Column | str) -> Column:
     """Path below ``root``; the full path when it lies elsewhere."""
     p, r = _col(path), _clean_root(root)

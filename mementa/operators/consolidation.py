@@ -13,6 +13,17 @@ from mementa.operators.index import describe
 RUN_ORDER = ["relative_path", "absolute_path"]
 
 
+# What a run needs of an inventory.
+INVENTORY = ["absolute_path", "relative_path", "extension", "size_bytes", "modified_unix", "content_hash"]
+
+
+def readable(inventory: DataFrame) -> DataFrame:
+    """The columns a run needs; a file without a hash ends the job, as it must not count as a content."""
+    path = F.coalesce("absolute_path", F.lit("?"))
+    unread = F.raise_error(F.concat(F.lit("File could not be read: "), path)).cast("string")
+    return inventory.withColumn("content_hash", F.coalesce("content_hash", unread)).select(*INVENTORY)
+
+
 def indexed_outside(files: DataFrame, destination: str) -> DataFrame:
     """Distinct hashes of indexed files that lie outside the destination."""
     return (

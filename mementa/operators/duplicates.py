@@ -135,16 +135,18 @@ def purge_verdict(requests: DataFrame, roots: DataFrame, existing: DataFrame,
     A path lies in a root exactly when one of its ancestors (or itself) is that root, so each path is
     expanded to its ancestors and the prefix test becomes an equi-join.  Few roots are broadcast (their
     number is checked); more are joined under a salt, because top folders are ancestors of every path.
+    Paths are resolved first, so ``..`` does not lead around the guard; a relative path that climbs above its
+    start is refused.
     """
-    wanted = requests.select("absolute_path").distinct()
-    parts = F.split(F.col("absolute_path"), "/")
+    wanted = requests.select("absolute_path").distinct().withColumn("path", P.resolved("absolute_path"))
+    parts = F.split(F.col("path"), "/")
     lineage = F.transform(
         F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/")
     )
-    clean = roots.select(F.regexp_replace("root", "/+$", "").alias("ancestor")).distinct().withColumn(
+    clean = roots.select(F.regexp_replace(P.resolved("root"), "/+$", "").alias("ancestor")).distinct().withColumn(
         "hit", F.lit(True)
     )
-    expanded = wanted.select("absolute_path", F.explode(lineage).alias("ancestor"))
+    expanded = wanted.select("absolute_path", "path", F.explode(lineage).alias("ancestor"))
     if clean.limit(broadcast_roots + 1).count() <= broadcast_roots:
         matched = expanded.join(F.broadcast(clean), "ancestor", "left")
     else:
@@ -152,15 +154,16 @@ def purge_verdict(requests: DataFrame, roots: DataFrame, existing: DataFrame,
         matched = expanded.withColumn(
             "salt", F.pmod(F.xxhash64("absolute_path"), F.lit(ROOT_SALTS)).cast("int")
         ).join(salted, ["ancestor", "salt"], "left")
-    guarded = matched.groupBy("absolute_path").agg(
-        F.coalesce(F.bool_or("hit"), F.lit(False)).alias("guarded")
+    climbs = (F.col("path") == "..") | F.col("path").startswith("../")
+    guarded = matched.groupBy("absolute_path", "path").agg(F.bool_or("hit").alias("hit")).withColumn(
+        "guarded", F.coalesce("hit", F.lit(False)) | climbs
     )
-    present = existing.select("absolute_path").distinct().withColumn("present", F.lit(True))
+    present = existing.select(P.resolved("absolute_path").alias("path")).distinct().withColumn("present", F.lit(True))
     verdict = (
         F.when(F.col("guarded"), "refused").when(F.col("present"), "eligible").otherwise("missing")
     )
     return (
-        guarded.join(present, "absolute_path", "left")
+        guarded.join(present, "path", "left")
         .withColumn("verdict", verdict)
         .withColumn(
             "error",
@@ -173,11 +176,15 @@ def purge_verdict(requests: DataFrame, roots: DataFrame, existing: DataFrame,
     )
 
 
+def eligible_paths(verdicts: DataFrame) -> DataFrame:
+    """Resolved paths that may go, each once."""
+    return verdicts.filter("verdict = 'eligible'").select(P.resolved("absolute_path").alias("absolute_path")).distinct()
+
+
 def purge_summary(verdicts: DataFrame, files: DataFrame) -> DataFrame:
     """Files that may go, index rows that go with them, and the number of refusals."""
     counts = verdicts.agg(
         F.count_if(F.col("verdict") == "eligible").alias("trashed"), F.count("error").alias("n_errors")
     )
-    gone = verdicts.filter("verdict = 'eligible'").select("absolute_path")
-    rows = files.join(gone, "absolute_path", "left_semi").agg(F.count("*").alias("removed_from_index"))
+    rows = files.join(eligible_paths(verdicts), "absolute_path", "left_semi").agg(F.count("*").alias("removed_from_index"))
     return counts.withColumn("_one", F.lit(1)).join(rows.withColumn("_one", F.lit(1)), "_one").drop("_one")

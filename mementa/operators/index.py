@@ -11,8 +11,8 @@ from mementa.functions import paths as P
 from mementa.operators.common import dimension, lookup_join, upsert
 from mementa.session import reliable_checkpoint
 
-# Above this many files the list of paths to hash is shuffled instead of broadcast (about 100 MB).
-BROADCAST_PATHS = 500_000
+# Bits of the bitmap of paths to hash: 32 MB at most, at any number of paths.
+FILTER_BITS = 1 << 28
 
 
 def describe(inventory: DataFrame) -> DataFrame:
@@ -47,19 +47,27 @@ def with_previous(inventory: DataFrame, previous: DataFrame) -> DataFrame:
 
 
 def hash_from_table(contents: DataFrame, content: str = "content",
-                    broadcast_paths: int = BROADCAST_PATHS) -> Callable[[DataFrame], DataFrame]:
+                    filter_bits: int = FILTER_BITS) -> Callable[[DataFrame], DataFrame]:
     """Hasher over a table (absolute_path, content) with the bytes inline.
 
-    Few wanted paths are broadcast (their number is checked), so only their bytes are hashed.  For
-    more, hashing runs before the join and only the 64-character hash is shuffled, never the bytes.
+    A bitmap of the wanted paths (at most ``filter_bits``, hence safe to broadcast) drops other rows before
+    their bytes are hashed; what it lets through by chance is dropped by a join of paths and hashes.
+    Bytes are never shuffled.
     """
 
+    def slot() -> Column:
+        return F.pmod(F.xxhash64("absolute_path"), F.lit(filter_bits)) + 1
+
     def run(wanted: DataFrame) -> DataFrame:
-        wanted = reliable_checkpoint(wanted)  # counted and joined: the index join behind it runs once
-        if wanted.count() <= broadcast_paths:
-            found = contents.join(F.broadcast(wanted), "absolute_path", "left_semi")
-            return found.select("absolute_path", F.sha2(F.col(content), 256).alias("content_hash"))
-        hashed = contents.select("absolute_path", F.sha2(F.col(content), 256).alias("content_hash"))
+        wanted = reliable_checkpoint(wanted)  # used twice: the index join behind it runs once
+        marks = wanted.groupBy(F.bitmap_bucket_number(slot()).alias("_bucket")).agg(
+            F.bitmap_construct_agg(F.bitmap_bit_position(slot())).alias("_bits")
+        )
+        position = F.bitmap_bit_position(slot())
+        byte = F.conv(F.hex(F.substring("_bits", F.floor(position / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+        marked = F.call_function("shiftright", byte, F.pmod(position, F.lit(8)).cast("int")).bitwiseAND(F.lit(1)) == 1
+        near = contents.withColumn("_bucket", F.bitmap_bucket_number(slot())).join(F.broadcast(marks), "_bucket")
+        hashed = near.filter(marked).select("absolute_path", F.sha2(F.col(content), 256).alias("content_hash"))
         return hashed.join(wanted, "absolute_path", "left_semi")
 
     return run
@@ -84,10 +92,11 @@ def incremental_index(inventory: DataFrame, previous: DataFrame, hasher: Reader,
         .withColumn("rehashed", F.col("fresh_hash").isNotNull())
         .drop("reused_hash", "fresh_hash")
     )
+    known = "reused_sig" in state.columns
     if signer is None:
-        return indexed.drop("reused_sig", "reused_aspect")
+        # a changed photo loses its signature rather than keep that of its old content
+        return indexed.withColumnsRenamed({"reused_sig": "sig", "reused_aspect": "aspect_q"}) if known else indexed
     photo = F.col("category") == "photo"
-    known = "reused_sig" in state.columns
     missing = F.col("reused_sig").isNull() if known else F.lit(True)
     unsigned = state.filter(photo & missing & P.ascii_lower("extension").isin(K.DECODABLE_EXTENSIONS))
     signed = signer(unsigned.select("absolute_path")).select(

@@ -31,9 +31,8 @@ from mementa.session import reliable_checkpoint
 BITS, BANDS = 256, 13
 WORDS = [f"w{i}" for i in range(4)]
 HOT_ROWS = 4096
-# Hot keys are broadcast; the limit that makes a bucket hot rises with the data so that at most this many
-# first- or second-level buckets can exceed it.
-MAX_HOT_KEYS = 1_000_000
+# Hot keys are broadcast up to this number (their count is checked) and joined by key beyond it.
+BROADCAST_KEYS = 100_000
 NO_BIT = 511
 
 
@@ -154,6 +153,11 @@ def _crowded(rows: DataFrame, key: str, limit: int) -> DataFrame:
     )
 
 
+def _keys(df: DataFrame) -> DataFrame:
+    """A table of hot keys, broadcast where there are few; adaptive execution splits the skewed join otherwise."""
+    return F.broadcast(df) if df.count() <= BROADCAST_KEYS else df
+
+
 def _split(members: DataFrame, probes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Part 0 holds the rows of the main label, part 1 the rest; the main label only probes the rest."""
     is_main = F.col("label") == F.col("main")
@@ -187,7 +191,7 @@ def _refined_links(members: DataFrame, probes: DataFrame, limit: int) -> DataFra
     """
     left = _explode_keys(members, _second_codes(exact=True), "key2", "key")
     right = _explode_keys(probes, _second_codes(exact=False), "key2", "key")
-    big = F.broadcast(_crowded(left, "key2", limit))  # at most MAX_HOT_KEYS rows
+    big = _keys(_crowded(left, "key2", limit))
     plain = _links(left.join(big, "key2", "left_anti"), right.join(big, "key2", "left_anti"), ["key2"])
     cells = F.ceil(F.col("n") / limit).cast("int")
     every = F.explode(F.sequence(F.lit(0), cells - 1))
@@ -225,13 +229,13 @@ def signature_components(signatures: DataFrame, hot_rows: int = HOT_ROWS,
         .drop("vertex", "component")
     )
     members, probes = exact_keys(labelled), probe_keys(labelled)
-    limit = max(hot_rows, total * (BANDS - 1) // MAX_HOT_KEYS)
+    limit = hot_rows
     hot = buckets.filter(F.col("n") > limit).select("key")
     if hot.isEmpty():
         links = _links(members, probes, ["key"])
     else:
-        small = F.broadcast(hot)
-        main = F.broadcast(_crowded(members.join(small, "key"), "key", limit))
+        small = _keys(hot)
+        main = _keys(_crowded(members.join(small, "key"), "key", limit))
         links = _links(
             members.join(small, "key", "left_anti"), probes.join(small, "key", "left_anti"), ["key"]
         ).unionByName(_hot_links(members.join(main, "key"), probes.join(main, "key"), limit))

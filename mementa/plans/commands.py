@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from mementa import constants as K
 from mementa.operators import consolidation as C
 from mementa.operators import duplicates as D
 from mementa.operators import index as I
@@ -47,14 +48,30 @@ class Commands:
     def list_indexed_files(self, category: str | None = None, limit: int = 120, offset: int = 0) -> DataFrame:
         return I.page_files(self.library.read("files"), category, limit, offset)
 
-    def find_duplicate_files(self, category: str | None = None) -> DataFrame:
+    def _refill(self, fill: I.Reader) -> None:
+        """Write the index anew after ``fill``."""
+        version = self.library.pointer()["version"]
+        self.library.commit({"files": fill(self.library.read("files"))}, expected=version)
+
+    def find_duplicate_files(self, category: str | None = None, hasher: I.Reader | None = None) -> DataFrame:
+        """With a hasher, files whose size collides are read first where they have no hash; the index keeps it."""
+        if hasher is not None:
+            self._refill(lambda files: I.backfill_hashes(files, hasher))
         return D.sort_groups(D.duplicate_groups(self.library.read("files"), category))
 
+    def duplicate_summary(self, category: str | None = None) -> DataFrame:
+        """Groups, reclaimable bytes and candidates of a scan."""
+        files = I.category_filter(self.library.read("files"), category)
+        return D.scan_summary(D.duplicate_groups(files), D.candidate_count(files))
+
     def duplicate_files(self, category: str | None = None) -> DataFrame:
         files = I.category_filter(self.library.read("files"), category)
         return D.duplicate_members(files, D.duplicate_groups(files))
 
-    def find_similar_photos(self) -> DataFrame:
+    def find_similar_photos(self, signer: I.Reader | None = None) -> DataFrame:
+        """With a signer, photos without a signature (imported ones, too) are signed first; the index keeps it."""
+        if signer is not None:
+            self._refill(lambda files: I.backfill_signatures(files, signer))
         groups = M.similar_groups(self._look_alikes())
         return groups.orderBy(F.col("reclaimable_bytes").desc(), "group_key")
 
@@ -67,7 +84,7 @@ class Commands:
 
     def plan_consolidation(self, inventory: DataFrame, destination: str) -> DataFrame:
         outside = C.indexed_outside(self.library.read("files"), destination)
-        return C.plan_consolidation(inventory, self.library.read("contents"), outside)
+        return C.plan_consolidation(C.readable(inventory), self.library.read("contents"), outside)
 
     def run_consolidation(self, inventory: DataFrame, **options) -> DataFrame:
         return run_consolidation(self.library, inventory, **options)
@@ -83,7 +100,7 @@ class Commands:
         if app_roots:
             roots = roots.unionByName(self.spark.createDataFrame([(r,) for r in app_roots], "root string"))
         verdicts = D.purge_verdict(requests, roots, existing)
-        remaining = I.delete_paths(files, verdicts.filter("verdict = 'eligible'"))
+        remaining = I.delete_paths(files, D.eligible_paths(verdicts))
         self.library.commit({"files": remaining}, expected=version)
         return verdicts
 
@@ -105,5 +122,5 @@ class Commands:
     def structured_records(self, inventory: DataFrame, payloads: DataFrame) -> DataFrame:
         return R.structured_records(inventory, payloads)
 
-    def message_records(self, messages: DataFrame, database_path: str) -> DataFrame:
-        return R.messages(messages, database_path)
+    def message_records(self, messages: DataFrame, database_path: str, limit: int = K.MESSAGE_SAMPLE) -> DataFrame:
+        return R.messages(messages, database_path, limit)

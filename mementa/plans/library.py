@@ -117,6 +117,7 @@ def run_consolidation(library: Library, inventory: DataFrame, adapter: str, labe
     spark = library.spark
     now = F.current_timestamp()
     version = library.pointer()["version"]
+    inventory = reliable_checkpoint(C.readable(inventory))  # hashed once, the same for all tables
     contents, files = library.read("contents"), library.read("files")
     ids = spark.range(0, 1, 1, 1).select(
         P.backup_id(F.lit(adapter), F.lit(source_path)).alias("id")

@@ -29,11 +29,11 @@ def _newest_per_path(batch: DataFrame) -> DataFrame:
 
 
 def incremental_index(stream: DataFrame, library: Library, hasher: Callable[[DataFrame], DataFrame],
-                      checkpoint: str) -> StreamingQuery:
-    """Hash only new or changed files of each batch and upsert them into the index."""
+                      checkpoint: str, signer: Callable[[DataFrame], DataFrame] | None = None) -> StreamingQuery:
+    """Hash (and with a signer, sign) only new or changed files of each batch and upsert them into the index."""
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        run_index(library, _newest_per_path(batch), hasher)
+        run_index(library, _newest_per_path(batch), hasher, signer)
 
     return (
         stream.writeStream.foreachBatch(handle)
@@ -59,6 +59,7 @@ def dedup_ingest(stream: DataFrame, library: Library, destination: str, checkpoi
         if not done.isEmpty():
             return
         contents = library.read("contents")
+        batch = reliable_checkpoint(C.readable(batch))
         now = F.current_timestamp()
         copied = reliable_checkpoint(C.copied_files(batch, contents))
         fresh = C.new_contents(batch, contents, destination, copied).withColumn("first_seen_at", now)

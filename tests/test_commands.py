@@ -60,6 +60,21 @@ def test_session(spark, tmp_path):
     assert hashlib.sha256(b"hello").hexdigest() in {r.hash for r in commands.library.read("contents").collect()}
 
 
+def test_scans_read_what_the_index_lacks(spark, tmp_path):
+    commands = Commands(spark, Library(spark, str(tmp_path / "library")))
+    rows = [("/r", f"/r/{n}.png", f"{n}.png", 2, 1, "png", d) for n, d in (("a", b"xx"), ("b", b"xx"), ("c", b"yy"))]
+    inv = spark.createDataFrame(rows, "root_path string, absolute_path string, relative_path string, size_bytes long, modified_unix long, extension string, content binary")
+    nothing = inv.limit(0).select("absolute_path", F.lit("").alias("content_hash"))
+    commands.index_multimedia(inv.drop("content"), lambda wanted: nothing)
+    assert commands.find_duplicate_files().count() == 0
+    assert commands.find_duplicate_files(hasher=I.hash_from_table(inv)).first().n_files == 2
+    summary = commands.duplicate_summary().first()
+    assert (summary.total_groups, summary.reclaimable_bytes, summary.scanned_candidates) == (1, 2, 3)
+    signer = lambda wanted: wanted.select("absolute_path", F.lit(9).alias("aspect_q"), F.array(*[F.lit(7).cast("long")] * 4).alias("sig"))
+    assert commands.find_similar_photos().count() == 0
+    assert commands.find_similar_photos(signer).first().n_files == 3
+
+
 def test_small_commands(spark):
     commands = Commands(spark, None)
     assert commands.adapter_registry().count() == 4

@@ -61,8 +61,8 @@ def test_incremental_index_reuses_hashes(spark):
     old = I.describe(inv).withColumn("content_hash", F.concat(F.lit("old-"), "relative_path")).filter("relative_path <> 'd.txt'")
     old = old.withColumn("modified_unix", F.when(F.col("relative_path") == "c.txt", 2).otherwise(F.col("modified_unix")))
     contents = inv.filter("relative_path <> 'd.txt'").select("absolute_path", "content")
-    for limit in (0, 100):
-        rows = I.incremental_index(plain, old, I.hash_from_table(contents, broadcast_paths=limit)).collect()
+    for bits in (1, 3, I.FILTER_BITS):  # one bit lets every path through
+        rows = I.incremental_index(plain, old, I.hash_from_table(contents, filter_bits=bits)).collect()
         got = {r.relative_path: (r.content_hash, r.unchanged) for r in rows}
         assert got == {
             "a.txt": ("old-a.txt", True), "b.txt": ("old-b.txt", True),
@@ -146,6 +146,37 @@ def test_purge_guard(spark):
     assert [r.absolute_path for r in I.delete_paths(files, existing.limit(1)).collect()] == ["/lib/objects/ab/x"]
 
 
+def test_purge_guard_resolves_paths(spark):
+    paths = {
+        "/home/../lib/objects/ab/x": "refused", "/lib//objects/./ab/x": "refused", "/../lib/objects/y": "refused",
+        "../x": "refused", "/lib/objects/../here": "eligible", "/lib/objects/../gone": "missing",
+    }
+    requests = spark.createDataFrame([(p,) for p in paths], "absolute_path string")
+    roots = spark.createDataFrame([("/lib/x/../objects/",)], "root string")
+    existing = spark.createDataFrame([("/lib/here",), ("/lib/objects/ab/x",)], "absolute_path string")
+    verdicts = D.purge_verdict(requests, roots, existing)
+    assert {r.absolute_path: r.verdict for r in verdicts.collect()} == paths
+    assert [r.absolute_path for r in D.eligible_paths(verdicts).collect()] == ["/lib/here"]
+
+
+def test_unreadable_files_end_a_run(spark, tmp_path):
+    library = Library(spark, str(tmp_path / "lib"))
+    inv = inventory(spark, "/src", [A, C_]).withColumn("content_hash", F.when(F.col("relative_path") == A[0], F.col("content_hash")))
+    with pytest.raises(Exception, match="File could not be read: /src/Docs/c.bin"):
+        run_consolidation(library, inv, "generic-folder", "b", "/src", "/dest", "1")
+    assert library.read("contents").isEmpty() and library.read("import_runs").isEmpty()
+
+
+def test_changed_photo_loses_its_signature_without_a_signer(spark):
+    inv = inventory(spark, "/r", [("a.jpg", b"one", 1), ("b.jpg", b"two", 2)]).drop("content_hash")
+    old = I.describe(inv).withColumns({"content_hash": F.lit("h"), "aspect_q": F.lit(5), "sig": F.array(F.lit(1).cast("long"))})
+    old = old.withColumn("size_bytes", F.when(F.col("relative_path") == "b.jpg", 9).otherwise(F.col("size_bytes")))
+    found = I.incremental_index(inv.drop("content"), old, I.hash_from_table(inv.select("absolute_path", "content")))
+    after = I.upsert_files(old.withColumn("id", F.lit(1)), found)
+    got = {r.relative_path: (r.content_hash, r.aspect_q, r.sig) for r in after.collect()}
+    assert got == {"a.jpg": ("h", 5, [1]), "b.jpg": (hashlib.sha256(b"two").hexdigest(), None, None)}
+
+
 A, B_, C_ = ("Photo/a.jpg", bytes([1, 2, 3]), 1), ("Photo/b.jpg", bytes([1, 2, 3]), 2), ("Docs/c.bin", bytes([4, 5]), 3)
 
 
