@@ -27,48 +27,51 @@ KNOWN_CHUNKS = 200_000
 # White space that the tokenizer drops; Python also splits at separators that are words to the tokenizer.
 _SPLIT = re.compile(r"[ \t\n\r]+").split
 _SEPARATORS = re.compile(r"[\x1c-\x1f]").search
-# Ends a batch entry: a private character, a word of its own in every text.
-_MARK = "\ue000"
-_TAIL = re.compile(r"(?<=[a-z])[.,!?;:](?=\n|\Z)")
+# A chunk of Latin letters, then marks, is two words to the tokenizer at most; any other chunk gives two empty parts.
+_LATIN = "A-Za-zÀ-ÖØ-öø-ÿ"
+_PARTS = re.compile(rf"^(?:([{_LATIN}]*)([!-&(-/:-@\[-`{{-~]*)|.*)$", re.MULTILINE).findall
+_WORDS_AT_ONCE = 500
 
 
 class ChunkEncoder:
     """The library's ids of whole texts, with ids of white-space-free chunks kept in a bounded table.
 
-    The tokenizer drops white space before its merges, so a text's ids are those of its chunks.  New chunks are
-    brought to lower case and freed of a last punctuation mark (where that changes nothing for the tokenizer); the
-    words that are new then are joined by a mark character and encoded by the library together.
+    The tokenizer drops white space before its merges, so a text's ids are those of its chunks.  New chunks of
+    letters and marks are cut into their words here, and the library's model gets the words that are new; the library
+    as a whole, with its costly normalisation, gets only the chunks of another form.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.mark = self.library.encode(_MARK, add_special_tokens=False).ids
+        self.model = Tokenizer(self.library.model)
+        accented = map(chr, range(0xC0, 0x100))
+        self.letters = str.maketrans({c: self.library.pre_tokenizer.pre_tokenize_str(c)[0][0] for c in accented})
+        # the last id of a word is told by the model's suffix; without one, the library gets every word by itself
+        suffix, vocabulary = self.library.model.end_of_word_suffix, self.library.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.last[[i for t, i in vocabulary.items() if suffix and t.endswith(suffix)]] = True
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.chunks: dict[str, bytes] = {}
 
-    def _encode(self, chunks: list[str]) -> None:
-        """Add the library's ids of ``chunks`` to the known words."""
-        plain = [c for c in chunks if c and _MARK not in c]
-        for start in range(0, len(plain), 500):
-            some = plain[start : start + 500]
-            joined = f" {_MARK} ".join(some)
-            ids = np.array(self.library.encode(joined, add_special_tokens=False).ids, "<u4")
-            at = np.ones(max(0, len(ids) - len(self.mark) + 1), bool)
-            for k, m in enumerate(self.mark):
-                at &= ids[k : len(ids) - len(self.mark) + 1 + k] == m
-            ends = np.flatnonzero(at)
-            if len(ends) != len(some) - 1:  # a chunk that has the mark's ids inside
-                self._singly(some)
+    def _words(self, words: list[str]) -> None:
+        """Add the model's ids of lower-case words to the known ones."""
+        for start in range(0, len(words), _WORDS_AT_ONCE):
+            some = words[start : start + _WORDS_AT_ONCE]
+            names = [w if w.isascii() else w.translate(self.letters) for w in some]
+            ids = np.array(self.model.encode_batch_fast([names], is_pretokenized=True, add_special_tokens=False)[0].ids, "<u4")
+            ends = np.flatnonzero(self.last[ids]) + 1
+            if len(ends) != len(some):
+                self._others(some)
                 continue
-            begins = np.concatenate(([0], ends + len(self.mark)))
-            for chunk, a, b in zip(some, begins, [*ends, len(ids)]):
-                self.known[chunk] = ids[a:b].tobytes()
-        self._singly([c for c in chunks if not c or _MARK in c])
+            data, begin = ids.tobytes(), 0
+            for word, end in zip(some, (4 * ends).tolist()):
+                self.known[word] = data[begin:end]
+                begin = end
 
-    def _singly(self, chunks: list[str]) -> None:
+    def _others(self, chunks: list[str]) -> None:
         for chunk in chunks:
             ids = self.library.encode(chunk, add_special_tokens=False).ids
             self.known[chunk] = np.array(ids, "<u4").tobytes()
@@ -80,20 +83,19 @@ class ChunkEncoder:
             self.chunks = {}
         cut = [_SPLIT(t) if _SEPARATORS(t) else t.split() for t in texts]
         new = list(set().union(*cut) - self.chunks.keys())
-        plain = [c for c in new if c.isascii() and "<|" not in c and "\n" not in c]
-        other = [c for c in new if not (c.isascii() and "<|" not in c and "\n" not in c)]
-        lower = "\n".join(plain).lower()
-        cores, lower = _TAIL.sub("", lower).split("\n"), lower.split("\n")
-        tails = {low[len(core):] for low, core in zip(lower, cores)}
+        parts = [(a.lower(), b) for a, b in _PARTS("\n".join(new))]
+        words = set().union(*parts) - {""}
+        others = {c for c, (a, b) in zip(new, parts) if not a and not b}
         known, older = self.known, self.older
-        missing = set(cores).union(tails, other) - known.keys()
-        met = missing & older.keys()
+        met = ((words | others) - known.keys()) & older.keys()
         known.update(zip(met, map(older.__getitem__, met)))
-        self._encode(list(missing - met))
-        for chunk, low, core in zip(plain, lower, cores):
-            self.chunks[chunk] = known[core] if len(low) == len(core) else known[core] + known[low[len(core):]]
-        for chunk in other:
-            self.chunks[chunk] = known[chunk]
+        self._words(list(words - known.keys()))
+        self._others(list(others - known.keys()))
+        for chunk, (a, b) in zip(new, parts):
+            if not a and not b:
+                self.chunks[chunk] = known[chunk]
+            else:
+                self.chunks[chunk] = known[a] + known[b] if a and b else known[a or b]
         ids = self.chunks.__getitem__
         return [b"".join(map(ids, chunks)) for chunks in cut]
 
