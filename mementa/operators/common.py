@@ -18,6 +18,11 @@ def dimension(spark: SparkSession, names: Sequence[str], rows: Sequence[tuple])
     return spark.range(0, 1, 1, 1).select(F.inline(F.array(*structs)))
 
 
+def is_folder(inventory: DataFrame) -> Column:
+    """Whether a row is a folder; inventories without ``is_dir`` hold files only."""
+    return F.coalesce("is_dir", F.lit(False)) if "is_dir" in inventory.columns else F.lit(False)
+
+
 def group_winner(df: DataFrame, group: Sequence[str], order: Sequence[Column], columns: Sequence[str],
                  last: bool = False) -> DataFrame:
     """One row per group: ``columns`` of the first (or last) row in ``order``.

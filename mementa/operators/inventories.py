@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from mementa import constants as K
+from mementa.operators.common import is_folder
 from mementa.schemas import ITEM_METRICS_JSON
 
 
@@ -61,18 +62,18 @@ def archive_inventory(entries: DataFrame) -> DataFrame:
 
 
 def folder_inventory(inventory: DataFrame, folder_names: list[str]) -> DataFrame:
-    """Files under each named top folder of a backup, as archive inventory rows."""
+    """Number of files under each named top folder of a backup, as archive inventory rows; empty folders count zero."""
     top = F.substring_index("relative_path", "/", 1)
     zero = F.lit(0).cast("long")
     counted = (
         inventory.withColumn("item_type", top)
-        .filter(F.col("item_type").isin(folder_names) & F.col("relative_path").contains("/"))
+        .filter(F.col("item_type").isin(folder_names) & (F.col("relative_path").contains("/") | is_folder(inventory)))
         .groupBy(
             "backup_id", "backup_label", "item_type",
             F.concat_ws("/", "root_path", "item_type").alias("archive_path"),
         )
     )
-    return counted.agg(F.count("*").alias("entry_count")).select(
+    return counted.agg(F.count_if(~is_folder(inventory)).alias("entry_count")).select(
         "backup_id", "backup_label", "item_type", "archive_path", "entry_count",
         zero.alias("encrypted_entries"), zero.alias("image_entries"), zero.alias("blob_entries"),
         F.lit("inventory_only").alias("parse_status"),
@@ -82,6 +83,6 @@ def folder_inventory(inventory: DataFrame, folder_names: list[str]) -> DataFrame
 def takeout_roots(inventory: DataFrame) -> DataFrame:
     """Roots that look like an account export."""
     top = F.substring_index("relative_path", "/", 1)
-    folder = top.isin("Takeout", "Google Photos") & F.col("relative_path").contains("/")
+    folder = top.isin("Takeout", "Google Photos") & (F.col("relative_path").contains("/") | is_folder(inventory))
     marker = folder | (F.col("relative_path") == "Archive Browser.html")
     return inventory.groupBy("root_path").agg(F.bool_or(marker).alias("is_export"))

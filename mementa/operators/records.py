@@ -166,7 +166,9 @@ def browser_json(payloads: DataFrame) -> DataFrame:
 
 def anchors(html: Column | str) -> Column:
     """Array of (title, url) of the anchors in a page, in order, empty ones left out."""
-    found = F.regexp_extract_all(html, F.lit(r"(?s)<a[^>]*>.*?</a>"), F.lit(0))
+    # nothing behind the last end tag can match; without it, every search ends at an end tag and starts behind it
+    closed = F.regexp_extract(html, r"(?s)^.*</a>", 0)
+    found = F.regexp_extract_all(closed, F.lit(r"(?s)<a[^>]*>.*?</a>"), F.lit(0))
 
     def parse(anchor: Column) -> Column:
         tag = F.substring_index(anchor, ">", 1)
@@ -202,8 +204,8 @@ XML_ATTRIBUTE = r"""(?s)([^\s=/"'<>]++)\s*+=\s*+("[^"]*+"|'[^']*+')"""
 
 
 def call_elements(xml: Column | str) -> Column:
-    """Array of (title, subtitle) per CallLog element; comments and CDATA do not count."""
-    visible = F.regexp_replace(xml, r"(?s)<!--.*?-->|<!\[CDATA\[.*?\]\]>", "")
+    """Array of (title, subtitle) per CallLog element; comments and CDATA do not count, to the end where unfinished."""
+    visible = F.regexp_replace(xml, r"(?s)<!--.*?(?:-->|\z)|<!\[CDATA\[.*?(?:\]\]>|\z)", "")
     tags = F.regexp_extract_all(visible, F.lit(CALL_ELEMENT), F.lit(0))
 
     def parse(tag: Column) -> Column:

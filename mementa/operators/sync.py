@@ -2,42 +2,46 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from mementa import constants as K
-from mementa.operators.common import dimension
+from mementa.operators.common import dimension, is_folder
 
 
 def with_folder(inventory: DataFrame) -> DataFrame:
-    """Split a relative path into its media folder and the path below it."""
+    """Split a relative path into its media folder and the path below it; a media folder itself has none below."""
     return inventory.withColumn("folder", F.substring_index("relative_path", "/", 1)).withColumn(
         "inner_path", F.regexp_extract("relative_path", "(?s)^[^/]*/(.*)$", 1)
-    ).filter(F.col("relative_path").contains("/"))
+    ).filter(F.col("relative_path").contains("/") | is_folder(inventory))
+
+
+def _sub_source(media: DataFrame) -> Column:
+    """First-level folder below the media folder, of what lies in it and of the folder's own row."""
+    inner = F.col("inner_path")
+    own = is_folder(media) & (F.length(inner) > 0)
+    return F.when(F.contains(inner, F.lit("/")) | own, F.substring_index(inner, "/", 1))
 
 
 def category_scan(inventory: DataFrame) -> DataFrame:
     """Files, bytes and number of first-level sub-folders per backup and media folder that exists."""
     media = with_folder(inventory).filter(F.col("folder").isin(K.SYNC_CATEGORIES))
-    sub = F.when(F.instr("inner_path", "/") > 0, F.substring_index("inner_path", "/", 1))
+    file = ~is_folder(media)
     # count per sub-folder first: the distinct names then need no second pass over the files
-    fine = media.groupBy("backup_id", "folder", sub.alias("sub_source")).agg(
-        F.count("*").alias("n"), F.sum("size_bytes").alias("b")
+    fine = media.groupBy("backup_id", "folder", _sub_source(media).alias("sub_source")).agg(
+        F.count_if(file).alias("n"), F.sum(F.when(file, F.col("size_bytes"))).alias("b")
     )
     return fine.groupBy("backup_id", F.col("folder").alias("name")).agg(
         F.sum("n").alias("file_count"),
-        F.sum("b").alias("total_bytes"),
+        F.coalesce(F.sum("b"), F.lit(0)).alias("total_bytes"),
         F.count("sub_source").alias("n_sub_sources"),
     )
 
 
 def sub_sources(inventory: DataFrame) -> DataFrame:
     """Distinct first-level sub-folders, one row each (a folder may have any number of them)."""
-    return (
-        with_folder(inventory)
-        .filter(F.col("folder").isin(K.SYNC_CATEGORIES) & (F.instr("inner_path", "/") > 0))
-        .select("backup_id", F.col("folder").alias("name"), F.substring_index("inner_path", "/", 1).alias("sub_source"))
-        .distinct()
-    )
+    media = with_folder(inventory).filter(F.col("folder").isin(K.SYNC_CATEGORIES))
+    named = media.select("backup_id", F.col("folder").alias("name"), _sub_source(media).alias("sub_source"))
+    return named.filter("sub_source IS NOT NULL").distinct()
 
 
 def top_sub_sources(names: DataFrame, shown: int = K.SUB_SOURCES_SHOWN) -> DataFrame:
@@ -90,9 +94,9 @@ def sync_actions(inventory: DataFrame, target: DataFrame, verdicts: DataFrame, d
         verdicts.filter(F.col("verdict") == "ok").select(F.col("category").alias("folder")).distinct()
     )
     files = media_mapping(
-        with_folder(inventory).join(F.broadcast(accepted), "folder", "left_semi"), "folder"
+        with_folder(inventory.filter(~is_folder(inventory))).join(F.broadcast(accepted), "folder", "left_semi"), "folder"
     )
-    there = with_folder(target).select(
+    there = with_folder(target.filter(~is_folder(target))).select(
         F.col("folder").alias("destination"), "inner_path", F.col("size_bytes").alias("target_size")
     )
     joined = files.join(there, ["destination", "inner_path"], "left")

@@ -279,6 +279,21 @@ def phone_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def with_folders(inventory: DataFrame, sub_folder: str, empty_folder: str) -> DataFrame:
+    """``inventory`` with folder rows: a sub-folder without files per backup, and per backup one whose only entry is
+    an empty folder."""
+    backups = inventory.drop("relative_path", "absolute_path", "size_bytes").dropDuplicates(["backup_id"])
+
+    def folder(name: str) -> DataFrame:
+        return backups.withColumns({
+            "relative_path": F.lit(name), "absolute_path": F.concat("root_path", F.lit(f"/{name}")),
+            "size_bytes": F.lit(0).cast("long"), "is_dir": F.lit(True),
+        })
+
+    alone = folder(empty_folder).withColumns({n: F.concat(n, F.lit("-empty")) for n in ("backup_id", "root_path")})
+    return inventory.withColumn("is_dir", F.lit(False)).unionByName(folder(sub_folder)).unionByName(alone)
+
+
 def archive_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Archive entries, one per order line; the head is XML, ASCII or binary."""
     li = table(spark, sf_dir, "lineitem")

@@ -331,8 +331,11 @@ ORACLES: dict[str, str] = {
     "agg_similar_groups": sql("grids " + SIGN, "SELECT group_key, n_files, size_bytes, reclaimable_bytes, keep_id FROM lookgrp"),
     "agg_scan_summary": sql("inv files grp", "SELECT count(*) AS total_groups, CAST(coalesce(sum(reclaimable_bytes), 0) AS BIGINT) AS reclaimable_bytes, (SELECT CAST(sum(n) AS BIGINT) FROM (SELECT count(*) AS n FROM files GROUP BY size_bytes HAVING count(*) >= 2)) AS scanned_candidates FROM grp"),
     "agg_plan": sql("inv prior outside", PLAN),
-    "agg_category_scan": sql("inv", "SELECT backup_id, split_part(relative_path, '/', 1) AS name, count(*) AS file_count, CAST(sum(size_bytes) AS BIGINT) AS total_bytes, count(DISTINCT split_part(relative_path, '/', 2)) AS n_sub_sources FROM inv WHERE split_part(relative_path, '/', 1) IN ('Photo','Video','Music','Documents') GROUP BY 1, 2"),
-    "agg_folder_inventory": sql("phone", "SELECT backup_id, backup_label, top AS item_type, root_path || '/' || top AS archive_path, count(*) AS entry_count, CAST(0 AS BIGINT) AS encrypted_entries, CAST(0 AS BIGINT) AS image_entries, CAST(0 AS BIGINT) AS blob_entries, 'inventory_only' AS parse_status FROM phone WHERE top IN ('CALENDER', 'APK') GROUP BY ALL"),
+    "agg_category_scan": sql("inv", """SELECT backup_id, split_part(relative_path, '/', 1) AS name, count(size_bytes) AS file_count, CAST(coalesce(sum(size_bytes), 0) AS BIGINT) AS total_bytes,
+        count(DISTINCT nullif(split_part(relative_path, '/', 2), '')) AS n_sub_sources FROM (SELECT backup_id, relative_path, size_bytes FROM inv
+          UNION ALL SELECT DISTINCT backup_id, 'Music/empty', NULL FROM inv UNION ALL SELECT DISTINCT backup_id || '-empty', 'Video', NULL FROM inv)
+        WHERE split_part(relative_path, '/', 1) IN ('Photo','Video','Music','Documents') GROUP BY 1, 2"""),
+    "agg_folder_inventory": sql("phone", "SELECT backup_id, backup_label, top AS item_type, root_path || '/' || top AS archive_path, count(file) AS entry_count, CAST(0 AS BIGINT) AS encrypted_entries, CAST(0 AS BIGINT) AS image_entries, CAST(0 AS BIGINT) AS blob_entries, 'inventory_only' AS parse_status FROM (SELECT backup_id, backup_label, root_path, top, 1 AS file FROM phone UNION ALL SELECT DISTINCT backup_id, backup_label, root_path, 'CALENDER', NULL FROM phone UNION ALL SELECT DISTINCT backup_id || '-empty', backup_label, root_path || '-empty', 'APK', NULL FROM phone) WHERE top IN ('CALENDER', 'APK') GROUP BY ALL"),
     "agg_archive_inventory": sql("entries", """SELECT backup_id, backup_label, item_type, archive_path, count(*) AS entry_count,
         count(*) FILTER (entry_name LIKE '%.enc') AS encrypted_entries,
         count(*) FILTER (entry_name LIKE '%/image/%' OR entry_name LIKE '%.jpg' OR entry_name LIKE '%.png') AS image_entries,

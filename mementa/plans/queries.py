@@ -600,12 +600,12 @@ def agg_plan(s, d):
 
 @query
 def agg_category_scan(s, d):
-    return Y.category_scan(B.inventory(s, d))
+    return Y.category_scan(B.with_folders(B.inventory(s, d), "Music/empty", "Video"))
 
 
 @query
 def agg_folder_inventory(s, d):
-    return V.folder_inventory(B.phone_inventory(s, d), ["CALENDER", "APK"])
+    return V.folder_inventory(B.with_folders(B.phone_inventory(s, d), "CALENDER/empty", "APK"), ["CALENDER", "APK"])
 
 
 @query

@@ -46,8 +46,8 @@ def _list_folders(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield _entry_frame(rows)
 
 
-def walk(roots: DataFrame, partitions: int | None = None) -> DataFrame:
-    """Regular files below each root (root_path), hidden and empty ones included.
+def walk(roots: DataFrame, partitions: int | None = None, folders: bool = False) -> DataFrame:
+    """Regular files below each root (root_path), hidden and empty ones included; with ``folders``, folder rows too.
 
     The walk proceeds level by level; the folders of a level are spread over all tasks, so one huge
     root does not end up in one task.  Every level is checkpointed.  A listing error fails the job.
@@ -64,7 +64,7 @@ def walk(roots: DataFrame, partitions: int | None = None) -> DataFrame:
         level = listed.filter("is_dir").select("root_path", "absolute_path")
         if level.isEmpty():
             break
-    return describe_entries(found.filter("NOT is_dir")).drop("is_dir")
+    return describe_entries(found) if folders else describe_entries(found.filter("NOT is_dir")).drop("is_dir")
 
 
 def describe_entries(entries: DataFrame) -> DataFrame:

@@ -294,6 +294,18 @@ def test_sync(spark):
     assert [(r.name, r.sub_source) for r in Y.sub_sources(source).collect()] == [("Photo", "DCIM")]
 
 
+def test_sync_empty_folders(spark):
+    folders = sync_inventory(spark, [("Video", 0), ("Music/old", 0)]).withColumn("is_dir", F.lit(True))
+    source = sync_inventory(spark, [("Music/b.mp3", 5)]).withColumn("is_dir", F.lit(False)).unionByName(folders)
+    verdicts = Y.requested_verdicts(spark.createDataFrame([("Video",), ("Photo",)], "category string"), source, "/s")
+    assert {r.category: r.verdict for r in verdicts.collect()} == {"Video": "ok", "Photo": "missing"}
+    scan = {r.name: (r.file_count, r.total_bytes, r.n_sub_sources) for r in Y.category_scan(source).collect()}
+    assert scan == {"Video": (0, 0, 0), "Music": (1, 5, 1)}
+    assert [(r.name, r.sub_source) for r in Y.sub_sources(source).collect()] == [("Music", "old")]
+    music = spark.createDataFrame([("Music", "ok", None)], "category string, verdict string, error string")
+    assert [r.inner_path for r in Y.sync_actions(source, source, music, "/d").collect()] == ["b.mp3"]
+
+
 def test_media_mapping(spark):
     frame = spark.createDataFrame([("WhatsApp Audio",), ("WhatsApp Voice Notes",), ("Photo",)], "folder string")
     assert {r.folder: r.destination for r in Y.media_mapping(frame, "folder").collect()} == {

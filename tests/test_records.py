@@ -1,6 +1,7 @@
 """Structured records, inventories and listings."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from mementa.operators import inventories as V
 from mementa.operators import listings as L
@@ -146,6 +147,18 @@ def test_archive_inventory(spark):
     assert got == {"/a": (3, 0, 1, 0, "xml_readable"), "/c": (3, 1, 2, 1, "encrypted_contact_payload"), "/d": (1, 0, 0, 0, "inventory_only")}
     folder = V.folder_inventory(phone(spark, "CALENDER/event.vcs"), ["CALENDER", "APK"]).first()
     assert (folder.entry_count, folder.parse_status, folder.archive_path) == (1, "inventory_only", "/r/CALENDER")
+    empty = V.folder_inventory(phone(spark, "APK").withColumn("is_dir", F.lit(True)), ["CALENDER", "APK"]).first()
+    assert (empty.entry_count, empty.archive_path) == (0, "/r/APK")
+
+
+def test_unfinished_markup(spark):
+    page = '<a href="/x">' * 20000 + "<a" * 20000
+    rows = [("b", "/p", page + "</a>" + page), ("b", "/q", page)]
+    frame = spark.createDataFrame(rows, "backup_id string, source_path string, text string")
+    assert [r.source_path for r in R.browser_html(frame).collect()] == ["/p"]
+    log = "<CallLogs><CallLog name='a'/><CallLog name='b'/>" + "<!--<CallLog name='c'/>" * 20000 + "</CallLogs>"
+    calls = spark.createDataFrame([("b", "/c", log)], "backup_id string, source_path string, text string")
+    assert [r.title for r in R.call_logs(calls).collect()] == ["a", "b"]
 
 
 def test_export_roots(spark):

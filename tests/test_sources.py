@@ -42,6 +42,8 @@ def test_walk_keeps_hidden_and_empty_files(spark, tmp_path):
     found = inventory.walk(spark.createDataFrame([(str(tmp_path),)], "root_path string"), 4)
     rows = {r.relative_path: r for r in found.collect()}
     assert set(rows) == {"Photo/DCIM/a.JPG", ".hidden", "_under.txt", "old.bin"}
+    both = inventory.walk(spark.createDataFrame([(str(tmp_path),)], "root_path string"), 4, folders=True)
+    assert {r.relative_path for r in both.collect() if r.is_dir} == {"Photo", "Photo/DCIM"}
     assert (rows["Photo/DCIM/a.JPG"].extension, rows["Photo/DCIM/a.JPG"].size_bytes) == ("jpg", 3)
     assert rows[".hidden"].extension is None and rows["old.bin"].modified_unix is None
     assert rows["_under.txt"].modified_unix == int((tmp_path / "_under.txt").stat().st_mtime)
