@@ -399,6 +399,14 @@ def test_orc_documents(spark, sf, documents):
     assert {tuple(r) for r in QUERIES["op7_token_orc"](spark, sf).collect()} == expected
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(alphabet="aÉéßÿKsS'.,$<|>_1 \n\t\x1cć日İΣ́", max_size=30), max_size=20))
+def test_orc_words(texts):
+    encoder = token_orc._encoder(WORD_TOKENIZER)
+    expected = [np.array(encoder.library.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert encoder.batch(texts) == expected
+
+
 def test_orc_pruning(spark, tmp_path):
     frame = spark.range(20_000).select((F.col("id") * 2).alias("doc_id"), F.lit("some words").alias("text"))
     folder = str(tmp_path / "orc")
