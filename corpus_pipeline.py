@@ -23,7 +23,7 @@ def screen_toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later repeated runs of lines go; ``n_chars`` follows the text."""
     tune(spark)
-    cleaned = line_dedup.deduplicate_lines(docs)
+    cleaned = line_dedup.deduplicate_lines(docs, extend=True)
     if "n_chars" not in docs.columns:
         return cleaned
     kind = docs.schema["n_chars"].dataType

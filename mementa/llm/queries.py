@@ -29,7 +29,7 @@ def query(function: Query) -> Query:
 def op1_line_dedup(s, d):
     """Every document with its text after the deletion of later repeated runs."""
     docs = table(s, d, "documents")
-    return line_dedup.deduplicate_lines(docs).select("doc_id", "text")
+    return line_dedup.deduplicate_lines(docs, extend=True).select("doc_id", "text")
 
 
 @query

@@ -113,6 +113,53 @@ def test_line_dedup_is_native(spark, odd_docs):
     assert "Python" not in plan and "Arrow" not in plan and "CartesianProduct" not in plan
 
 
+def plain_runs(docs, min_words):
+    """Delete every line of every longest run of equal lines, of enough words, that begins earlier too."""
+    order = sorted(set(docs), key=lambda d: (d[0] is not None, d[0] or 0, line_order(d[1])))
+    lines = [[(i, x.rstrip(" \t\r\x0b\x0c"), len(x.encode().split())) for i, x in enumerate((t or "").split("\n")) if x.split()] for _, t in order]
+    gone = defaultdict(set)
+    for q, here in enumerate(lines):
+        for p, there in enumerate(lines[: q + 1]):
+            for shift in range(1 if p == q else -len(there), len(here)):
+                run = []
+                for b in range(max(shift, 0), len(here) + 1):
+                    equal = b < len(here) and b - shift < len(there) and here[b][1] == there[b - shift][1]
+                    run += [b] if equal else []
+                    if not equal:
+                        if sum(here[x][2] for x in run) >= min_words:
+                            gone[order[q]].update(range(here[run[0]][0], here[run[-1]][0] + 1))
+                        run = []
+    return Counter((k, worded("\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone[k, t]))) for k, t in docs)
+
+
+def worded(text):
+    """Without the lines that have no word."""
+    return "\n".join(x for x in text.split("\n") if x.split())
+
+
+@pytest.mark.parametrize("min_words", [3, 6, 12, 50])
+def test_line_dedup_extends(spark, min_words):
+    rng = np.random.default_rng(min_words)
+    line = [" ".join(f"w{k}" for _ in range(n)) for k, n in enumerate([60, 20, 2, 7, 1, 5, 45, 3])]
+    shared = ["\n".join(line[k] for k in rng.integers(0, 8, 6)) for _ in range(3)]
+    texts = [(k, "\n".join([f"own {k} a", shared[rng.integers(3)], "", f"own {k} b", shared[rng.integers(3)]])) for k in range(12)]
+    texts += [(20, f"{line[0]}\nonly here"), (21, f"{line[0]}\n{line[1]}\nhead"), (22, f"other\n{line[0]}\n\n{line[1]}\ntail"), (23, f"{line[1]}\n{line[0]}\n")]
+    remember_order(spark, texts)
+    frame = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    found = rows(line_dedup.deduplicate_lines(frame, min_words=min_words, extend=True), "doc_id", "text")
+    found = Counter((i, worded(t)) for (i, t), n in found.items() for _ in range(n))
+    assert found == plain_runs(texts, min_words) and found[22, "other\ntail"] == 1
+
+
+def test_line_dedup_later_copies_become_empty(spark):
+    texts = ["\n".join(" ".join(f"t{n}x{k}" for _ in range(k)) for k in sizes) for n, sizes in enumerate([(60, 20), (20, 60), (50, 1, 1), (1, 49), (30, 30, 30), (10,) * 9, (49, 49, 2), (70,)])]
+    texts += [f"\n\n{texts[0]} last\n \n\n"]
+    frame = spark.createDataFrame([(100 * c + k, t) for c in range(3) for k, t in enumerate(texts)], "doc_id long, text string")
+    assert rows(line_dedup.deduplicate_lines(frame, extend=True).filter("doc_id >= 100"), "text") == {("",): 2 * len(texts)}
+    native = line_dedup.deduplicate_lines(frame, extend=True)._jdf.queryExecution().toString()
+    assert "Python" not in native and "Arrow" not in native and "CartesianProduct" not in native
+
+
 # ---------------------------------------------------------------- WARC
 
 
