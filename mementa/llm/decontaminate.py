@@ -1,6 +1,8 @@
 """Benchmark decontamination with a BM25 index and block-max WAND.
 
-The test items are indexed: per term and item the BM25 weight, divided by the item's own full score, so that one
+The test items are indexed: per term and item the BM25 weight, divided by the item's own full score.  Items fall into
+classes by length, each with passages of its own: a passage has twice as many words as the stride, and no item of the
+class is longer than the stride by more than a word, so wherever an item stands some passage holds all of it and one
 threshold fits items of any length.  Items form blocks, and every term keeps its maximum per block.  Every passage of
 every training document is a query: the sum of its terms' list maxima, then of their block maxima, bounds what any
 item can score; only blocks that may reach the threshold are scored.  Every item above the threshold is retrieved (no
@@ -25,7 +27,7 @@ K1, B = 1.2, 0.75
 THRESHOLD = 0.6
 OVERLAP = 0.8
 SHINGLE_WORDS = 5
-PASSAGE_WORDS = 64
+# of the shortest items; each class of longer ones has twice as many
 STRIDE_WORDS = 32
 BLOCK_ITEMS = 8
 ANSWER_WORDS = 8
@@ -67,6 +69,12 @@ class Index:
         self.ids = [i for i, _, _ in items]
         self.parts = [tuple(map(shingles, question_and_answer(t))) for _, _, t in items]
         self.longest = max((len(w) for _, w, _ in items), default=0)
+        # (stride, first item, end, longest item) of the classes, shortest items first
+        self.classes: list[tuple[int, int, int, int]] = []
+        for k, (_, w, _) in enumerate(items):
+            stride = self.stride(len(w))
+            first = self.classes.pop()[1] if self.classes and self.classes[-1][0] == stride else k
+            self.classes.append((stride, first, k + 1, len(w)))
         n, mean = len(items), sum(len(w) for _, w, _ in items) / max(1, len(items))
         holding = Counter(t for _, w, _ in items for t in set(w))
         postings: dict[str, list[tuple[int, float]]] = defaultdict(list)
@@ -86,22 +94,34 @@ class Index:
             for k, weight in entries:
                 at = i, k // BLOCK_ITEMS
                 self.block_maxima[at] = max(self.block_maxima[at], weight)
-        self.maxima = [max(w for _, w in entries) for entries in lists]
         self.lists = [dict(entries) for entries in lists]
+        # per class, the largest weight of each term
+        self.maxima = [[max((w for k, w in entries if first <= k < end), default=0.0) for entries in lists] for _, first, end, _ in self.classes]
 
-    def retrieve(self, terms: set[int], threshold: float) -> list[tuple[int, float]]:
-        """(item, score) of every item that scores ``threshold`` or more for the query ``terms``."""
+    @staticmethod
+    def stride(words: int) -> int:
+        """Words from passage to passage for items of so many words."""
+        stride = STRIDE_WORDS
+        while words > stride + 1:
+            stride *= 2
+        return stride
+
+    def retrieve(self, terms: set[int], threshold: float, of: int) -> list[tuple[int, float]]:
+        """(item, score) of every item of class ``of`` that scores ``threshold`` or more for the query ``terms``."""
         slack = 1e-5
-        if sum(map(self.maxima.__getitem__, terms)) < threshold - slack:
+        if sum(map(self.maxima[of].__getitem__, terms)) < threshold - slack:
             return []
         picks = list(terms)
-        bounds = self.block_maxima[picks].sum(axis=0)
+        _, first, end, _ = self.classes[of]
+        blocks = first // BLOCK_ITEMS, -(-end // BLOCK_ITEMS)
+        bounds = np.zeros(self.block_maxima.shape[1], np.float32)
+        bounds[slice(*blocks)] = self.block_maxima[picks, slice(*blocks)].sum(axis=0)
         found = []
         for block in np.flatnonzero(bounds >= threshold - slack).tolist():
             scores: dict[int, float] = defaultdict(float)
             rest = float(bounds[block])
             ranked = sorted(picks, key=lambda t: -self.block_maxima[t, block])
-            low, high = block * BLOCK_ITEMS, min(len(self.ids), (block + 1) * BLOCK_ITEMS)
+            low, high = max(first, block * BLOCK_ITEMS), min(end, (block + 1) * BLOCK_ITEMS)
             for t in ranked:
                 bound = float(self.block_maxima[t, block])
                 if not bound or (max(scores.values(), default=0.0) + rest < threshold - slack):
@@ -122,16 +142,21 @@ class Index:
         words = words_of(text)
         terms = list(map(self.term.get, words))
         best: dict[int, tuple] = {}
-        for start in range(0, max(1, len(words) - PASSAGE_WORDS + STRIDE_WORDS), STRIDE_WORDS):
-            query = set(terms[start : start + PASSAGE_WORDS])
-            query.discard(None)
-            for k, score in self.retrieve(query, threshold):
-                # an item may begin before the passage or end behind it
-                around = words[max(0, start - self.longest) : start + PASSAGE_WORDS + self.longest]
+        for of, (stride, _, _, longest) in enumerate(self.classes):
+            passage = 2 * stride
+            for start in range(0, max(1, len(words) - passage + stride), stride):
+                query = set(terms[start : start + passage])
+                query.discard(None)
+                found = self.retrieve(query, threshold, of)
+                if not found:
+                    continue
+                # an edited item may begin before the passage or end behind it
+                around = words[max(0, start - longest) : start + passage + longest]
                 here = shingles(around) if len(around) >= SHINGLE_WORDS else set()
-                question, answer = (self._overlap(p, here, around) for p in self.parts[k])
-                if question >= overlap and answer >= overlap and (k not in best or (score, -start) > (best[k][0], -best[k][3])):
-                    best[k] = (score, question, answer, start)
+                for k, score in found:
+                    question, answer = (self._overlap(p, here, around) for p in self.parts[k])
+                    if question >= overlap and answer >= overlap and (k not in best or (score, -start) > (best[k][0], -best[k][3])):
+                        best[k] = (score, question, answer, start)
         return [(self.ids[k], *v) for k, v in sorted(best.items())]
 
     @staticmethod

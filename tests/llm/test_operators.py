@@ -519,6 +519,32 @@ def test_leaks_planted(spark, documents):
     assert decontaminate.find_leaks(frame.limit(0), bench).count() == 0
 
 
+@pytest.mark.parametrize("words", [15, 34, 64, 80, 100, 110, 128, 150, 300, 1000])
+def test_leaks_long_items(documents, words):
+    """A verbatim item is found at every offset of its stride."""
+    pool = [w for _, t in documents for w in decontaminate.words_of(t)]
+    items = [(k, " ".join(pool[k * 3000 : k * 3000 + words])) for k in range(12)]
+    index = decontaminate.Index(items)
+    stride = decontaminate.Index.stride(words)
+    filler = [f"f{k}" for k in range(5 * stride)]
+    for offset in range(0, stride, max(1, stride // 40)):
+        k = offset % len(items)
+        text = " ".join([*filler[: stride + offset], items[k][1], *filler[stride + offset :]])
+        assert [m[0] for m in index.matches(text) if m[0] == k] == [k], offset
+        assert [m[1] for m in index.matches(text) if m[0] == k][0] > 0.999
+
+
+def test_leaks_mixed_lengths(documents):
+    """Items of all lengths in one index, each alone at the end of a text and as the whole text."""
+    pool = [w for _, t in documents for w in decontaminate.words_of(t)]
+    items = [(n, " ".join(pool[n * 20 : n * 20 + n])) for n in (1, 5, 8, 16, 32, 33, 34, 65, 66, 100, 129, 130, 257, 600, 1000)]
+    index = decontaminate.Index(items)
+    assert [c[0] for c in index.classes] == [32, 64, 128, 256, 1024]
+    for n, text in items:
+        for whole in (text, "x y z " * 33 + text):
+            assert n in [m[0] for m in index.matches(whole)]
+
+
 def test_leaks_shards(spark, sf):
     docs, items = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/benchmark.parquet")
     assert len(list(decontaminate.shards(items, chars=2000))) > 2
