@@ -117,19 +117,26 @@ def plain_runs(docs, min_words):
     """Delete every line of every longest run of equal lines, of enough words, that begins earlier too."""
     order = sorted(set(docs), key=lambda d: (d[0] is not None, d[0] or 0, line_order(d[1])))
     lines = [[(i, x.rstrip(" \t\r\x0b\x0c"), len(x.encode().split())) for i, x in enumerate((t or "").split("\n")) if x.split()] for _, t in order]
-    gone = defaultdict(set)
+    gone, places = defaultdict(set), defaultdict(list)
     for q, here in enumerate(lines):
-        for p, there in enumerate(lines[: q + 1]):
-            for shift in range(1 if p == q else -len(there), len(here)):
+        shifts = set()
+        for b, (_, line, _) in enumerate(here):
+            shifts.update((p, b - at) for p, at in places[line])
+            places[line].append((q, b))
+        for p, shift in shifts:
+            there, run = lines[p], []
+            for b in range(max(shift, 0), len(here) + 1):
+                if b < len(here) and b - shift < len(there) and here[b][1] == there[b - shift][1]:
+                    run.append(b)
+                    continue
+                if sum(here[x][2] for x in run) >= min_words:
+                    begin = run[0]
+                    if p == q:  # the first place of what overlaps itself stays
+                        whole = next(x for x in run if sum(here[y][2] for y in range(begin, x + 1)) >= min_words)
+                        begin = max(begin, whole - shift + 1)
+                    gone[order[q]].update(range(here[begin][0], here[run[-1]][0] + 1))
                 run = []
-                for b in range(max(shift, 0), len(here) + 1):
-                    equal = b < len(here) and b - shift < len(there) and here[b][1] == there[b - shift][1]
-                    run += [b] if equal else []
-                    if not equal:
-                        if sum(here[x][2] for x in run) >= min_words:
-                            gone[order[q]].update(range(here[run[0]][0], here[run[-1]][0] + 1))
-                        run = []
-    return Counter((k, worded("\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone[k, t]))) for k, t in docs)
+    return Counter((k, worded("\n".join(x for i, x in enumerate((t or "").split("\n")) if i not in gone[k, t]))) for k, t in docs)
 
 
 def worded(text):
