@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from mementa.session import scratch_folder
 
@@ -51,3 +51,43 @@ def int_rows(array) -> Iterator[np.ndarray]:
     offsets = array.offsets.to_numpy()
     for i in range(len(array)):
         yield values[offsets[i] : offsets[i + 1]]
+
+
+def placed(rows: DataFrame, group: str, order: list[str], name: str) -> tuple[DataFrame, DataFrame]:
+    """``rows`` with ``position`` (long, from 0) among the rows of their ``group`` by ``order``, and (group, n) per group.
+
+    ``group`` is a column without nulls; rows that agree in all of ``order`` get consecutive positions in no defined
+    order, nulls come first.  Rows are range-partitioned by group and order, so a group with most of the rows is spread.
+    Each range counts for itself; only its first group can go on from earlier ranges, which makes one row per range to
+    broadcast.  ``rows`` must not have columns named position, part, ordinal or leading.
+    """
+    at = rows.columns.index(group)
+
+    def number(batches):
+        import pyarrow as pa
+        from pyspark import TaskContext
+
+        part, first, last, count = TaskContext.get().partitionId(), None, None, 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            groups = batch.column(at).to_numpy(zero_copy_only=False)
+            starts = np.concatenate([[0], np.flatnonzero(groups[1:] != groups[:-1]) + 1])
+            lengths = np.diff(np.append(starts, len(groups)))
+            ordinal = np.arange(len(groups)) - np.repeat(starts, lengths)
+            first = groups[0] if first is None else first
+            if groups[0] == last:
+                ordinal[: lengths[0]] += count
+            last, count = groups[-1], int(ordinal[-1]) + 1
+            new = [pa.array(np.full(len(groups), part, np.int32)), pa.array(ordinal), pa.array((groups == first).astype(bool))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *new], [*batch.schema.names, "part", "ordinal", "leading"])
+
+    fields = ", ".join(f"`{n}` {t}" for n, t in rows.dtypes)
+    ranged = rows.repartitionByRange(group, *order).sortWithinPartitions(group, *order)
+    numbered = stored(ranged.mapInArrow(number, f"{fields}, part int, ordinal long, leading boolean"), name)
+    counts = numbered.groupBy(group, "part").agg(F.count("*").alias("n"))
+    earlier = Window.partitionBy(group).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    carried = counts.withColumn("before", F.sum("n").over(earlier)).filter("before > 0").select("part", "before")
+    position = F.col("ordinal") + F.when(F.col("leading"), F.coalesce("before", F.lit(0))).otherwise(0)
+    positions = numbered.join(F.broadcast(carried), "part", "left").select(*rows.columns, position.alias("position"))
+    return positions, counts.groupBy(group).agg(F.sum("n").alias("n"))

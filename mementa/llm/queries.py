@@ -7,13 +7,17 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from mementa.llm import bpe, chat, decontaminate, exact_dedup, line_dedup, secrets, simhash, token_orc, toxicity, warc
+from mementa.llm import (
+    bpe, chat, decontaminate, exact_dedup, line_dedup, merkle, secrets, simhash, token_counts, token_orc, toxicity,
+    turn_repair, warc,
+)
 from mementa.llm.common import stored, table
 from mementa.session import scratch_folder, tune
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+BYTE_TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
@@ -93,6 +97,22 @@ def op10_simhash(s, d):
     return simhash.near_duplicates(table(s, d, "documents"))
 
 
+@query
+def op11_token_counts(s, d):
+    """Counts of all documents, from a cache that starts empty: every distinct text is a miss once."""
+    return token_counts.count_tokens(table(s, d, "documents"), scratch_folder(s, "token-counts"), BYTE_TOKENIZER)
+
+
+@query
+def op12_merkle_manifest(s, d):
+    return merkle.audit(table(s, d, "documents"))
+
+
+@query
+def op13_turn_repair(s, d):
+    return turn_repair.repair_damaged(table(s, d, "conversations"))
+
+
 ORACLES = {
     "op5_exact_dedup": """
         WITH named AS (

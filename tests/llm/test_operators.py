@@ -30,7 +30,7 @@ def rows(frame, *columns):
 
 
 def test_registered():
-    assert {f"op{n}" for n in range(1, 11)} == {n.split("_")[0] for n in QUERIES}
+    assert {f"op{n}" for n in range(1, 14)} == {n.split("_")[0] for n in QUERIES}
     assert set(QUERIES) | {"pipeline"} <= set(entry.queries())
 
 
