@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from mementa.session import reliable_checkpoint
+
 # A key with at least this many rows is broadcast by ``lookup_join``: at most rows/HEAVY_KEY_ROWS keys,
 # 100,000 (about 15 MB) for 10^11 rows.  Its members are spread over SALTS values.
 HEAVY_KEY_ROWS = 1_000_000
@@ -95,6 +97,23 @@ def upsert(current: DataFrame, changes: DataFrame, keys: Sequence[str],
     return joined.select(*[pick(c) for c in columns])
 
 
+def number_rows(rows: DataFrame, order: Sequence[str], start: int, name: str) -> DataFrame:
+    """``rows`` with consecutive numbers from ``start`` in the given order, without gaps.
+
+    Rows are range-partitioned and sorted; a row's number is its place in its range plus the rows of the ranges before.
+    There is one count per range, which bounds the window over them and the broadcast.
+    """
+    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    placed = reliable_checkpoint(ranged.withColumn("_place", F.monotonically_increasing_id()))
+    part = F.call_function("shiftright", F.col("_place"), F.lit(33))
+    counts = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    begins = counts.select("_part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_begin"))
+    within = F.col("_place").bitwiseAND(F.lit((1 << 33) - 1))
+    numbered = placed.withColumn("_part", part).join(F.broadcast(begins), "_part")
+    return numbered.select(*rows.columns, (F.col("_begin") + within + start).alias(name))
+
+
 def prefix_sum(df: DataFrame, group: Sequence[str], position: str, value: str, out: str,
                block: int = 100_000) -> DataFrame:
     """Sum of ``value`` over the earlier positions of the group.

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Row, SparkSession, functions as F
 
 from mementa.functions import paths as P
 from mementa.functions import text as X
@@ -105,12 +105,39 @@ def run_actions(inventory: DataFrame, contents: DataFrame, copied: DataFrame | N
     moves all copies of one content to one task.
     """
     found = copied_files(inventory, contents) if copied is None else copied
-    winners = found.select("absolute_path", F.lit("copied").alias("_a"))
+    marks = [c for c in ("elsewhere",) if c in found.columns]
+    winners = found.select("absolute_path", F.lit("copied").alias("_a"), *marks)
     return inventory.join(winners, "absolute_path", "left").withColumn(
         "action", F.coalesce("_a", F.lit("duplicate"))
     ).drop("_a")
 
 
+def marked_outside(copied: DataFrame, outside: DataFrame) -> DataFrame:
+    """Copied files with ``elsewhere``: their content is indexed outside the destination, too."""
+    known = outside.select("content_hash", F.lit(True).alias("elsewhere"))
+    return copied.join(known, "content_hash", "left").withColumn("elsewhere", F.coalesce("elsewhere", F.lit(False)))
+
+
+RUN_COUNTERS = ["total_files", "total_bytes", "new_files", "new_bytes", "duplicate_files", "duplicate_bytes", "already_on_computer"]
+
+
+def run_counters() -> list[Column]:
+    """Counters over the actions of a run, for ``DataFrame.observe`` in the pass that writes them."""
+    copied, size = F.col("action") == "copied", F.col("size_bytes")
+    found = [
+        F.count(F.lit(1)), F.sum(size), F.count_if(copied), F.sum(F.when(copied, size)), F.count_if(~copied),
+        F.sum(F.when(~copied, size)), F.count_if(copied & F.coalesce("elsewhere", F.lit(False))),
+    ]
+    return [c.alias(name) for name, c in zip(RUN_COUNTERS, found)]
+
+
+def summary_of(spark: SparkSession, counters: Row) -> DataFrame:
+    """``run_summary`` from observed counters."""
+    found = counters.asDict()
+    found |= {"copied_files": found["new_files"], "copied_bytes": found["new_bytes"], "occurrences_recorded": found["total_files"]}
+    return spark.createDataFrame([tuple(found.values())], ", ".join(f"{n} long" for n in found))
+
+
 def new_contents(inventory: DataFrame, contents: DataFrame, destination: str,
                  copied: DataFrame | None = None) -> DataFrame:
     """Rows to append to ``contents``: insert-if-absent, the first file keeps extension and path."""

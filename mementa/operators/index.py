@@ -121,13 +121,30 @@ def index_summary(scanned: DataFrame) -> DataFrame:
     )
 
 
-def scan_run_rows(scanned: DataFrame) -> DataFrame:
-    """Rows to append to ``scan_runs``: none for a root without files or without a folder."""
-    return scanned.groupBy("root_path").agg(
+def scan_run_rows(scanned: DataFrame, outcomes: DataFrame | None = None) -> DataFrame:
+    """Rows to append to ``scan_runs``, one per root with files.
+
+    With ``outcomes(root_path, outcome)`` of a walk, every listed root has one, also an empty one; missing and failed
+    roots have none.
+    """
+    counted = scanned.groupBy("root_path").agg(
         F.count("*").alias("scanned_files"),
         F.count("*").alias("indexed_files"),
         F.sum("size_bytes").alias("total_bytes"),
     )
+    if outcomes is None:
+        return counted
+    listed = outcomes.filter(F.col("outcome").isin("listed", "empty")).select("root_path").distinct()
+    zero = F.lit(0).cast("long")
+    numbers = [F.coalesce(c, zero).alias(c) for c in ("scanned_files", "indexed_files", "total_bytes")]
+    return listed.join(counted, "root_path", "left").select("root_path", *numbers)
+
+
+def root_summaries(scanned: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """Scanned and indexed files and bytes of every root asked for; zero for missing and failed ones."""
+    zero = F.lit(0).cast("long")
+    numbers = [F.coalesce(c, zero).alias(c) for c in ("scanned_files", "indexed_files", "total_bytes")]
+    return outcomes.join(scan_run_rows(scanned), "root_path", "left").select("root_path", "outcome", *numbers)
 
 
 def upsert_files(current: DataFrame, scanned: DataFrame) -> DataFrame:

@@ -35,14 +35,17 @@ def readable_xml(head: Column | str) -> Column:
 
 
 def archive_inventory(entries: DataFrame) -> DataFrame:
-    """Per archive: entry counts by type and a status from its last call-log entry."""
+    """Per archive: entry counts by type and a status from its last call-log entry.
+
+    A row without an entry name stands for an archive without entries.
+    """
     name = F.col("entry_name")
     call_log = (F.col("item_type") == "CALLLOG") & name.endswith("call_log.exml")
     keys = ["backup_id", "backup_label", "item_type", "archive_path"]
     # the last call-log entry decides; a boolean keeps the aggregation buffer fixed-width (hash based)
     readable = F.when(call_log, readable_xml("head"))
     counted = entries.withColumn("_readable", readable).groupBy(*keys).agg(
-        F.count("*").alias("entry_count"),
+        F.count("entry_name").alias("entry_count"),
         F.count_if(name.endswith(".enc")).alias("encrypted_entries"),
         F.count_if(name.contains("/image/") | name.endswith(".jpg") | name.endswith(".png")).alias(
             "image_entries"
@@ -61,6 +64,20 @@ def archive_inventory(entries: DataFrame) -> DataFrame:
     ).drop("_readable")
 
 
+def with_unlisted(inventory: DataFrame, archives: DataFrame, status: DataFrame) -> DataFrame:
+    """``archive_inventory`` of ``archives(backup_id, backup_label, item_type, archive_path)``, also of those that
+    ``status(archive_path, status)`` calls empty (no entries) or unreadable (status ``unreadable``)."""
+    zero = F.lit(0).cast("long")
+    told = archives.join(status, "archive_path").filter(F.col("status") != "listed")
+    others = told.select(
+        "backup_id", "backup_label", "item_type", "archive_path",
+        *[zero.alias(c) for c in ("entry_count", "encrypted_entries", "image_entries", "blob_entries")],
+        F.when(F.col("status") == "empty", "inventory_only").otherwise(F.col("status")).alias("parse_status"),
+    )
+    bad = told.filter("status = 'unreadable'").select("archive_path")
+    return inventory.join(bad, "archive_path", "left_anti").select(*others.columns).unionByName(others)
+
+
 def folder_inventory(inventory: DataFrame, folder_names: list[str]) -> DataFrame:
     """Number of files under each named top folder of a backup, as archive inventory rows; empty folders count zero."""
     top = F.substring_index("relative_path", "/", 1)

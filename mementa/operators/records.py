@@ -165,19 +165,41 @@ def browser_json(payloads: DataFrame) -> DataFrame:
 
 
 def anchors(html: Column | str) -> Column:
-    """Array of (title, url) of the anchors in a page, in order, empty ones left out."""
-    # nothing behind the last end tag can match; without it, every search ends at an end tag and starts behind it
-    closed = F.regexp_extract(html, r"(?s)^.*</a>", 0)
-    found = F.regexp_extract_all(closed, F.lit(r"(?s)<a[^>]*>.*?</a>"), F.lit(0))
-
-    def parse(anchor: Column) -> Column:
-        tag = F.substring_index(anchor, ">", 1)
-        inner = F.regexp_extract(anchor, r"(?s)^<a[^>]*>(.*)</a>$", 1)
+    """Array of (title, url) of the anchors in a page, in order, empty ones left out.
+
+    The page is split at end tags once, and each piece is searched once for an opening.  A piece whose opening has no
+    ``>`` takes that of its end tag, and the whole next piece is its content: in the string of kinds, one letter per
+    piece, such pairs are found from left to right.
+    """
+
+    def opening(piece: Column) -> Column:
+        return F.instr(piece, "<a")
+
+    def tag_end(piece: Column) -> Column:
+        return F.call_function("locate", F.lit(">"), piece, opening(piece))
+
+    def kind(piece: Column) -> Column:
+        return F.when(opening(piece) == 0, "0").when(tag_end(piece) > 0, "1").otherwise("2")
+
+    def anchor(tag: Column, inner: Column) -> Column:
         return F.struct(X.strip_html(inner).alias("title"), X.href(tag).alias("url"))
 
-    return F.filter(
-        F.transform(found, parse), lambda a: (F.length(a["title"]) > 0) | a["url"].isNotNull()
-    )
+    def found(pieces: Column) -> Column:
+        kinds = F.array_join(F.transform(pieces, kind), "")
+
+        def each(marks: Column) -> Column:
+            def parse(piece: Column, i: Column) -> Column:
+                own = anchor(F.substr(piece, opening(piece), tag_end(piece) - opening(piece)), F.substr(piece, tag_end(piece) + 1))
+                before = F.get(pieces, i - 1)
+                carried = anchor(F.concat(F.substr(before, opening(before)), F.lit("</a")), piece)
+                return F.when(F.get(marks, i) == "1", own).when(F.get(marks, i) == "x", carried)
+
+            return F.transform(pieces, parse)
+
+        return let(F.split(F.regexp_replace(kinds, "2.", "2x"), ""), each)
+
+    parts = let(F.split(html, "</a>"), lambda p: F.slice(p, F.lit(1), F.size(p) - 1))  # nothing closes the last piece
+    return F.filter(let(parts, found), lambda a: (F.length(a["title"]) > 0) | a["url"].isNotNull())
 
 
 def browser_html(payloads: DataFrame) -> DataFrame:
@@ -198,15 +220,48 @@ def browser_html(payloads: DataFrame) -> DataFrame:
     )
 
 
-# possessive repetition: one step per run of characters, no backtracking
-CALL_ELEMENT = r"""(?s)<CallLog(?=[\s/>])(?:[^>"']++|"[^"]*+"|'[^']*+')*+>"""
+# Complete pieces of markup, each found in one pass (possessive repetition: no backtracking): comments, CDATA,
+# instructions, document types, end tags, start tags, references.
+XML_PIECE = "|".join([
+    r"<!--.*?-->", r"<!\[CDATA\[.*?\]\]>", r"<\?.*?\?>", r"<![dD](?:[^<>]++|<[^<>]*+>)*+>", r"</[^>]*+>",
+    r"""<(?![!?/])(?:[^>"']++|"[^"]*+"|'[^']*+')*+>""", r"&[^;&<]*+;",
+])
+# Anything else that opens is an error and swallows the rest.
+XML_EVENT = rf"(?s){XML_PIECE}|[<&].*"
 XML_ATTRIBUTE = r"""(?s)([^\s=/"'<>]++)\s*+=\s*+("[^"]*+"|'[^']*+')"""
 
 
+def before_first_error(events: Column) -> Column:
+    """The markup events in front of the first error: an unfinished piece, or an end tag that does not close the
+    innermost open element.  The fold keeps the names of open elements, one per line, and the number of good events."""
+
+    def step(event: Column) -> Column:
+        name = F.regexp_extract(event, r"^</?([^\s>]*)", 1)
+        closes, opens = event.startswith("</"), event.rlike(r"^<[^!?/]") & ~event.endswith("/>")
+        return F.struct(F.when(closes, "-").when(opens, "+").otherwise("0").alias("way"), name.alias("name"))
+
+    def fold(state: Column, e: Column) -> Column:
+        line = F.concat(F.lit("\n"), e["name"])
+        wrong = (e["way"] == "-") & ~state["open"].endswith(line)
+        shorter = F.substr(state["open"], F.lit(1), F.length(state["open"]) - F.length(line))
+        after = F.when(e["way"] == "+", F.concat(state["open"], line)).when(e["way"] == "-", shorter).otherwise(state["open"])
+        on = F.when(state["open"].isNull() | wrong, F.lit(None)).otherwise(after)
+        return F.struct(on.alias("open"), (state["good"] + on.isNotNull().cast("int")).alias("good"))
+
+    def cut(found: Column) -> Column:
+        broken = ~F.element_at(found, -1).rlike(rf"^(?s)(?:{XML_PIECE})")
+        start = F.struct(F.lit("").alias("open"), F.lit(0).alias("good"))
+        good = F.aggregate(F.transform(found, step), start, fold)["good"]
+        whole = F.size(found) - F.when(broken, 1).otherwise(0)
+        return F.slice(found, F.lit(1), F.least(good, whole))
+
+    return F.when(F.size(events) == 0, events).otherwise(let(events, cut))
+
+
 def call_elements(xml: Column | str) -> Column:
-    """Array of (title, subtitle) per CallLog element; comments and CDATA do not count, to the end where unfinished."""
-    visible = F.regexp_replace(xml, r"(?s)<!--.*?(?:-->|\z)|<!\[CDATA\[.*?(?:\]\]>|\z)", "")
-    tags = F.regexp_extract_all(visible, F.lit(CALL_ELEMENT), F.lit(0))
+    """Array of (title, subtitle) per CallLog element in front of the first XML error."""
+    events = before_first_error(F.regexp_extract_all(xml, F.lit(XML_EVENT), F.lit(0)))
+    tags = F.filter(events, lambda e: e.rlike(r"^<CallLog(?=[\s/>])"))
 
     def parse(tag: Column) -> Column:
         attributes = F.struct(
@@ -221,7 +276,8 @@ def call_elements(xml: Column | str) -> Column:
                 at = F.array_position(names, key)
                 quoted = F.get(values, (at - 1).cast("int"))
                 inner = F.substr(quoted, F.lit(2), F.length(quoted) - 2)
-                return F.when(at > 0, let(inner, X.xml_unescape))
+                # most values hold no reference
+                return F.when(at > 0, F.when(~quoted.contains("&"), inner).otherwise(let(inner, X.xml_unescape)))
 
             title = F.coalesce(value("name"), value("number"), value("phoneNumber"), F.lit("Call log"))
             subtitle = F.coalesce(value("date"), value("type"), value("duration"))

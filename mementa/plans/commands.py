@@ -14,11 +14,11 @@ from mementa.operators import records as R
 from mementa.operators import similarity as M
 from mementa.operators import sync as Y
 from mementa.plans.library import Library, run_consolidation, run_index
-from mementa.sources import registry
+from mementa.sources import images, inventory as walked, registry
 
 
 class Commands:
-    """Every method returns a DataFrame (or commits a new library version and returns its summary)."""
+    """Every method returns a DataFrame; those that change the library return the summary of the change."""
 
     def __init__(self, spark: SparkSession, library: Library):
         self.spark, self.library = spark, library
@@ -41,22 +41,32 @@ class Commands:
     def category_metrics(self) -> DataFrame:
         return I.category_metrics(self.library.read("files"))
 
-    def index_multimedia(self, inventory: DataFrame, hasher: I.Reader, signer: I.Reader | None = None) -> DataFrame:
-        run_index(self.library, inventory, hasher, signer)
+    def index_multimedia(self, inventory: DataFrame, hasher: I.Reader, signer: I.Reader | None = None,
+                         outcomes: DataFrame | None = None) -> DataFrame:
+        run_index(self.library, inventory, hasher, signer, outcomes)
         return I.index_summary(inventory)
 
+    def index_folders(self, roots: DataFrame) -> DataFrame:
+        """Walk and index folders; (root_path, outcome, scanned_files, indexed_files, total_bytes) per root.
+
+        A missing root counts zero files and gets no run, an empty one does; the others go on.
+        """
+        scan = walked.walk_roots(roots)
+        run_index(self.library, scan.files, walked.hash_files, images.sign_files, scan.outcomes)
+        return I.root_summaries(scan.files, scan.outcomes)
+
     def list_indexed_files(self, category: str | None = None, limit: int = 120, offset: int = 0) -> DataFrame:
         return I.page_files(self.library.read("files"), category, limit, offset)
 
-    def _refill(self, fill: I.Reader) -> None:
-        """Write the index anew after ``fill``."""
-        version = self.library.pointer()["version"]
-        self.library.commit({"files": fill(self.library.read("files"))}, expected=version)
+    def _refill(self, fill: I.Reader, column: str) -> None:
+        """Upsert the index rows whose ``column`` was missing and that ``fill`` could read."""
+        files = self.library.read("files").withColumn("_known", F.col(column).isNotNull())
+        read = fill(files).filter(~F.col("_known") & F.col(column).isNotNull()).drop("_known", "id")
+        self.library.upsert_index(read)
 
-    def find_duplicate_files(self, category: str | None = None, hasher: I.Reader | None = None) -> DataFrame:
-        """With a hasher, files whose size collides are read first where they have no hash; the index keeps it."""
-        if hasher is not None:
-            self._refill(lambda files: I.backfill_hashes(files, hasher))
+    def find_duplicate_files(self, category: str | None = None, hasher: I.Reader = walked.hash_files) -> DataFrame:
+        """Files whose size collides are read first where they have no hash; the index keeps it."""
+        self._refill(lambda files: I.backfill_hashes(files, hasher), "content_hash")
         return D.sort_groups(D.duplicate_groups(self.library.read("files"), category))
 
     def duplicate_summary(self, category: str | None = None) -> DataFrame:
@@ -68,10 +78,9 @@ class Commands:
         files = I.category_filter(self.library.read("files"), category)
         return D.duplicate_members(files, D.duplicate_groups(files))
 
-    def find_similar_photos(self, signer: I.Reader | None = None) -> DataFrame:
-        """With a signer, photos without a signature (imported ones, too) are signed first; the index keeps it."""
-        if signer is not None:
-            self._refill(lambda files: I.backfill_signatures(files, signer))
+    def find_similar_photos(self, signer: I.Reader = images.sign_files) -> DataFrame:
+        """Photos without a signature (imported ones, too) are signed first; the index keeps it."""
+        self._refill(lambda files: I.backfill_signatures(files, signer), "sig")
         groups = M.similar_groups(self._look_alikes())
         return groups.orderBy(F.col("reclaimable_bytes").desc(), "group_key")
 
@@ -94,14 +103,12 @@ class Commands:
         return C.newest_first(C.backup_coverage(read("backups"), read("occurrences"), read("contents")))
 
     def purge(self, requests: DataFrame, existing: DataFrame, app_roots: list[str]) -> DataFrame:
-        """Verdicts for the requested paths; eligible ones leave the index in a new version."""
-        files, version = self.library.read("files"), self.library.pointer()["version"]
+        """Verdicts for the requested paths; eligible ones leave the index."""
         roots = D.protected_roots(self.library.read("contents"))
         if app_roots:
             roots = roots.unionByName(self.spark.createDataFrame([(r,) for r in app_roots], "root string"))
         verdicts = D.purge_verdict(requests, roots, existing)
-        remaining = I.delete_paths(files, D.eligible_paths(verdicts))
-        self.library.commit({"files": remaining}, expected=version)
+        self.library.remove_index(D.eligible_paths(verdicts))
         return verdicts
 
     def scan_categories(self, inventory: DataFrame) -> DataFrame:

@@ -301,6 +301,7 @@ ORACLES: dict[str, str] = {
     "fn_category_label": sql("inv files", f"SELECT id, {LABEL.format('category')} AS label, {LABEL.format('source')} AS source_label FROM files"),
     "flt_category": sql("inv files", "SELECT id, category FROM files WHERE category = 'photo'"),
     "flt_path_within": sql("inv", "SELECT id, absolute_path FROM inv WHERE absolute_path = '/backups/src1' OR starts_with(absolute_path, '/backups/src1/')"),
+    "flt_regular_file": sql("inv", "SELECT id, absolute_path FROM inv"),
     "flt_unchanged": sql("inv files previous", "SELECT i.id, i.absolute_path FROM inv i JOIN previous p ON p.absolute_path = i.absolute_path AND p.size_bytes = i.size_bytes AND p.modified_unix IS NOT DISTINCT FROM i.modified_unix"),
     "flt_similar": sql("grids signed", """SELECT s.id FROM signed s, (SELECT * FROM signed WHERE bits IS NOT NULL ORDER BY id LIMIT 1) f
         WHERE s.bits IS NOT NULL AND abs(s.aspect_q - f.aspect_q) <= 8 AND bit_count(xor(CAST(s.bits AS BIT), CAST(f.bits AS BIT))) <= 24"""),
@@ -409,11 +410,17 @@ ORACLES: dict[str, str] = {
     "rec_apps": sql("phone apprec", f"SELECT {RECORD} FROM apprec"),
     "rec_message_dbs": sql("phone dbrec", f"SELECT {RECORD} FROM dbrec"),
     "rec_messages": sql("msg top100 msgrec", f"SELECT {RECORD} FROM msgrec"),
-    "rec_status": sql("phone", """SELECT DISTINCT backup_id || ':' || k || ':' || root_path || '/' || top AS id, k AS kind, top AS title, CAST(NULL AS VARCHAR) AS subtitle, root_path || '/' || top AS source_path,
-        CASE top WHEN 'CONTACT' THEN 'encrypted_or_proprietary_payload' ELSE 'binary_apk_payload' END AS parse_status
-        FROM (SELECT *, CASE top WHEN 'CONTACT' THEN 'contact' ELSE 'app' END AS k FROM phone WHERE top IN ('CONTACT', 'APK'))"""),
+    "rec_status": sql("phone", """SELECT DISTINCT backup_id || ':' || k || ':' || root_path || '/' || folder AS id, k AS kind, folder AS title, CAST(NULL AS VARCHAR) AS subtitle,
+        root_path || '/' || folder AS source_path, CASE k WHEN 'contact' THEN 'encrypted_or_proprietary_payload' ELSE 'binary_or_proprietary_payload' END AS parse_status
+        FROM (SELECT *, CASE top WHEN 'CONTACT' THEN 'CONTACT' ELSE 'CALLLOG' END AS folder, CASE top WHEN 'CONTACT' THEN 'contact' ELSE 'calllog' END AS k FROM phone WHERE top IN ('CONTACT', 'CALENDER'))
+        WHERE backup_id NOT IN (SELECT 'p' || c_nationkey FROM customer WHERE k = 'contact' UNION ALL SELECT 'p' || (o_orderkey % 17 * 2 + 1) FROM orders WHERE k = 'calllog')"""),
     "rec_browser_status": sql("phone a", f"""SELECT DISTINCT backup_id || ':browser:' || root_path || '/SBROWSER' AS id, 'browser' AS kind, 'SBROWSER' AS title, CAST(NULL AS VARCHAR) AS subtitle, root_path || '/SBROWSER' AS source_path,
         'inventory_only_proprietary_payload' AS parse_status FROM phone WHERE top = 'SBROWSER' AND backup_id NOT IN (SELECT 'p' || (page_id % 20) FROM a)"""),
+    "job_index": sql("inv files previous", f"""SELECT place + CASE WHEN old THEN 0 ELSE (SELECT count(*) FROM previous) END AS id, absolute_path, size_bytes, content_hash
+        FROM (SELECT absolute_path, size_bytes, category, backup_id IN {IMPORTED} AS old, CASE WHEN id % 13 <> 0 THEN content_hash END AS content_hash,
+          row_number() OVER (PARTITION BY backup_id IN {IMPORTED} ORDER BY absolute_path) AS place FROM files) WHERE category = 'documents'"""),
+    "job_consolidation": sql("inv", "SELECT content_hash AS hash, size_bytes AS n_bytes, TRUE AS intact, count(*) AS n_files FROM inv GROUP BY 1, 2"),
+    "job_import_summary": sql("inv prior outside ranked acts", RUN),
     "set_union_records": sql("phone apprec dbrec calrec", f"SELECT kind, parse_status, count(*) AS n_records FROM (SELECT {RECORD} FROM apprec UNION ALL SELECT {RECORD} FROM dbrec UNION ALL SELECT {RECORD} FROM calrec) GROUP BY 1, 2"),
     "set_prepend_messages": sql("msg top100 msgrec phone dbrec", "SELECT 0 AS part, id, title FROM msgrec UNION ALL SELECT 1, id, title FROM dbrec"),
     "set_remove_selected": sql("inv files grp member", "SELECT content_hash, id, n_left FROM (SELECT content_hash, id, count(*) OVER (PARTITION BY content_hash) AS n_left FROM member WHERE NOT (category = 'photo' AND preselected)) WHERE n_left >= 2"),

@@ -19,10 +19,11 @@ from mementa.operators import listings as L
 from mementa.operators import records as R
 from mementa.operators import similarity as M
 from mementa.operators import sync as Y
-from mementa.operators.common import upsert
+from mementa.operators.common import is_folder, upsert
 from mementa.plans import bindings as B
-from mementa.plans.library import Library
+from mementa.plans.library import Library, run_consolidation
 from mementa.session import reliable_checkpoint, scratch_folder, tune
+from mementa.sources import objects as O
 from mementa.sources import registry as G
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -421,6 +422,12 @@ def flt_path_within(s, d):
     return inv.filter(P.path_within("absolute_path", F.lit("/backups/src1"))).select("id", "absolute_path")
 
 
+@query
+def flt_regular_file(s, d):
+    entries = B.with_folders(B.inventory(s, d), "Music/empty", "Video")
+    return entries.filter(~is_folder(entries)).select("id", "absolute_path")
+
+
 @query
 def flt_unchanged(s, d):
     state = I.with_previous(B.inventory(s, d), B.previous_index(s, d))
@@ -868,9 +875,15 @@ def rec_messages(s, d):
 
 @query
 def rec_status(s, d):
-    inv = B.phone_inventory(s, d)
-    nothing = R.apps(inv).filter("kind = 'none'")
-    return _out(R.missing_kind_status(inv, nothing))
+    """Phones with contact, call log and app folders, of which some were parsed."""
+    phones = B.phone_inventory(s, d)
+    moved = [F.regexp_replace(c, "(^|/)CALENDER/", "$1CALLLOG/").alias(c) for c in ("relative_path", "absolute_path")]
+    inv = phones.select(*[c for c in phones.columns if c not in ("relative_path", "absolute_path")], *moved)
+    contacts = B.contact_payloads(s, d).withColumn("backup_id", F.regexp_replace("backup_id", "^n", "p"))
+    order = F.regexp_extract("source_path", r"/c/(\d+)/", 1).cast("long")
+    calls = B.call_payloads(s, d).withColumn("backup_id", F.concat(F.lit("p"), (order % 17 * 2 + 1).cast("string")))
+    parsed = R.contacts(contacts).unionByName(R.call_logs(calls)).unionByName(R.apps(inv))
+    return _out(R.missing_kind_status(inv, parsed))
 
 
 @query
@@ -879,6 +892,39 @@ def rec_browser_status(s, d):
     return _out(R.browser_status(B.phone_inventory(s, d), found))
 
 
+# ---------------------------------------------------------------- jobs over library tables
+
+
+@query
+def job_index(s, d):
+    """Two scans into the partitioned index: an older one, then the present one with files that could not be read."""
+    library = Library(s, scratch_folder(s, "job-index"))
+    library.upsert_index(B.previous_index(s, d))
+    library.upsert_index(_marked_files(s, d))
+    return library.read("files").filter("category = 'documents'").select("id", "absolute_path", "size_bytes", "content_hash")
+
+
+@query
+def job_consolidation(s, d):
+    """A whole import: the stored objects, read back in chunks, with the occurrences of each content."""
+    library = Library(s, scratch_folder(s, "job-consolidation"))
+    run_consolidation(
+        library, B.inventory(s, d), "generic-folder", "Everything", "/backups", B.DESTINATION, "1",
+        store=O.from_table(B.content_table(s, d)),
+    )
+    seen = library.read("occurrences").groupBy(F.col("content_hash").alias("hash")).agg(F.count("*").alias("n_files"))
+    return O.read_back(library.read("objects")).join(seen, "hash")
+
+
+@query
+def job_import_summary(s, d):
+    """The counters of a run, observed while its entries are written."""
+    library = Library(s, scratch_folder(s, "job-summary"))
+    library.replace("contents", B.prior_contents(s, d).withColumns({"run_id": F.lit("before"), "first_seen_at": F.current_timestamp()}))
+    library.upsert_index(_mixed_index(s, d).withColumn("category", F.lit("other")))
+    return run_consolidation(library, B.inventory(s, d), "generic-folder", "Import", "/backups", B.DESTINATION, "1", store=None)
+
+
 # ---------------------------------------------------------------- set operations
 
 

@@ -28,6 +28,8 @@ IMPORT_RUN_ENTRIES = (
     "run_id STRING, original_path STRING, content_hash STRING, action STRING, size_bytes LONG, "
     "created_at TIMESTAMP"
 )
+UNREAD_FILES = "run_id STRING, absolute_path STRING, relative_path STRING, size_bytes LONG, found_at TIMESTAMP"
+OBJECTS = "hash STRING, chunk LONG, data BINARY, run_id STRING, shard STRING"
 DEVICES = (
     "id STRING, label STRING, manufacturer STRING, model STRING, android_version STRING, "
     "created_at TIMESTAMP"

@@ -9,6 +9,7 @@ from __future__ import annotations
 import hashlib
 import os
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -17,54 +18,91 @@ from mementa.functions import paths as P
 from mementa.session import reliable_checkpoint
 
 CHUNK = 1 << 20
-ENTRY_SCHEMA = "root_path string, absolute_path string, is_dir boolean, size_bytes long, modified_unix long"
-
-
-ENTRY_COLUMNS = ["root_path", "absolute_path", "is_dir", "size_bytes", "modified_unix"]
+ENTRY_COLUMNS = ["root_path", "absolute_path", "is_dir", "size_bytes", "modified_unix", "error"]
+ENTRY_SCHEMA = "root_path string, absolute_path string, is_dir boolean, size_bytes long, modified_unix long, error string"
 ENTRIES_PER_FRAME = 50_000
+MISSING = "missing"
 
 
 def _entry_frame(rows: list[tuple]) -> pd.DataFrame:
-    return pd.DataFrame(rows, columns=ENTRY_COLUMNS).astype({"modified_unix": "Int64"})
+    return pd.DataFrame(rows, columns=ENTRY_COLUMNS).astype({"modified_unix": "Int64", "size_bytes": "Int64", "is_dir": "boolean"})
+
+
+def _entries(root: str, folder: str) -> Iterator[tuple]:
+    """The rows of a folder; where it cannot be listed, what could be and a row with the error."""
+    try:
+        with os.scandir(folder) as entries:
+            for entry in entries:
+                is_dir = entry.is_dir(follow_symlinks=False)
+                if not is_dir and not entry.is_file(follow_symlinks=False):
+                    continue
+                info = entry.stat(follow_symlinks=False)
+                mtime = int(info.st_mtime // 1) if info.st_mtime >= 0 else None
+                yield root, entry.path, is_dir, 0 if is_dir else info.st_size, mtime, None
+    except FileNotFoundError:
+        yield root, folder, None, None, None, MISSING
+    except OSError as error:
+        yield root, folder, None, None, None, error.strerror or type(error).__name__
 
 
 def _list_folders(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     rows = []
     for batch in batches:
         for root, folder in zip(batch["root_path"], batch["absolute_path"]):
-            with os.scandir(folder) as entries:
-                for entry in entries:
-                    is_dir = entry.is_dir(follow_symlinks=False)
-                    if not is_dir and not entry.is_file(follow_symlinks=False):
-                        continue
-                    info = entry.stat(follow_symlinks=False)
-                    mtime = int(info.st_mtime // 1) if info.st_mtime >= 0 else None
-                    rows.append((root, entry.path, is_dir, 0 if is_dir else info.st_size, mtime))
-                    if len(rows) >= ENTRIES_PER_FRAME:  # a folder may hold any number of files
-                        yield _entry_frame(rows)
-                        rows = []
+            for row in _entries(root, folder):
+                rows.append(row)
+                if len(rows) >= ENTRIES_PER_FRAME:  # a folder may hold any number of files
+                    yield _entry_frame(rows)
+                    rows = []
     yield _entry_frame(rows)
 
 
-def walk(roots: DataFrame, partitions: int | None = None, folders: bool = False) -> DataFrame:
-    """Regular files below each root (root_path), hidden and empty ones included; with ``folders``, folder rows too.
+class Scan(NamedTuple):
+    """``files``: the inventory; ``folders``: folder rows in the same form; ``outcomes``: (root_path, outcome, error,
+    failed_folders) per root, where the outcome is missing, failed (the root itself), empty or listed."""
+
+    files: DataFrame
+    folders: DataFrame
+    outcomes: DataFrame
+
+
+def walk_roots(roots: DataFrame, partitions: int | None = None) -> Scan:
+    """Regular files below each root (root_path), hidden and empty ones included.
 
-    The walk proceeds level by level; the folders of a level are spread over all tasks, so one huge
-    root does not end up in one task.  Every level is checkpointed.  A listing error fails the job.
+    The walk proceeds level by level; the folders of a level are spread over all tasks, so one huge root does not end
+    up in one task.  Every level is checkpointed.  A folder that cannot be listed is a row of its own: the other
+    folders and roots go on, and its root's outcome tells it.
     """
     spark = roots.sparkSession
     width = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    level = roots.select("root_path", F.regexp_replace("root_path", "(?<=.)/+$", "").alias("absolute_path"))
-    found = None
+    top = roots.select("root_path", F.regexp_replace("root_path", "(?<=.)/+$", "").alias("absolute_path")).distinct()
+    level, found = top, None
     while True:
-        listed = reliable_checkpoint(
-            level.repartition(width, "absolute_path").mapInPandas(_list_folders, ENTRY_SCHEMA)
-        )
+        listed = reliable_checkpoint(level.repartition(width, "absolute_path").mapInPandas(_list_folders, ENTRY_SCHEMA))
         found = listed if found is None else found.unionByName(listed)
         level = listed.filter("is_dir").select("root_path", "absolute_path")
         if level.isEmpty():
             break
-    return describe_entries(found) if folders else describe_entries(found.filter("NOT is_dir")).drop("is_dir")
+    failed = F.col("error").isNotNull()
+    own = F.col("absolute_path") == F.regexp_replace("root_path", "(?<=.)/+$", "")
+    told = found.groupBy("root_path").agg(
+        F.max(F.when(failed & own, F.col("error"))).alias("error"), F.count_if(failed & ~own).alias("failed_folders"),
+        F.count_if(~failed).alias("n"),
+    )
+    outcome = F.when(F.col("error") == MISSING, MISSING).when(F.col("error").isNotNull(), "failed").when(F.coalesce("n", F.lit(0)) == 0, "empty").otherwise("listed")
+    outcomes = top.select("root_path").join(told, "root_path", "left").select(
+        "root_path", outcome.alias("outcome"), "error", F.coalesce("failed_folders", F.lit(0)).alias("failed_folders")
+    )
+    entries = describe_entries(found.filter("error IS NULL").drop("error"))
+    return Scan(entries.filter("NOT is_dir").drop("is_dir"), entries.filter("is_dir").drop("is_dir"), outcomes)
+
+
+def walk(roots: DataFrame, partitions: int | None = None, folders: bool = False) -> DataFrame:
+    """Only the files of ``walk_roots``; with ``folders``, folder rows, too, told apart by ``is_dir``."""
+    scan = walk_roots(roots, partitions)
+    if not folders:
+        return scan.files
+    return scan.files.withColumn("is_dir", F.lit(False)).unionByName(scan.folders.withColumn("is_dir", F.lit(True)))
 
 
 def describe_entries(entries: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from mementa.operators import consolidation as C
-from mementa.plans.library import Library, run_index
+from mementa.plans.library import Library, Store, mark_run, record_run, run_index
 from mementa.session import reliable_checkpoint
 
 
@@ -30,10 +30,14 @@ def _newest_per_path(batch: DataFrame) -> DataFrame:
 
 def incremental_index(stream: DataFrame, library: Library, hasher: Callable[[DataFrame], DataFrame],
                       checkpoint: str, signer: Callable[[DataFrame], DataFrame] | None = None) -> StreamingQuery:
-    """Hash (and with a signer, sign) only new or changed files of each batch and upsert them into the index."""
+    """Hash (and with a signer, sign) only new or changed files of each batch and upsert them into the index.
+
+    A batch rewrites the index partitions of its own paths.  A replayed batch finds its files unchanged.
+    """
+    name = hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        run_index(library, _newest_per_path(batch), hasher, signer)
+        run_index(library, _newest_per_path(batch), hasher, signer, run=f"stream-{name}-{batch_id}")
 
     return (
         stream.writeStream.foreachBatch(handle)
@@ -44,33 +48,24 @@ def incremental_index(stream: DataFrame, library: Library, hasher: Callable[[Dat
 
 
 def dedup_ingest(stream: DataFrame, library: Library, destination: str, checkpoint: str,
-                 stream_id: str | None = None) -> StreamingQuery:
+                 stream_id: str | None = None, store: Store | None = None) -> StreamingQuery:
     """First content wins, later copies are duplicates; the contents table is the only state.
 
-    A run is named by stream and batch.  A batch that is replayed after a failure finds its own run recorded
-    and is skipped, so the tables receive every batch once, and batches of other streams never count as it.
-    ``stream_id`` defaults to the checkpoint, which is what makes two streams different to Spark.
+    A run is named by stream and batch, and every table is partitioned by run.  A batch that is replayed after a
+    failure therefore writes its own partitions again and nothing else, and streams that share a library do not meet.
+    ``stream_id`` defaults to the checkpoint, which is what makes two streams different to Spark.  Files without a hash
+    go to ``unread_files``, so one of them does not stop the stream.  ``store`` reads the bytes of new contents.
     """
     name = stream_id or hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        run, version = f"stream-{name}-{batch_id}", library.pointer()["version"]
-        done = library.read("import_runs").filter(F.col("id") == run)
-        if not done.isEmpty():
-            return
-        contents = library.read("contents")
-        batch = reliable_checkpoint(C.readable(batch))
-        now = F.current_timestamp()
-        copied = reliable_checkpoint(C.copied_files(batch, contents))
-        fresh = C.new_contents(batch, contents, destination, copied).withColumn("first_seen_at", now)
-        entries = C.manifest_entries(C.run_actions(batch, contents, copied), run).withColumn("created_at", now)
-        marker = batch.sparkSession.range(0, 1, 1, 1).select(
-            F.lit(run).alias("id"), F.lit("stream").alias("source_path"),
-            F.lit(destination).alias("destination_path"), F.lit("completed").alias("status"),
-            now.alias("started_at"), now.alias("finished_at"),
-        )
-        # fails if another writer was faster; the restarted stream repeats the batch
-        library.commit(append={"contents": fresh, "import_run_entries": entries, "import_runs": marker}, expected=version)
+        run = f"stream-{name}-{batch_id}"
+        mark_run(library, run, "stream", destination, "running")
+        batch = reliable_checkpoint(batch.select(*C.INVENTORY))
+        unread = batch.filter("content_hash IS NULL").withColumns({"run_id": F.lit(run), "found_at": F.current_timestamp()})
+        library.replace("unread_files", unread)
+        record_run(library, batch.filter("content_hash IS NOT NULL"), destination, run, store)
+        mark_run(library, run, "stream", destination, "completed")
 
     return (
         stream.writeStream.foreachBatch(handle)

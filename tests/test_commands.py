@@ -8,7 +8,7 @@ from mementa.operators import duplicates as D
 from mementa.operators import index as I
 from mementa.plans.commands import Commands
 from mementa.plans.library import Library
-from mementa.sources import images, inventory
+from mementa.sources import images, inventory, objects
 from test_sources import png
 
 
@@ -47,6 +47,7 @@ def test_session(spark, tmp_path):
         hashed, adapter="generic-folder", label="Pics", source_path=str(root), destination="/dest", run_token="t"
     ).first()
     assert (done.copied_files, done.duplicate_files) == (3, 1)
+    assert [r.intact for r in objects.read_back(commands.library.read("objects")).collect()] == [True] * 3
     assert commands.backup_coverage().first().safe_to_delete
 
     stored = commands.library.read("contents").first().storage_path
@@ -66,7 +67,7 @@ def test_scans_read_what_the_index_lacks(spark, tmp_path):
     inv = spark.createDataFrame(rows, "root_path string, absolute_path string, relative_path string, size_bytes long, modified_unix long, extension string, content binary")
     nothing = inv.limit(0).select("absolute_path", F.lit("").alias("content_hash"))
     commands.index_multimedia(inv.drop("content"), lambda wanted: nothing)
-    assert commands.find_duplicate_files().count() == 0
+    assert commands.find_duplicate_files(hasher=lambda wanted: nothing).count() == 0
     assert commands.find_duplicate_files(hasher=I.hash_from_table(inv)).first().n_files == 2
     summary = commands.duplicate_summary().first()
     assert (summary.total_groups, summary.reclaimable_bytes, summary.scanned_candidates) == (1, 2, 3)
@@ -75,6 +76,38 @@ def test_scans_read_what_the_index_lacks(spark, tmp_path):
     assert commands.find_similar_photos(signer).first().n_files == 3
 
 
+def test_scans_read_missing_hashes_by_default(spark, tmp_path):
+    """The bytes are read from the file system unless the caller brings a reader."""
+    root = tmp_path / "pics"
+    root.mkdir()
+    across = [[x * 14 for x in range(16)] for _ in range(16)]
+    png(root / "a.png", across)
+    png(root / "b.png", across)
+    (root / "c.txt").write_bytes(b"c")
+    commands = Commands(spark, Library(spark, str(tmp_path / "library"), buckets=2))
+    found = inventory.walk(spark.createDataFrame([(str(root),)], "root_path string"), 2)
+    nothing = spark.createDataFrame([], "absolute_path string, content_hash string")
+    commands.index_multimedia(found, lambda wanted: nothing)
+    assert commands.library.read("files").filter("content_hash IS NOT NULL").isEmpty()
+    assert [g.n_files for g in commands.find_duplicate_files().collect()] == [2]
+    assert commands.library.read("files").filter("content_hash IS NOT NULL").count() == 2
+    assert [g.n_files for g in commands.find_similar_photos().collect()] == [2]
+
+
+def test_roots_with_all_outcomes(spark, tmp_path):
+    for name in ("full/Photo", "empty", "hollow/inner"):
+        (tmp_path / name).mkdir(parents=True)
+    (tmp_path / "full" / "Photo" / "a.jpg").write_bytes(b"abc")
+    names = ["full", "empty", "hollow", "missing"]
+    roots = spark.createDataFrame([(str(tmp_path / n),) for n in names], "root_path string")
+    commands = Commands(spark, Library(spark, str(tmp_path / "library"), buckets=2))
+    got = {r.root_path.rsplit("/", 1)[1]: (r.outcome, r.scanned_files, r.indexed_files, r.total_bytes) for r in commands.index_folders(roots).collect()}
+    assert got == {"full": ("listed", 1, 1, 3), "empty": ("empty", 0, 0, 0), "hollow": ("listed", 0, 0, 0), "missing": ("missing", 0, 0, 0)}
+    runs = {r.root_path.rsplit("/", 1)[1]: r.scanned_files for r in commands.library.read("scan_runs").collect()}
+    assert runs == {"full": 1, "empty": 0, "hollow": 0}
+    assert commands.library.read("files").count() == 1
+
+
 def test_small_commands(spark):
     commands = Commands(spark, None)
     assert commands.adapter_registry().count() == 4

@@ -5,14 +5,15 @@ import hashlib
 import pytest
 from pyspark.sql import functions as F
 
-from mementa import schemas
 from mementa.operators import consolidation as C
 from mementa.operators import duplicates as D
 from mementa.operators import index as I
 from mementa.operators import sync as Y
-from mementa.operators.common import lookup_join, prefix_sum, upsert
+from mementa.operators.common import lookup_join, number_rows, prefix_sum, upsert
 from mementa.plans import bindings as B
-from mementa.plans.library import Library, read_objects, run_consolidation, run_index, write_objects
+from mementa.plans import library as stored_library
+from mementa.plans.library import Library, run_consolidation, run_index
+from mementa.sources import objects as O
 
 INV = "root_path string, absolute_path string, relative_path string, size_bytes long, modified_unix long, extension string"
 
@@ -164,7 +165,7 @@ def test_unreadable_files_end_a_run(spark, tmp_path):
     inv = inventory(spark, "/src", [A, C_]).withColumn("content_hash", F.when(F.col("relative_path") == A[0], F.col("content_hash")))
     with pytest.raises(Exception, match="File could not be read: /src/Docs/c.bin"):
         run_consolidation(library, inv, "generic-folder", "b", "/src", "/dest", "1")
-    assert library.read("contents").isEmpty() and library.read("import_runs").isEmpty()
+    assert library.read("contents").isEmpty() and [r.status for r in library.read("import_runs").collect()] == ["running"]
 
 
 def test_changed_photo_loses_its_signature_without_a_signer(spark):
@@ -195,10 +196,13 @@ def test_plan_and_run_differ_inside_a_source(spark):
     assert none.total_files == 0 and none.copied_bytes == 0
 
 
+RUN = dict(adapter="generic-folder", label="My backup", source_path="/src", destination="/dest")
+
+
 def test_consolidation_twice(spark, tmp_path):
-    library = Library(spark, str(tmp_path / "lib"))
+    library = Library(spark, str(tmp_path / "lib"), buckets=4)
     inv = inventory(spark, "/src", [A, B_, C_])
-    args = dict(adapter="generic-folder", label="My backup", source_path="/src", destination="/dest", device_id="d1")
+    args = dict(RUN, device_id="d1", store=O.from_table(inv))
     first = run_consolidation(library, inv, run_token="1", **args).first()
     assert (first.total_files, first.copied_files, first.duplicate_files, first.occurrences_recorded) == (3, 2, 1, 3)
     outside = C.indexed_outside(library.read("files"), "/dest")
@@ -209,27 +213,101 @@ def test_consolidation_twice(spark, tmp_path):
     assert (coverage.total_bytes, coverage.reclaimable_bytes) == (8, 8)
     files = {r.relative_path: r for r in library.read("files").collect()}
     assert set(files) == {"Photo/b.jpg", "Docs/c.bin"} and files["Photo/b.jpg"].source == "My backup"
-    before = {n: library.read(n).count() for n in ("files", "contents", "occurrences", "backups", "devices")}
+    before = {n: library.read(n).count() for n in ("files", "contents", "occurrences", "backups", "devices", "objects")}
     second = run_consolidation(library, inv, run_token="2", **args).first()
     assert (second.copied_files, second.duplicate_files, second.occurrences_recorded) == (0, 3, 3)
     assert {n: library.read(n).count() for n in before} == before
     entries = [r.action for r in library.read("import_run_entries").collect()]
     assert entries.count("copied") == 2 and entries.count("duplicate") == 4
     assert library.read("import_runs").count() == 2 and library.read("devices").first().label == "Unknown device"
-
-
-def test_library_rejects_a_second_writer(spark, tmp_path):
-    library = Library(spark, str(tmp_path / "lib"))
-    row = spark.createDataFrame([("h", 1, None, "p", None)], schemas.CONTENTS)
-    version = library.commit(append={"contents": row})
-    library.commit(append={"contents": row})
-    with pytest.raises(RuntimeError):
-        library.commit(append={"contents": row}, expected=version)
-    assert library.read("contents").count() == 2 and library.read("backups").count() == 0
+    assert {r.status for r in library.read("import_runs").collect()} == {"completed"}
+    kept = {(r.hash, r.n_bytes, r.intact) for r in O.read_back(library.read("objects")).collect()}
+    assert kept == {(hashlib.sha256(d).hexdigest(), len(d), True) for _, d, _ in (A, C_)}
+
+
+def test_observed_counters_are_the_summary(spark, tmp_path):
+    inv = inventory(spark, "/src", [A, B_, C_, ("Docs/d.bin", b"", 4), ("Docs/e.bin", b"", 5)])
+    library = Library(spark, str(tmp_path / "lib"), buckets=2)
+    elsewhere = I.describe(inventory(spark, "/pc", [("x/f.jpg", A[1], 1)]))
+    library.upsert_index(elsewhere)
+    empty = library.read("contents")
+    expected = C.run_summary(inv, empty, C.indexed_outside(library.read("files"), "/dest")).first().asDict()
+    done = run_consolidation(library, inv, run_token="1", store=None, **RUN).first().asDict()
+    assert done == expected and done["already_on_computer"] == 1
+    nothing = run_consolidation(library, inv.limit(0), run_token="2", store=None, **RUN).first()
+    assert (nothing.total_files, nothing.copied_bytes) == (0, 0)
+    assert library.read("import_runs").count() == 2
+
+
+def test_a_run_that_dies_stands_as_running_and_is_mended(spark, tmp_path, monkeypatch):
+    library = Library(spark, str(tmp_path / "lib"), buckets=2)
+    inv = inventory(spark, "/src", [A, B_, C_])
+    with monkeypatch.context() as broken:
+        broken.setattr(stored_library.C, "imported_index", lambda *a: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            run_consolidation(library, inv, run_token="1", store=O.from_table(inv), **RUN)
+    run = library.read("import_runs").first()
+    assert (run.status, run.finished_at) == ("running", None) and library.read("contents").count() == 2
+    again = run_consolidation(library, inv, run_token="1", store=O.from_table(inv), **RUN).first()
+    assert (again.copied_files, again.duplicate_files) == (2, 1)
+    assert library.read("contents").count() == 2 and library.stored("contents").count() == 2 and library.read("import_run_entries").count() == 3
+    done = library.read("import_runs").first()
+    assert done.status == "completed" and done.started_at >= run.started_at and done.finished_at >= done.started_at
+    assert library.read("files").count() == 2
+
+
+def test_index_reads_prune_and_upserts_touch_their_partitions(spark, tmp_path):
+    library = Library(spark, str(tmp_path / "lib"), buckets=4)
+    rows = [(f"{c}/{i}.{e}", b"x", 1) for c, e in (("Photo/a", "jpg"), ("Video/a", "mp4"), ("Music/a", "mp3")) for i in range(12)]
+    library.upsert_index(I.describe(inventory(spark, "/r", rows)))
+    plan = library.read("files").filter("category = 'photo'")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(category" in plan and "(category#" in plan.split("PartitionFilters")[1][:200]
+
+    def stamps():
+        found = {}
+        for path in sorted((tmp_path / "lib" / "files").rglob("*.parquet")):
+            found.setdefault(str(path.parent), []).append(path.name)
+        return found
+
+    before, ids = stamps(), {r.absolute_path: r.id for r in library.read("files").collect()}
+    assert sorted(ids.values()) == list(range(1, 37))
+    changed = I.describe(inventory(spark, "/r", [("Photo/a/3.jpg", b"yy", 2), ("Photo/a/new.jpg", b"z", 2)]))
+    library.upsert_index(changed)
+    after = stamps()
+    moved = {k for k in after if after[k] != before.get(k)}
+    assert 1 <= len(moved) <= 2 and all("category=photo" in m for m in moved)
+    now = {r.absolute_path: r for r in library.read("files").collect()}
+    assert len(now) == 37 and now["/r/Photo/a/3.jpg"].size_bytes == 2 and now["/r/Photo/a/new.jpg"].id == 37
+    assert {p: r.id for p, r in now.items() if p in ids} == ids
+
+
+def test_paths_change_category_and_leave_the_index(spark, tmp_path):
+    library = Library(spark, str(tmp_path / "lib"), buckets=1)
+    library.upsert_index(I.describe(inventory(spark, "/r", [("a.jpg", b"1", 1), ("b.mp4", b"2", 1)])))
+    ids = {r.absolute_path: r.id for r in library.read("files").collect()}
+    video = inventory(spark, "/r", [("a.jpg", b"1", 1)]).withColumns({"category": F.lit("video"), "source": F.lit("s")})
+    library.upsert_index(video)
+    got = {r.absolute_path: (r.category, r.id) for r in library.read("files").collect()}
+    assert got == {p: ("video", i) for p, i in ids.items()}
+    library.upsert_index(video.withColumn("category", F.lit("photo")))
+    assert {r.absolute_path: r.category for r in library.read("files").collect()} == {"/r/a.jpg": "photo", "/r/b.mp4": "video"}
+    gone = spark.createDataFrame([("/r/a.jpg",), ("/r/none",)], "absolute_path string")
+    library.remove_index(gone)
+    assert [r.absolute_path for r in library.read("files").collect()] == ["/r/b.mp4"]
+    library.remove_index(gone)
+    library.upsert_index(I.describe(inventory(spark, "/r", [("a.jpg", b"1", 1)])))
+    assert {r.absolute_path: r.id for r in library.read("files").collect()} == {"/r/b.mp4": ids["/r/b.mp4"], "/r/a.jpg": 3}
+
+
+def test_number_rows(spark):
+    rows = spark.range(0, 5000, 1, 7).select((F.col("id") * 7919 % 5000).alias("x"))
+    got = [(r.x, r.n) for r in number_rows(rows, ["x"], 10, "n").collect()]
+    assert sorted(got) == [(i, i + 10) for i in range(5000)]
+    assert number_rows(rows.limit(0), ["x"], 1, "n").count() == 0
 
 
 def test_index_job_is_idempotent(spark, tmp_path):
-    library = Library(spark, str(tmp_path / "lib"))
+    library = Library(spark, str(tmp_path / "lib"), buckets=4)
     inv = inventory(spark, "/r", [A, C_])
     hasher = I.hash_from_table(inv.select("absolute_path", "content"))
     plain = inv.drop("content", "content_hash")
@@ -240,13 +318,26 @@ def test_index_job_is_idempotent(spark, tmp_path):
     assert library.read("scan_runs").count() == 2 and all(i is not None for i, _, _ in once)
 
 
-def test_objects_hold_each_new_content_once(spark, tmp_path):
-    inv = inventory(spark, "/src", [A, B_, C_])
-    empty = spark.createDataFrame([], "hash string")
-    write_objects(inv.drop("content"), empty, inv, str(tmp_path / "objects"))
-    stored = read_objects(spark, str(tmp_path / "objects")).collect()
-    assert {r.hash for r in stored} == {hashlib.sha256(bytes(r.content)).hexdigest() for r in stored} and len(stored) == 2
-    assert all(r.shard == r.hash[:2] for r in stored)
+def test_objects_in_chunks(spark, tmp_path):
+    sizes = {"empty": 0, "one": 5, "full": 4096, "more": 4097, "big": 300_001}
+    data = {n: bytes(i * 31 % 251 for i in range(size)) for n, size in sizes.items()}
+    for name, content in data.items():
+        (tmp_path / name).write_bytes(content)
+    rows = [(str(tmp_path / n), hashlib.sha256(c).hexdigest(), len(c), c) for n, c in data.items()]
+    wanted = spark.createDataFrame(rows, "absolute_path string, content_hash string, size_bytes long, content binary")
+    library = Library(spark, str(tmp_path / "lib"))
+    expected = {(h, n, True) for _, h, n, _ in rows}
+    for run, found in (("1", O.from_files(wanted, 4096)), ("2", O.from_table(wanted, chunk_bytes=4096)(wanted))):
+        library.replace("objects", O.sharded(found, run))
+        mine = library.read("objects").filter(F.col("run_id") == run)
+        assert mine.count() == 1 + 1 + 1 + 2 + 74 and mine.agg(F.max(F.octet_length("data"))).first()[0] == 4096
+        assert {tuple(r) for r in O.read_back(mine).collect()} == expected
+    assert {tuple(r) for r in O.read_back(library.read("objects")).collect()} == expected  # stored by two runs
+    assert all(r.shard == r.hash[:2] for r in library.read("objects").collect())
+    torn = library.read("objects").filter("run_id = '1' AND chunk <> 3")
+    assert {r.hash for r in O.read_back(torn).collect() if not r.intact} == {hashlib.sha256(data["big"]).hexdigest()}
+    with pytest.raises(Exception, match="changed while it was stored"):
+        O.from_files(wanted.withColumn("size_bytes", F.col("size_bytes") + 1), 4096).collect()
 
 
 def test_coverage_with_orphans_and_empty_backups(spark):

@@ -1,5 +1,8 @@
 """Structured records, inventories and listings."""
 
+import random
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -161,6 +164,78 @@ def test_unfinished_markup(spark):
     assert [r.title for r in R.call_logs(calls).collect()] == ["a", "b"]
 
 
+def test_call_log_ends_at_the_first_error(spark):
+    row = "<CallLog name='%s'/>"
+    cases = {
+        "<CallLogs>" + row % "a" + "<!-- <b> -->" + row % "b" + "</CallLogs>": "ab",
+        "<CallLogs>" + row % "a" + "</Other>" + row % "b" + "</CallLogs>": "a",
+        "<CallLogs><x><y>" + row % "a" + "</x>" + row % "b" + "</CallLogs>": "a",
+        "<CallLogs><x><y>" + row % "a" + "</y ></x>" + row % "b" + "</CallLogs>": "ab",
+        "</CallLogs>" + row % "a" + "</CallLogs>": "",
+        "<CallLogs>" + row % "a" + "<!x>" + row % "b" + "</CallLogs>": "a",
+        "<CallLogs>" + row % "a" + "<![CDATA[" + row % "c" + "]]>" + row % "b" + "</CallLogs>": "ab",
+        "<CallLogs>" + row % "a" + "<![CDATA[" + row % "b" + "</CallLogs>": "a",
+        "<?xml version='1'?><!DOCTYPE x [<!ENTITY a 'b'>]><CallLogs>" + row % "a" + "<?pi <CallLog/> ?>" + row % "b" + "</CallLogs>": "ab",
+        "<CallLogs>" + row % "a" + "a &amp; b" + row % "b" + "</CallLogs>": "ab",
+        "<CallLogs>" + row % "a" + "a & b" + row % "b" + "</CallLogs>": "a",
+        "<CallLogs>" + row % "a" + "<CallLog name='b></CallLogs>": "a",
+        "<CallLogs>" + row % "a" + "<CallLog name='b'>x</CallLog></CallLogs>" + row % "c" + "</CallLogs>": "abc"[:2] + "c",
+    }
+    frame = spark.createDataFrame([("b", str(i), x) for i, x in enumerate(cases)], "backup_id string, source_path string, text string")
+    got = {}
+    for r in sorted(R.call_logs(frame).collect(), key=lambda r: r.id):
+        got[int(r.source_path)] = got.get(int(r.source_path), "") + r.title
+    assert [got.get(i, "") for i in range(len(cases))] == list(cases.values())
+
+
+def plain_anchors(page):
+    """The rule of the page parser, word for word: find an opening, its end, the next end tag."""
+    out = []
+    while (at := page.find("<a")) >= 0:
+        page = page[at:]
+        end = page.find(">")
+        close = page.find("</a>", end + 1)
+        if end < 0 or close < 0:
+            break
+        out.append((page[:end], page[end + 1 : close]))
+        page = page[close + 4 :]
+    return out
+
+
+def stripped(html):
+    out, inside = "", False
+    for c in html:
+        inside = True if c == "<" else False if c == ">" else inside
+        out += c if not inside and c != ">" else ""
+    return out.strip()
+
+
+def test_anchors_follow_the_parser(spark):
+    rng = random.Random(5)
+    parts = ["<a", "<a href=\"u\"", ">", "</a>", "t", " ", "<b>", "</a", "<"]
+    pages = ["".join(rng.choice(parts) for _ in range(rng.randrange(25))) for _ in range(400)]
+    frame = spark.createDataFrame(list(enumerate(pages)), "i int, text string")
+    got = {r.i: [(a.title, a.url) for a in r.found] for r in frame.select("i", R.anchors(F.col("text")).alias("found")).collect()}
+    for i, page in enumerate(pages):
+        plain = [(stripped(inner), "u" if 'href="u"' in tag else None) for tag, inner in plain_anchors(page)]
+        assert len(got[i]) == len([p for p in plain if p[0] or p[1]]), (page, got[i], plain)
+        assert [g[1] for g in got[i]] == [p[1] for p in plain if p[0] or p[1]], page
+
+
+@pytest.mark.parametrize("parse, unit, close", [(R.anchors, "<a ", "</a>"), (R.anchors, "<a></a>", ""), (R.anchors, "<a </a>", ""), (R.call_elements, "<CallLog ", ""), (R.call_elements, "<CallLog/>", ""), (R.call_elements, "<!--", "")])
+def test_markup_takes_linear_time(spark, parse, unit, close):
+    """Four times the text takes about four times as long, not sixteen times."""
+
+    def seconds(n):
+        frame = spark.range(1).select(F.concat(F.repeat(F.lit(unit), n), F.lit(close)).alias("text"))
+        start = time.perf_counter()
+        frame.select(parse(F.col("text")).alias("found")).write.format("noop").mode("overwrite").save()
+        return time.perf_counter() - start
+
+    seconds(100)
+    assert seconds(80_000) < 8 * seconds(20_000) + 0.5
+
+
 def test_export_roots(spark):
     rows = [("/a", "x"), ("/b", "Takeout/x"), ("/c", "Archive Browser.html"), ("/d", "Takeout")]
     got = V.takeout_roots(spark.createDataFrame(rows, "root_path string, relative_path string"))

@@ -51,9 +51,21 @@ def test_walk_keeps_hidden_and_empty_files(spark, tmp_path):
     assert "Photo/DCIM/a.JPG" in {r.relative_path for r in inventory.hashed_content(simple).collect()}
 
 
-def test_walk_fails_on_a_missing_folder(spark, tmp_path):
-    with pytest.raises(Exception):
-        inventory.walk(spark.createDataFrame([(str(tmp_path / "none"),)], "root_path string"), 2)
+def test_walk_goes_on_beside_bad_roots(spark, tmp_path):
+    (tmp_path / "good").mkdir()
+    (tmp_path / "good" / "a").write_bytes(b"x")
+    (tmp_path / "file").write_bytes(b"x")
+    roots = spark.createDataFrame([(str(tmp_path / n),) for n in ("none", "good", "file")], "root_path string")
+    scan = inventory.walk_roots(roots, 2)
+    assert {os.path.basename(r.root_path): (r.outcome, r.failed_folders) for r in scan.outcomes.collect()} == {
+        "none": ("missing", 0), "good": ("listed", 0), "file": ("failed", 0)}
+    assert [r.relative_path for r in scan.files.collect()] == ["a"] and scan.folders.count() == 0
+
+
+def test_walk_tells_of_folders_that_cannot_be_listed(spark, tmp_path):
+    assert list(inventory._entries("/r", str(tmp_path / "gone"))) == [("/r", str(tmp_path / "gone"), None, None, None, "missing")]
+    (tmp_path / "f").write_bytes(b"")
+    assert [r[5] for r in inventory._entries("/r", str(tmp_path / "f"))] == ["Not a directory"]
 
 
 def test_chunked_hash(spark, tmp_path):
@@ -85,6 +97,61 @@ def test_text_and_archives(spark, tmp_path):
     assert counted.first().parse_status == "xml_readable"
 
 
+def test_archives_in_ranges(spark, tmp_path, monkeypatch):
+    """Listing reads the directory and the heads only; bad and empty archives have a status."""
+    import io
+
+    with zipfile.ZipFile(tmp_path / "good.zip", "w") as archive:
+        archive.writestr("big.bin", os.urandom(3_000_000))
+        archive.writestr(zipfile.ZipInfo("dir/"), b"")
+        archive.writestr("call_log.exml", b"<?xml" + b" " * 500_000, compress_type=zipfile.ZIP_DEFLATED)
+        archive.writestr("é.txt", b"")
+        archive.comment = b"PK\x05\x06 a comment"[4:] * 10
+    with zipfile.ZipFile(tmp_path / "empty.zip", "w"):
+        pass
+    whole = (tmp_path / "good.zip").read_bytes()
+    (tmp_path / "bad.zip").write_bytes(b"no archive")
+    (tmp_path / "zero.zip").write_bytes(b"")
+    (tmp_path / "torn.zip").write_bytes(whole[:1000])
+    found = payloads.scan_archives(payloads.archive_paths(spark, str(tmp_path)))
+    status = {os.path.basename(r.archive_path): r.status for r in found.status.collect()}
+    # Spark's sources leave out empty files
+    assert status == {"good.zip": "listed", "empty.zip": "empty", "bad.zip": "unreadable", "torn.zip": "unreadable"}
+    rows = sorted(found.entries.collect(), key=lambda r: r.entry_index)
+    assert [(r.entry_name, len(r.head)) for r in rows] == [("big.bin", 128), ("dir/", 0), ("call_log.exml", 128), ("é.txt", 0)]
+    full = {r.entry_name: bytes(r.content) for r in payloads.archive_entries(spark, str(tmp_path), with_content=True).collect()}
+    with zipfile.ZipFile(tmp_path / "good.zip") as archive:
+        assert full == {i.filename: archive.read(i) for i in archive.infolist()}
+    read = []
+
+    class Counting(io.FileIO):
+        def read(self, n=-1):
+            data = super().read(n)
+            read.append(len(data))
+            return data
+
+    monkeypatch.setattr("builtins.open", lambda p, m: Counting(p, "r"))
+    assert len(list(payloads._scan(str(tmp_path / "good.zip"), False))) == 5 and sum(read) < 90_000
+    monkeypatch.undo()
+    keys = ("b", "l", "CALLLOG")
+    archives = spark.createDataFrame([(*keys, str(tmp_path / f"{n}.zip")) for n in ("good", "empty", "bad")], "backup_id string, backup_label string, item_type string, archive_path string")
+    counted = V.archive_inventory(found.entries.join(archives, "archive_path"))
+    every = {os.path.basename(r.archive_path): (r.entry_count, r.parse_status) for r in V.with_unlisted(counted, archives, found.status).collect()}
+    assert every == {"good.zip": (4, "xml_readable"), "empty.zip": (0, "inventory_only"), "bad.zip": (0, "unreadable")}
+
+
+def test_archives_of_64_bits(tmp_path, monkeypatch):
+    with zipfile.ZipFile(tmp_path / "many.zip", "w") as archive:
+        for i in range(70_000):
+            archive.writestr(zipfile.ZipInfo(f"{i}"), b"")
+    rows = list(payloads._scan(str(tmp_path / "many.zip"), False))
+    assert len(rows) == 70_001 and rows[-1][5] == "listed" and rows[69_999][2] == "69999"
+    with zipfile.ZipFile(tmp_path / "forced.zip", "w") as archive:
+        with archive.open("x", "w", force_zip64=True) as entry:
+            entry.write(b"12345")
+    assert [r[4] for r in payloads._scan(str(tmp_path / "forced.zip"), True)] == [b"12345", None]
+
+
 def test_message_tables(spark):
     assert payloads.messages(spark, "no_such_table").count() == 0 and payloads.optional_table(spark, "no_such_table") is None
     spark.createDataFrame([("j", "hi", 1)], "key_remote_jid string, data string, timestamp long").createOrReplaceTempView("some_messages")
@@ -107,6 +174,37 @@ def test_images_group_by_look(spark, tmp_path):
     assert [(g.n_files, g.group_key) for g in groups] == [(2, f"sim-{ord('a')}")]
 
 
+def _files_read(spark):
+    """Files that the scans of the last query opened."""
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    store = spark._jsparkSession.sharedState().statusStore()
+    every = store.executionsList()
+    last = max((every.apply(i) for i in range(every.size())), key=lambda e: e.executionId())
+    values = dict(v.split(" -> ") for v in store.executionMetrics(last.executionId()).mkString("\n").split("\n") if " -> " in v)
+    metrics = [last.metrics().apply(i) for i in range(last.metrics().size())]
+    return sum(int(values[str(i)]) for i in {m.accumulatorId() for m in metrics if m.name() == "number of files read"})
+
+
+def test_only_wanted_photos_are_decoded(spark, tmp_path):
+    across = [[x * 14 for x in range(16)] for _ in range(16)]
+    names = [f"p {i}+ä%41.png" for i in range(40)]
+    for name in names:
+        png(tmp_path / name, across)
+    (tmp_path / "w.webp").write_bytes(b"RIFF")
+    (tmp_path / "broken.png").write_bytes(b"no")
+    png(tmp_path / "flat.png", [[90] * 16 for _ in range(16)])
+    asked = [names[3], names[17], "w.webp", "broken.png", "flat.png", "gone.png"]
+    wanted = spark.createDataFrame([(str(tmp_path / n),) for n in asked], "absolute_path string")
+    found = images.decoded_only(wanted, str(tmp_path))
+    assert {os.path.basename(r.absolute_path) for r in found.collect()} == {names[3], names[17], "flat.png"}
+    assert _files_read(spark) == 5  # all that were asked for and exist, of more than 40
+    status = {os.path.basename(r.absolute_path): r.status for r in images.photo_status(wanted).collect()}
+    assert status == {names[3]: "signed", names[17]: "signed", "w.webp": "unsupported", "broken.png": "unreadable", "flat.png": "flat", "gone.png": "unreadable"}
+    assert images.sign_files(wanted).count() == 3 and images.sign_files(wanted.limit(0)).count() == 0
+    lost = spark.createDataFrame([("/no/such/folder/a.png",)], "absolute_path string")
+    assert images.sign_files(lost).count() == 0
+
+
 def test_triangle_weights_average_and_interpolate():
     halves = images.triangle_weights(4, 2)
     assert halves.shape == (2, 4) and abs(halves.sum(axis=1) - 1).max() < 1e-9
@@ -151,6 +249,29 @@ def test_stream_dedup_over_batches_and_restart(spark, tmp_path):
     assert library.read("contents").count() == 3
 
 
+def test_a_file_without_hash_does_not_stop_a_stream(spark, tmp_path):
+    arriving, library = str(tmp_path / "in"), Library(spark, str(tmp_path / "lib"))
+    schema = ingest_schema() + ", content_hash string"
+    rows = [("/r", "/r/a", "a", 1, 1, "txt", "aa"), ("/r", "/r/b", "b", 2, 1, "txt", None)]
+    spark.createDataFrame(rows, schema).write.parquet(arriving)
+    stream = spark.readStream.schema(schema).parquet(arriving)
+    ingest.dedup_ingest(stream, library, "/dest", str(tmp_path / "ck")).awaitTermination()
+    assert [(r.absolute_path, r.size_bytes) for r in library.read("unread_files").collect()] == [("/r/b", 2)]
+    assert [r.original_path for r in library.read("import_run_entries").collect()] == ["a"]
+    assert [r.status for r in library.read("import_runs").collect()] == ["completed"]
+
+
+def test_a_replayed_batch_writes_the_same(spark, tmp_path):
+    """The stream's progress is lost, its library is not: every row is there once, with the first actions."""
+    arriving, library = str(tmp_path / "in"), Library(spark, str(tmp_path / "lib"))
+    _arrive(spark, arriving, 1, [("a", b"x", 1), ("b", b"x", 1), ("c", b"y", 1)])
+    for progress in ("ck1", "ck2"):
+        stream = spark.readStream.schema(ingest_schema() + ", content_hash string").option("recursiveFileLookup", True).parquet(arriving)
+        ingest.dedup_ingest(stream, library, "/dest", str(tmp_path / progress), stream_id="s").awaitTermination()
+    assert sorted(r.action for r in library.read("import_run_entries").collect()) == ["copied", "copied", "duplicate"]
+    assert library.stored("contents").count() == 2 and library.read("import_runs").count() == 1
+
+
 def test_two_streams_share_a_library(spark, tmp_path):
     library = Library(spark, str(tmp_path / "lib"))
     for name, data in (("one", [("a", b"x", 1)]), ("two", [("b", b"x", 1), ("c", b"y", 1)])):
