@@ -23,14 +23,14 @@ import re
 from functools import lru_cache
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from mementa.llm.common import stored, text_of
 from mementa.operators.common import lookup_join
 
-CACHE = "digest string, n_tokens long, version string"
-# Up to so many misses (about 100 bytes each) are broadcast; more meet the texts in a shuffle.
-BROADCAST_MISSES = 50_000
+CACHE = "digest binary, n_tokens long, version string"
+# Up to so many misses (about 50 bytes each) are broadcast; more meet the texts in a shuffle.
+BROADCAST_MISSES = 5_000
 # Known pieces of one worker, in two generations of this size at most; longer pieces are not kept.
 KNOWN_PIECES = 400_000
 PIECE_CHARS = 64
@@ -118,6 +118,10 @@ def _counter(path: str):
     return Sentences(path) if path.endswith(".model") else Pieces(path)
 
 
+def content_digest(content: Column) -> Column:
+    return F.unhex(F.sha2(content, 256))
+
+
 def read_cache(spark: SparkSession, folder: str, tokenizer: str) -> DataFrame:
     """(digest, n_tokens) of one tokenizer version; other versions' files are not read.  No folder: no rows."""
     try:
@@ -147,12 +151,12 @@ def encode_misses(docs: DataFrame, misses: DataFrame, tokenizer: str, key: str =
                 start = stop
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64())], ["digest", "n_tokens"])
 
-    texts = docs.select(F.col(key).alias("_key"), text_of(text).alias("text")).withColumn("digest", F.sha2("text", 256))
+    texts = docs.select(F.col(key).alias("_key"), text_of(text).alias("text")).withColumn("digest", content_digest(F.col("text")))
     wanted = misses.select(F.col("digest").alias("_digest"), F.col("key").alias("_wanted"))
     few = misses.limit(BROADCAST_MISSES + 1).count() <= BROADCAST_MISSES
     wanted = F.broadcast(wanted) if few else wanted.hint("shuffle_hash")
     found = texts.join(wanted, (F.col("digest") == F.col("_digest")) & F.col("_key").eqNullSafe(F.col("_wanted")))
-    counted = found.select("digest", "text").mapInArrow(run, "digest string, n_tokens long")
+    counted = found.select("digest", "text").mapInArrow(run, "digest binary, n_tokens long")
     # rows that repeat key and text were counted once each
     return counted.groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
 
@@ -167,7 +171,7 @@ def count_tokens(docs: DataFrame, cache: str, tokenizer: str, limit: int = 1024,
     """
     spark = docs.sparkSession
     content = text_of(text)
-    named = stored(docs.select(F.col(key).alias("key"), F.sha2(content, 256).alias("digest"), F.octet_length(content).cast("long").alias("n_bytes")), "digests")
+    named = stored(docs.select(F.col(key).alias("key"), content_digest(content).alias("digest"), F.octet_length(content).cast("long").alias("n_bytes")), "digests")
     groups = stored(named.groupBy("digest").agg(F.min("key").alias("key"), F.count("*").alias("rows")), "distinct-digests")
     misses = stored(groups.join(read_cache(spark, cache, tokenizer), "digest", "left_anti").select("digest", "key"), "cache-misses")
     new = encode_misses(docs, misses, tokenizer, key, text)
