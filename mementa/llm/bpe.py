@@ -21,11 +21,11 @@ from pyspark.sql import DataFrame, functions as F
 from mementa.llm.common import gather, int_lists, int_rows, text_of
 
 # Known words of one worker, in two generations of this size at most: words met again survive.
-KNOWN_WORDS = 300_000
+KNOWN_WORDS = 220_000
 # Known pieces of one worker, in two generations of this size at most, too.
-KNOWN_PIECES = 200_000
+KNOWN_PIECES = 130_000
 # Code points of the documents that are replayed together.
-BLOCK_CHARS = 4 << 20
+BLOCK_CHARS = 3 << 20
 # A merge with so many positions is applied to all of them at once.
 TOGETHER = 150
 # Spaces beside other white space: such a text is cut by the pattern alone.

@@ -11,22 +11,26 @@ from __future__ import annotations
 import re
 import zlib
 from functools import lru_cache
+from itertools import pairwise
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from mementa.llm.common import int_lists, int_rows, text_of
+from mementa.llm.common import gather, int_rows, text_of
 
 STRIPE_BYTES = 32 << 20
 ROW_INDEX_STRIDE = 1000
 BLOOM_FPP = 0.01
 # Known words of one worker, in two generations of this size at most: words met again survive.
 KNOWN_WORDS = 330_000
-# Known chunks of one worker; the table starts anew beyond it.
-KNOWN_CHUNKS = 200_000
+# Bytes of the texts that are encoded together, and chunks whose ids are laid out together.
+TEXT_BYTES = 20 << 20
+CHUNKS_AT_ONCE = 500_000
 # White space that the tokenizer drops; Python also splits at separators that are words to the tokenizer.
 _SPLIT = re.compile(r"[ \t\n\r]+").split
 _SEPARATORS = re.compile(r"[\x1c-\x1f]").search
+# White space beyond that of ASCII, for Arrow.
+_OTHER_SPACE = r"[\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 # A chunk of Latin letters, then marks, is two words to the tokenizer at most; any other chunk gives two empty parts.
 _LATIN = "A-Za-zÀ-ÖØ-öø-ÿ"
 _PARTS = re.compile(rf"^(?:([{_LATIN}]*)([!-&(-/:-@\[-`{{-~]*)|.*)$", re.MULTILINE).findall
@@ -34,11 +38,11 @@ _WORDS_AT_ONCE = 500
 
 
 class ChunkEncoder:
-    """The library's ids of whole texts, with ids of white-space-free chunks kept in a bounded table.
+    """The library's ids of whole texts, with ids of words kept in bounded tables.
 
-    The tokenizer drops white space before its merges, so a text's ids are those of its chunks.  New chunks of
-    letters and marks are cut into their words here, and the library's model gets the words that are new; the library
-    as a whole, with its costly normalisation, gets only the chunks of another form.
+    The tokenizer drops white space before its merges, so a text's ids are those of its chunks.  Chunks of letters and
+    marks are cut into their words here, and the library's model gets the words that are new; the library as a whole,
+    with its costly normalisation, gets only the chunks of another form.
     """
 
     def __init__(self, path: str):
@@ -54,7 +58,6 @@ class ChunkEncoder:
         self.last[[i for t, i in vocabulary.items() if suffix and t.endswith(suffix)]] = True
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
-        self.chunks: dict[str, bytes] = {}
 
     def _words(self, words: list[str]) -> None:
         """Add the model's ids of lower-case words to the known ones."""
@@ -76,28 +79,64 @@ class ChunkEncoder:
             ids = self.library.encode(chunk, add_special_tokens=False).ids
             self.known[chunk] = np.array(ids, "<u4").tobytes()
 
-    def batch(self, texts: list[str]) -> list[bytes]:
+    def _pieces(self, chunks: list[str]) -> list[bytes]:
+        """The ids of distinct chunks; their words are looked up, and the new ones learnt."""
         if len(self.known) > KNOWN_WORDS:
             self.known, self.older = {}, self.known
-        if len(self.chunks) > KNOWN_CHUNKS:
-            self.chunks = {}
-        cut = [_SPLIT(t) if _SEPARATORS(t) else t.split() for t in texts]
-        new = list(set().union(*cut) - self.chunks.keys())
-        parts = [(a.lower(), b) for a, b in _PARTS("\n".join(new))]
-        words = set().union(*parts) - {""}
-        others = {c for c, (a, b) in zip(new, parts) if not a and not b}
+        # a chunk of another form has two empty parts; an empty part has no ids
+        heads, tails = map(list, zip(*_PARTS("\n".join(chunks)))) if chunks else ([], [])
+        heads = "\n".join(heads).lower().split("\n")
+        others = [k for k, (a, b) in enumerate(zip(heads, tails)) if not a and not b]
+        odd = {chunks[k] for k in others}
         known, older = self.known, self.older
-        met = ((words | others) - known.keys()) & older.keys()
+        missing = set(heads).union(tails, odd) - known.keys()
+        met = missing & older.keys()
         known.update(zip(met, map(older.__getitem__, met)))
-        self._words(list(words - known.keys()))
-        self._others(list(others - known.keys()))
-        for chunk, (a, b) in zip(new, parts):
-            if not a and not b:
-                self.chunks[chunk] = known[chunk]
-            else:
-                self.chunks[chunk] = known[a] + known[b] if a and b else known[a or b]
-        ids = self.chunks.__getitem__
-        return [b"".join(map(ids, chunks)) for chunks in cut]
+        missing -= met
+        missing.discard("")
+        self._words(list(missing - odd))
+        self._others(list(missing & odd))
+        known[""] = b""
+        ids = known.__getitem__
+        pieces = list(map(bytes.__add__, map(ids, heads), map(ids, tails)))
+        for k in others:
+            pieces[k] = known[chunks[k]]
+        return pieces
+
+    def encode(self, texts, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(offsets, ids) of an Arrow array of texts, each followed by the id ``end``.
+
+        Arrow cuts the texts and numbers the distinct chunks, Python learns the new ones, and numpy lays their ids out.
+        """
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        odd = pc.match_substring_regex(texts, _OTHER_SPACE)
+        if pc.any(odd).as_py():
+            plain = [" ".join(_SPLIT(t) if _SEPARATORS(t) else t.split()) if o else t for t, o in zip(texts.to_pylist(), odd.to_pylist())]
+            texts = pa.array(plain, pa.string())
+        lists = pc.ascii_split_whitespace(texts)
+        bounds = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy())])
+        numbered = lists.flatten().dictionary_encode()
+        chunks = numbered.dictionary.to_pylist()
+        pieces = self._pieces(chunks)
+        starts = np.zeros(len(pieces) + 1, np.int64)
+        np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces)) // 4, out=starts[1:])
+        picks = numbered.indices.to_numpy()
+        pool = np.frombuffer(b"".join(pieces), "<i4")
+        parts = [gather(pool, starts, picks[k : k + CHUNKS_AT_ONCE]) for k in range(0, len(picks), CHUNKS_AT_ONCE)]
+        ids = np.concatenate([pool[:0], *parts])
+        offsets = np.concatenate([[0], np.cumsum(np.diff(starts)[picks])])[bounds]
+        if end is not None:
+            ids = np.insert(ids, offsets[1:], end)
+            offsets = offsets + np.arange(len(offsets))
+        return offsets, ids
+
+    def batch(self, texts: list[str]) -> list[bytes]:
+        import pyarrow as pa
+
+        offsets, ids = self.encode(pa.array(texts, pa.string()))
+        return [ids[a:b].astype("<u4").tobytes() for a, b in zip(offsets, offsets[1:])]
 
 
 @lru_cache(maxsize=1)
@@ -115,20 +154,22 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int, key: str =
 
     def run(batches):
         import pyarrow as pa
+        import pyarrow.compute as pc
         from pyspark import TaskContext
 
         encoder, part, skipped = _encoder(tokenizer), TaskContext.get().partitionId(), 0
-        last = np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            for start in range(0, batch.num_rows, 2000):
-                some = batch.slice(start, 2000)
-                chunks = [c + last for c in encoder.batch(some.column(1).to_pylist())]
-                counts = np.array([len(c) // 4 for c in chunks])
-                ends = skipped + np.cumsum(counts)
-                before = ends - counts
-                skipped = int(ends[-1])
+            ends = np.cumsum(pc.binary_length(batch.column(1)).to_numpy())
+            cuts = np.flatnonzero(np.diff(ends // TEXT_BYTES)) + 1
+            for start, stop in pairwise(sorted({0, batch.num_rows, *cuts.tolist()})):
+                some = batch.slice(start, stop - start)
+                offsets, ids = encoder.encode(some.column(1), end_id)
+                counts = np.diff(offsets)
+                before = skipped + offsets[:-1]
+                skipped += int(offsets[-1])
+                lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))
                 yield pa.RecordBatch.from_arrays(
-                    [some.column(0), pa.array([part] * len(chunks), pa.int32()), pa.array(before, pa.int64()), pa.array(counts, pa.int64()), int_lists(chunks)],
+                    [some.column(0), pa.array([part] * some.num_rows, pa.int32()), pa.array(before, pa.int64()), pa.array(counts, pa.int64()), lists],
                     ["key", "part", "skipped", "n_ids", "ids"],
                 )
 

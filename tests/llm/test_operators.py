@@ -461,6 +461,14 @@ def test_orc_words(texts):
     assert encoder.batch(texts) == expected
 
 
+@pytest.mark.parametrize("texts", [["", None, ""], ["a b", "", None], ["", "x" * 70, "y " * 40, ""]])
+def test_orc_batches_lose_no_rows(spark, tmp_path, monkeypatch, texts):
+    """Texts are encoded in parts of bounded bytes; here every part is cut, and some hold nothing."""
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    token_orc.write(docs, str(tmp_path / "t"), WORD_TOKENIZER, 2)
+    assert [r["doc_id"] for r in token_orc.read(spark, str(tmp_path / "t")).orderBy("doc_id").collect()] == list(range(len(texts)))
+
+
 def test_orc_pruning(spark, tmp_path):
     frame = spark.range(20_000).select((F.col("id") * 2).alias("doc_id"), F.lit("some words").alias("text"))
     folder = str(tmp_path / "orc")
