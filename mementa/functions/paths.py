@@ -57,7 +57,11 @@ def resolved(path: Column | str) -> Column:
         )
 
     kept = F.aggregate(parts, F.array().cast("array<string>"), step)
-    return F.concat(F.when(absolute, F.lit("/")).otherwise(F.lit("")), F.array_join(kept, "/"))
+    folded = F.concat(F.when(absolute, F.lit("/")).otherwise(F.lit("")), F.array_join(kept, "/"))
+    # most paths have nothing to resolve
+    closed = F.concat(p, F.lit("/"))
+    plain = ~(closed.contains("//") | closed.contains("/./") | closed.contains("/../") | closed.startswith("./") | closed.startswith("../"))
+    return F.when(plain, p).otherwise(folded)
 
 
 def relative_path(path: Column | str, root: Column | str) -> Column:
