@@ -21,7 +21,7 @@ from collections import Counter, defaultdict
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from mementa.llm.common import text_of
+from mementa.llm.common import stored, text_of
 
 K1, B = 1.2, 0.75
 THRESHOLD = 0.6
@@ -62,12 +62,16 @@ def question_and_answer(text: str) -> tuple[list[str], list[str]]:
 class Index:
     """Inverted index of test items ``(id, text)``."""
 
-    def __init__(self, items: list[tuple]):
+    def __init__(self, items: list[tuple], statistics: tuple[int, int, dict[str, int]] | None = None):
+        """``statistics`` are the number of items with words, their words, and the items that hold each term, over the
+        whole benchmark; without them ``items`` are the whole."""
         items = [(i, w, t) for i, t in items if (w := words_of(t or ""))]
         # rows of a block are alike in length, which keeps block maxima close to the scores
         items.sort(key=lambda x: (len(x[1]), x[1], x[0] is None, x[0]))
         self.ids = [i for i, _, _ in items]
         self.parts = [tuple(map(shingles, question_and_answer(t))) for _, _, t in items]
+        self.words = [tuple(map(set, question_and_answer(t))) for _, _, t in items]
+        self.whole = [shingles(w) for _, w, _ in items]
         self.longest = max((len(w) for _, w, _ in items), default=0)
         # (stride, first item, end, longest item) of the classes, shortest items first
         self.classes: list[tuple[int, int, int, int]] = []
@@ -75,8 +79,8 @@ class Index:
             stride = self.stride(len(w))
             first = self.classes.pop()[1] if self.classes and self.classes[-1][0] == stride else k
             self.classes.append((stride, first, k + 1, len(w)))
-        n, mean = len(items), sum(len(w) for _, w, _ in items) / max(1, len(items))
-        holding = Counter(t for _, w, _ in items for t in set(w))
+        n, total, holding = statistics or (len(items), sum(len(w) for _, w, _ in items), Counter(t for _, w, _ in items for t in set(w)))
+        mean = total / max(1, n)
         postings: dict[str, list[tuple[int, float]]] = defaultdict(list)
         for k, (_, words, _) in enumerate(items):
             weights = {}
@@ -88,12 +92,14 @@ class Index:
                 postings[term].append((k, weight / full))
         self.term = {t: i for i, t in enumerate(sorted(postings))}
         lists = [postings[t] for t in sorted(postings)]
-        blocks = -(-n // BLOCK_ITEMS)
-        self.block_maxima = np.zeros((len(lists), blocks), np.float32)
-        for i, entries in enumerate(lists):
+        # per term, the blocks it occurs in and its maximum in each: memory grows with the postings alone
+        self.blocks = -(-len(items) // BLOCK_ITEMS)
+        self.block_maxima: list[tuple[np.ndarray, np.ndarray]] = []
+        for entries in lists:
+            most: dict[int, float] = {}
             for k, weight in entries:
-                at = i, k // BLOCK_ITEMS
-                self.block_maxima[at] = max(self.block_maxima[at], weight)
+                most[k // BLOCK_ITEMS] = max(most.get(k // BLOCK_ITEMS, 0.0), weight)
+            self.block_maxima.append((np.array(list(most), np.int64), np.array(list(most.values()))))
         self.lists = [dict(entries) for entries in lists]
         # per class, the largest weight of each term
         self.maxima = [[max((w for k, w in entries if first <= k < end), default=0.0) for entries in lists] for _, first, end, _ in self.classes]
@@ -113,18 +119,21 @@ class Index:
             return []
         picks = list(terms)
         _, first, end, _ = self.classes[of]
-        blocks = first // BLOCK_ITEMS, -(-end // BLOCK_ITEMS)
-        bounds = np.zeros(self.block_maxima.shape[1], np.float32)
-        bounds[slice(*blocks)] = self.block_maxima[picks, slice(*blocks)].sum(axis=0)
+        at = np.concatenate([self.block_maxima[t][0] for t in picks])
+        most = np.concatenate([self.block_maxima[t][1] for t in picks])
+        bounds = np.bincount(at, most, self.blocks)
+        bounds[: first // BLOCK_ITEMS], bounds[-(-end // BLOCK_ITEMS) :] = 0.0, 0.0
         found = []
         for block in np.flatnonzero(bounds >= threshold - slack).tolist():
             scores: dict[int, float] = defaultdict(float)
             rest = float(bounds[block])
-            ranked = sorted(picks, key=lambda t: -self.block_maxima[t, block])
             low, high = max(first, block * BLOCK_ITEMS), min(end, (block + 1) * BLOCK_ITEMS)
-            for t in ranked:
-                bound = float(self.block_maxima[t, block])
-                if not bound or (max(scores.values(), default=0.0) + rest < threshold - slack):
+            here = np.flatnonzero(at == block)
+            owners = np.repeat(np.arange(len(picks)), [len(self.block_maxima[t][0]) for t in picks])[here]
+            # the terms that the block holds, the largest maximum first
+            for x in np.argsort(-most[here], kind="stable").tolist():
+                t, bound = picks[owners[x]], float(most[here[x]])
+                if max(scores.values(), default=0.0) + rest < threshold - slack:
                     break
                 rest -= bound
                 entries = self.lists[t]
@@ -132,8 +141,6 @@ class Index:
                     if k in entries:
                         scores[k] += entries[k]
             else:
-                bound = 0.0
-            if not bound:
                 found += [(k, s) for k, s in scores.items() if s >= threshold]
         return found
 
@@ -155,10 +162,19 @@ class Index:
                 here = shingles(around) if len(around) >= SHINGLE_WORDS else set()
                 for k, score in found:
                     question, answer = (self._overlap(p, here, around) for p in self.parts[k])
-                    if question >= overlap and answer >= overlap and (k not in best or (score, -start) > (best[k][0], -best[k][3])):
+                    contained = (question >= overlap and answer >= overlap) or self._edited(k, here, around, overlap)
+                    if contained and (k not in best or (score, -start) > (best[k][0], -best[k][3])):
                         best[k] = (score, question, answer, start)
         return [(self.ids[k], *v) for k, v in sorted(best.items())]
 
+    def _edited(self, k: int, here: set, around: list[str], overlap: float) -> bool:
+        """Whether an item with an edited word is there: one word can cost a short answer all of its shingles, so the
+        whole item must share the shingles, and question and answer half of their words."""
+        there = set(around)
+        if any(2 * len(part & there) < len(part) for part in self.words[k]):
+            return False
+        return self._overlap(self.whole[k], here, around) >= overlap
+
     @staticmethod
     def _overlap(part: set, here: set, around: list[str]) -> float:
         short = {s for s in part if len(s) < SHINGLE_WORDS}
@@ -167,13 +183,43 @@ class Index:
         return len(part & here) / len(part)
 
 
+def term_counts(items: DataFrame, text: str = "text") -> DataFrame:
+    """(term, items, words): the items that hold each term; the empty term stands for all items and their words."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            holding, n, total = Counter(), 0, 0
+            for t in batch.column(0).to_pylist():
+                words = words_of(t)
+                holding.update(set(words))
+                n, total = n + bool(words), total + len(words)
+            terms = ["", *holding]
+            yield pa.RecordBatch.from_arrays([pa.array(terms), pa.array([n, *holding.values()], pa.int64()), pa.array([total] + [0] * len(holding), pa.int64())], ["term", "items", "words"])
+
+    counted = items.select(text_of(text)).mapInArrow(run, "term string, items long, words long")
+    return counted.groupBy("term").agg(F.sum("items").alias("items"), F.sum("words").alias("words"))
+
+
 def shards(items: DataFrame, key: str = "item_id", text: str = "text", chars: int = SHARD_CHARS):
-    """Indexes over parts of ``items`` of about ``chars`` code points each."""
+    """Indexes over parts of ``items`` of about ``chars`` code points each, one at a time.
+
+    Term counts, number of items and mean length are those of all items, so scores do not depend on the parts; a part
+    collects the counts of its own terms only.
+    """
     total = items.agg(F.sum(F.length(text))).first()[0] or 0
     n = total // chars + 1
+    if n == 1:
+        yield Index([(r[0], r[1]) for r in items.select(key, text).collect()])
+        return
+    counts = stored(term_counts(items, text), "benchmark-terms")
     for shard in range(n):
-        some = items if n == 1 else items.filter(F.pmod(F.xxhash64(key, text), F.lit(n)) == shard)
-        yield Index([(r[0], r[1]) for r in some.select(key, text).collect()])
+        some = items.filter(F.pmod(F.xxhash64(key, text), F.lit(n)) == shard)
+        mine = counts.join(term_counts(some, text).select("term"), "term", "left_semi").collect()
+        whole = counts.filter("term = ''").first()
+        statistics = whole["items"], whole["words"], {r["term"]: r["items"] for r in mine}
+        yield Index([(r[0], r[1]) for r in some.select(key, text).collect()], statistics)
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id",
@@ -205,12 +251,26 @@ def find_leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str
 
         return run
 
-    for index in shards(items, item_key, item_text):
-        part = rows.mapInArrow(finder(docs.sparkSession.sparkContext.broadcast(index)), schema)
+    for index, more in _with_more(shards(items, item_key, item_text)):
+        held = docs.sparkSession.sparkContext.broadcast(index)
+        part = rows.mapInArrow(finder(held), schema)
+        if more or out is not None:  # several indexes: each is done with before the next one is sent
+            part = stored(part, "leaks")
+            held.destroy()
         out = part if out is None else out.unionByName(part)
     return out.withColumnRenamed("key", key)
 
 
+def _with_more(values):
+    """Each value with whether another one follows."""
+    values = iter(values)
+    value = next(values)
+    for following in values:
+        yield value, True
+        value = following
+    yield value, False
+
+
 def keep_clean(docs: DataFrame, items: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text",
                threshold: float = THRESHOLD, overlap: float = OVERLAP) -> DataFrame:
     """The rows of ``docs`` that contain no test item, all columns as they are."""
@@ -226,6 +286,11 @@ def keep_clean(docs: DataFrame, items: DataFrame, text: str = "text", item_key:
 
         return run
 
-    for index in shards(items, item_key, item_text):
-        docs = docs.mapInArrow(filtering(docs.sparkSession.sparkContext.broadcast(index)), docs.schema)
+    several = False
+    for index, more in _with_more(shards(items, item_key, item_text)):
+        held, several = docs.sparkSession.sparkContext.broadcast(index), several or more
+        docs = docs.mapInArrow(filtering(held), docs.schema)
+        if several:
+            docs = stored(docs, "clean")
+            held.destroy()
     return docs
