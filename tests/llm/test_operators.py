@@ -113,8 +113,11 @@ def test_line_dedup_is_native(spark, odd_docs):
     assert "Python" not in plan and "Arrow" not in plan and "CartesianProduct" not in plan
 
 
-def plain_runs(docs, min_words):
-    """Delete every line of every longest run of equal lines, of enough words, that begins earlier too."""
+def plain_extended(docs, min_words):
+    """Delete every line of every longest run of equal lines, of enough words, that begins earlier too.
+
+    A text of which no line with words is left becomes empty.
+    """
     order = sorted(set(docs), key=lambda d: (d[0] is not None, d[0] or 0, line_order(d[1])))
     lines = [[(i, x.rstrip(" \t\r\x0b\x0c"), len(x.encode().split())) for i, x in enumerate((t or "").split("\n")) if x.split()] for _, t in order]
     gone, places = defaultdict(set), defaultdict(list)
@@ -136,7 +139,12 @@ def plain_runs(docs, min_words):
                         begin = max(begin, whole - shift + 1)
                     gone[order[q]].update(range(here[begin][0], here[run[-1]][0] + 1))
                 run = []
-    return Counter((k, worded("\n".join(x for i, x in enumerate((t or "").split("\n")) if i not in gone[k, t]))) for k, t in docs)
+    left = {d: "\n".join(x for i, x in enumerate((d[1] or "").split("\n")) if i not in gone[d]) for d in order}
+    return [(k, t if not gone[k, t] else left[k, t] if worded(left[k, t]) else "") for k, t in docs]
+
+
+def plain_runs(docs, min_words):
+    return Counter((k, worded(t or "")) for k, t in plain_extended(docs, min_words))
 
 
 def worded(text):

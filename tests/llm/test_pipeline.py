@@ -5,7 +5,6 @@ from collections import Counter
 import pytest
 
 import corpus_pipeline
-import test_operators as plain
 from llm_plain import bpe_ids, components, leaks, line_dedup
 from mementa.llm import toxicity
 
@@ -29,23 +28,6 @@ def test_run(spark, sf):
     assert found == expected and 0 < sum(found.values()) < docs.count()
 
 
-def test_run_extends(spark, sf):
-    """With line dedup that extends matches; ``test_run`` composes the form that leaves the ends of repeats."""
-    docs = spark.read.parquet(f"{sf}/documents.parquet")
-    model = toxicity.fit(docs, toxicity.grades(spark.read.parquet(f"{sf}/labels.parquet")))
-    rows = [(r["doc_id"], r["text"]) for r in docs.collect() if model.above(r["text"] or "")[0] < 0.5]
-    plain.remember_order(spark, rows)
-    cleaned = corpus_pipeline.drop_repeated_lines(spark, spark.createDataFrame(rows, "doc_id long, text string"), sf)
-    expected, rows = plain.plain_runs(rows, 50), [tuple(r) for r in cleaned.collect()]
-    assert Counter((i, plain.worded(t or "")) for i, t in rows) == expected
-    rows = [(i, t) for (i, t), c in zip(rows, components(rows)) if i == c]
-    items = [tuple(r) for r in spark.read.parquet(f"{sf}/benchmark.parquet").select("item_id", "text").collect()]
-    rows = [(i, t) for i, t in rows if not leaks([(i, t)], items)]
-    expected = Counter((i, tuple(bpe_ids(t))) for i, t in rows)
-    found = Counter((r["doc_id"], tuple(r["ids"])) for r in corpus_pipeline.run(spark, sf).collect())
-    assert found == expected and 0 < sum(found.values()) < docs.count()
-
-
 @pytest.mark.parametrize("empty", [False, True])
 def test_odd_documents(spark, sf, odd_docs, no_docs, empty):
     docs = no_docs if empty else odd_docs
