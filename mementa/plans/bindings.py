@@ -14,7 +14,6 @@ from mementa.operators import consolidation as C
 from mementa.operators import index as I
 from mementa.operators.common import group_winner
 
-GRID_CELLS = S.GRID_WIDTH * S.GRID_HEIGHT
 # How document ids map to extensions and folders.
 EXTENSIONS = ["jpg", "png", "mp4", "mp3", "pdf", "txt", "bin", None]
 FOLDERS = ["Photo", "Video", "Music", "Documents", "Misc"]
@@ -120,30 +119,31 @@ def backup_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@F.pandas_udf(ArrayType(IntegerType()))
-def _byte_grid(texts: pd.Series) -> pd.Series:
-    def grid(text: str | None) -> np.ndarray | None:
-        data = np.frombuffer((text or "").encode(), np.uint8)
-        if len(data) < GRID_CELLS:
-            return None
-        borders = np.arange(GRID_CELLS + 1) * len(data) // GRID_CELLS
-        return np.add.reduceat(data, borders[:-1], dtype=np.int64) // np.diff(borders)
-
-    return texts.map(grid)
-
-
 def luma_grids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Luma grids from whole documents: cell i is the mean of the bytes from i/272 to (i+1)/272 of the text.
 
     Texts below 272 bytes stay as photos that cannot be decoded: no grid.  As in the photo source, numpy reduces the
     bytes in Arrow batches.
     """
+    cells = S.GRID_WIDTH * S.GRID_HEIGHT
+
+    @F.pandas_udf(ArrayType(IntegerType()))
+    def grids(texts: pd.Series) -> pd.Series:
+        def grid(text):
+            data = np.frombuffer((text or "").encode(), np.uint8)
+            if len(data) < cells:
+                return None
+            borders = np.arange(cells + 1) * len(data) // cells
+            return np.add.reduceat(data, borders[:-1], dtype=np.int64) // np.diff(borders)
+
+        return texts.map(grid)
+
     return table(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("id"),
         F.octet_length("text").cast("long").alias("size_bytes"),
         (F.lit(300) + F.col("n_chars") % 8).cast("int").alias("width"),
         F.lit(200).alias("height"),
-        _byte_grid("text").alias("luma"),
+        grids("text").alias("luma"),
     )
 
 
