@@ -55,7 +55,8 @@ def json_objects(payloads: DataFrame, text: str = "text", levels: int = 10) -> D
     """Every object at any depth, with a sortable depth-first position (parents before children).
 
     Each step explodes a node into itself and its children, so ``levels`` steps are one narrow pipeline over
-    one scan.  The walk goes on from a checkpoint until no unopened container is left, whatever the depth.
+    one scan.  Payloads of few brackets need no more; with others, the walk goes on from a checkpoint until no unopened
+    container is left, whatever the depth.
     Object children come in key order.
     """
     others = [c for c in payloads.columns if c != text]
@@ -86,14 +87,20 @@ def json_objects(payloads: DataFrame, text: str = "text", levels: int = 10) -> D
     # finished nodes pass through untouched; scalars leave at the next step
     step = F.when(done, itself).otherwise(F.concat(itself, children))
 
-    def walked(rows: DataFrame) -> DataFrame:
-        for _ in range(levels):
+    def opened(rows: DataFrame, steps: int) -> DataFrame:
+        for _ in range(steps):
             rows = rows.filter(done | container).select(*others, F.inline(step))
-        return reliable_checkpoint(rows)
-
-    nodes = walked(nodes)
-    while not nodes.filter(~done & container).isEmpty():
-        nodes = walked(nodes)
+        return rows
+
+    # no payload is deeper than its opening brackets are many
+    brackets = F.length(text) - F.length(F.translate(F.col(text), "{[", ""))
+    deepest = payloads.agg(F.coalesce(F.max(brackets), F.lit(0))).first()[0]
+    if deepest <= levels:
+        nodes = opened(nodes, deepest)
+    else:
+        nodes = reliable_checkpoint(opened(nodes, levels))
+        while not nodes.filter(~done & container).isEmpty():
+            nodes = reliable_checkpoint(opened(nodes, levels))
     return nodes.filter(done).select(
         *others, F.col("_pos").alias("position"), as_object(v).alias("object")
     ).filter("object IS NOT NULL")
