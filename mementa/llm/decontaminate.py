@@ -94,12 +94,13 @@ class Index:
         lists = [postings[t] for t in sorted(postings)]
         # per term, the blocks it occurs in and its maximum in each: memory grows with the postings alone
         self.blocks = -(-len(items) // BLOCK_ITEMS)
-        self.block_maxima: list[tuple[np.ndarray, np.ndarray]] = []
-        for entries in lists:
-            most: dict[int, float] = {}
+        maxima = [{k // BLOCK_ITEMS: 0.0 for k, _ in entries} for entries in lists]
+        for most, entries in zip(maxima, lists):
             for k, weight in entries:
-                most[k // BLOCK_ITEMS] = max(most.get(k // BLOCK_ITEMS, 0.0), weight)
-            self.block_maxima.append((np.array(list(most), np.int64), np.array(list(most.values()))))
+                most[k // BLOCK_ITEMS] = max(most[k // BLOCK_ITEMS], weight)
+        self.offsets = np.concatenate([[0], np.cumsum([len(m) for m in maxima], dtype=np.int64)])
+        self.at = np.array([k for m in maxima for k in m], np.int64)
+        self.most = np.array([w for m in maxima for w in m.values()], np.float64)
         self.lists = [dict(entries) for entries in lists]
         # per class, the largest weight of each term
         self.maxima = [[max((w for k, w in entries if first <= k < end), default=0.0) for entries in lists] for _, first, end, _ in self.classes]
@@ -119,8 +120,10 @@ class Index:
             return []
         picks = list(terms)
         _, first, end, _ = self.classes[of]
-        at = np.concatenate([self.block_maxima[t][0] for t in picks])
-        most = np.concatenate([self.block_maxima[t][1] for t in picks])
+        starts = self.offsets[picks]
+        lengths = self.offsets[np.add(picks, 1)] - starts
+        places = np.repeat(starts - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())
+        at, most = self.at[places], self.most[places]
         bounds = np.bincount(at, most, self.blocks)
         bounds[: first // BLOCK_ITEMS], bounds[-(-end // BLOCK_ITEMS) :] = 0.0, 0.0
         found = []
@@ -129,7 +132,7 @@ class Index:
             rest = float(bounds[block])
             low, high = max(first, block * BLOCK_ITEMS), min(end, (block + 1) * BLOCK_ITEMS)
             here = np.flatnonzero(at == block)
-            owners = np.repeat(np.arange(len(picks)), [len(self.block_maxima[t][0]) for t in picks])[here]
+            owners = np.repeat(np.arange(len(picks)), lengths)[here]
             # the terms that the block holds, the largest maximum first
             for x in np.argsort(-most[here], kind="stable").tolist():
                 t, bound = picks[owners[x]], float(most[here[x]])
