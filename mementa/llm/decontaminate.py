@@ -92,15 +92,12 @@ class Index:
                 postings[term].append((k, weight / full))
         self.term = {t: i for i, t in enumerate(sorted(postings))}
         lists = [postings[t] for t in sorted(postings)]
-        # per term, the blocks it occurs in and its maximum in each: memory grows with the postings alone
-        self.blocks = -(-len(items) // BLOCK_ITEMS)
-        maxima = [{k // BLOCK_ITEMS: 0.0 for k, _ in entries} for entries in lists]
-        for most, entries in zip(maxima, lists):
+        blocks = -(-len(items) // BLOCK_ITEMS)
+        self.block_maxima = np.zeros((len(lists), blocks), np.float32)
+        for i, entries in enumerate(lists):
             for k, weight in entries:
-                most[k // BLOCK_ITEMS] = max(most[k // BLOCK_ITEMS], weight)
-        self.offsets = np.concatenate([[0], np.cumsum([len(m) for m in maxima], dtype=np.int64)])
-        self.at = np.array([k for m in maxima for k in m], np.int64)
-        self.most = np.array([w for m in maxima for w in m.values()], np.float64)
+                at = i, k // BLOCK_ITEMS
+                self.block_maxima[at] = max(self.block_maxima[at], weight)
         self.lists = [dict(entries) for entries in lists]
         # per class, the largest weight of each term
         self.maxima = [[max((w for k, w in entries if first <= k < end), default=0.0) for entries in lists] for _, first, end, _ in self.classes]
@@ -120,23 +117,18 @@ class Index:
             return []
         picks = list(terms)
         _, first, end, _ = self.classes[of]
-        starts = self.offsets[picks]
-        lengths = self.offsets[np.add(picks, 1)] - starts
-        places = np.repeat(starts - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())
-        at, most = self.at[places], self.most[places]
-        bounds = np.bincount(at, most, self.blocks)
-        bounds[: first // BLOCK_ITEMS], bounds[-(-end // BLOCK_ITEMS) :] = 0.0, 0.0
+        blocks = first // BLOCK_ITEMS, -(-end // BLOCK_ITEMS)
+        bounds = np.zeros(self.block_maxima.shape[1], np.float32)
+        bounds[slice(*blocks)] = self.block_maxima[picks, slice(*blocks)].sum(axis=0)
         found = []
         for block in np.flatnonzero(bounds >= threshold - slack).tolist():
             scores: dict[int, float] = defaultdict(float)
             rest = float(bounds[block])
+            ranked = sorted(picks, key=lambda t: -self.block_maxima[t, block])
             low, high = max(first, block * BLOCK_ITEMS), min(end, (block + 1) * BLOCK_ITEMS)
-            here = np.flatnonzero(at == block)
-            owners = np.repeat(np.arange(len(picks)), lengths)[here]
-            # the terms that the block holds, the largest maximum first
-            for x in np.argsort(-most[here], kind="stable").tolist():
-                t, bound = picks[owners[x]], float(most[here[x]])
-                if max(scores.values(), default=0.0) + rest < threshold - slack:
+            for t in ranked:
+                bound = float(self.block_maxima[t, block])
+                if not bound or (max(scores.values(), default=0.0) + rest < threshold - slack):
                     break
                 rest -= bound
                 entries = self.lists[t]
@@ -144,6 +136,8 @@ class Index:
                     if k in entries:
                         scores[k] += entries[k]
             else:
+                bound = 0.0
+            if not bound:
                 found += [(k, s) for k, s in scores.items() if s >= threshold]
         return found
 
