@@ -24,3 +24,11 @@ def test_entry(spark):
 @pytest.mark.parametrize("name", list(QUERIES))
 def test_query(spark, sf, con, name):
     assert difference(spark, con, sf, name, QUERIES, ORACLES) is None
+
+
+@pytest.mark.parametrize("name", ["stream_dedup_ingest", "stream_incremental_index"])
+def test_stream_reads_a_folder_of_files(spark, sf, tmp_path, name):
+    """Larger tables are folders: their files have other names than the table."""
+    con = duck(sf)
+    spark.read.parquet(f"{sf}/documents.parquet").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    assert difference(spark, con, str(tmp_path), name, QUERIES, ORACLES) is None
