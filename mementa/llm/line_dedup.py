@@ -22,6 +22,7 @@ from mementa.llm.common import stored, text_of
 
 MIN_WORDS = 50
 _SPACE = r"[\x20\x09-\x0D]+"
+_BLANKS = " \t\n\r\x0b\x0c"
 
 
 def _lines(text: Column) -> Column:
@@ -34,7 +35,17 @@ def _identity(text: Column) -> Column:
 
 
 def _wordless(text: Column) -> Column:
-    return F.length(F.trim(F.translate(text, "\t\n\r\x0b\x0c", "     "))) == 0
+    return F.octet_length(F.ltrim(text, F.lit(_BLANKS))) == 0
+
+
+def _word_count(line: Column) -> Column:
+    """Words of a line without blanks at its end: single spaces are counted as bytes, the pattern is for other lines."""
+    body = F.ltrim(line, F.lit(_BLANKS))
+    apart = F.lit(False)
+    for other in ("  ", *_BLANKS[1:]):
+        apart = apart | F.contains(body, F.lit(other))
+    spaces = F.octet_length(body) - F.octet_length(F.replace(body, F.lit(" "), F.lit("")))
+    return F.when(apart, F.size(F.split(body, _SPACE))).otherwise(spaces + 1)
 
 
 def windows(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, extend: bool = False) -> DataFrame:
@@ -44,16 +55,12 @@ def windows(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words:
     ``window`` names the lines of the run, ``pick`` is the least of their hashes and ``pick_line`` its last place.
     Lines without a word are passed over.  A window that starts at its first line and ends at its last is given once.
     """
-    words = F.size(F.split(F.trim(F.regexp_replace("l.text", _SPACE, " ")), " "))
     rows = docs.select(F.col(key).alias("id"), text_of(text).alias("text"))
-    lines = rows.select(
-        "id",
-        _identity(F.col("text")).alias("print"),
-        F.posexplode(F.transform(_lines(F.col("text")), lambda x: F.struct(x.alias("text")))).alias("line", "l"),
-    ).filter(~_wordless(F.col("l.text")))
-    hashed = lines.select(
-        "id", "print", "line", words.alias("words"), F.xxhash64(F.regexp_replace("l.text", r"[\x20\x09-\x0D]+$", "")).alias("hash")
-    )
+    # the print and the lines come before the explode, which would evaluate the print once per line
+    cut = F.transform(_lines(F.col("text")), lambda x: F.struct(F.rtrim(x, F.lit(_BLANKS)).alias("text")))
+    split = rows.select("id", _identity(F.col("text")).alias("print"), cut.alias("lines"))
+    lines = split.select("id", "print", F.posexplode("lines").alias("line", "l")).filter(F.octet_length("l.text") > 0)
+    hashed = lines.select("id", "print", "line", _word_count(F.col("l.text")).alias("words"), F.xxhash64("l.text").alias("hash"))
     # rows that repeat id and text are one document
     once = hashed.repartition("id", "print").groupBy("id", "print", "line").agg(F.first("words").alias("words"), F.first("hash").alias("hash"))
     document = Window.partitionBy("id", "print")

@@ -758,3 +758,20 @@ def test_simhash_links(spark, subtree_rows):
     for v in signed:
         groups[component[v]].add(roots.get(v, v))
     assert all(len(g) == 1 for g in groups.values()) and len({next(iter(g)) for g in groups.values()}) == len(groups)
+
+
+def test_line_windows_hash_a_text_once(spark):
+    """The print of a text is made below the explode, not for each of its lines; counts of words are the plain ones."""
+    import re
+
+    from mementa.llm import line_dedup
+
+    texts = ["a b  c\td \r\n\n \x0b\x0c\n x y   z\nw\r\n  lead one\n\ta\t\n", "é\x0bü ß\x1f k\n\n x", "", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = line_dedup.windows(docs, min_words=1)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "xxhash64" in plan.split("Generate")[-1]
+    got = {(r.id, r.line): r.words for r in found.collect()}
+    blank = r"[\x20\x09-\x0D]+"
+    counts = {(i, n): len([w for w in re.split(blank, line) if w]) for i, t in enumerate(texts) for n, line in enumerate((t or "").split("\n"))}
+    assert got == {k: n for k, n in counts.items() if n}
