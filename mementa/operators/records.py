@@ -11,11 +11,15 @@ from mementa import constants as K
 from mementa.functions import paths as P
 from mementa.functions import text as X
 from mementa.functions.paths import let
-from mementa.operators.common import dimension, prefix_sum
+from mementa.operators.common import dimension
 from mementa.schemas import STRUCTURED_RECORD
 from mementa.session import reliable_checkpoint
 
 
+# Entries of an archive whose records are numbered together.
+ORDINAL_BLOCK = 4096
+
+
 def _record(kind: str, title: Column, subtitle: Column, status: str | Column, ident: Column) -> list[Column]:
     status_col = F.lit(status) if isinstance(status, str) else status
     return [
@@ -76,24 +80,29 @@ def json_objects(payloads: DataFrame, text: str = "text", levels: int = 10) -> D
 
     v, done = F.col("_v"), F.col("_done")
     container = as_object(v).isNotNull() | as_list(v).isNotNull()
-    nodes = payloads.select(
-        *others, F.lit("").alias("_pos"), F.try_parse_json(F.col(text)).alias("_v"), F.lit(False).alias("_done")
-    )
     itself = F.array(F.struct(F.col("_pos"), v.alias("_v"), F.lit(True).alias("_done")))
-    children = F.coalesce(
-        F.transform(F.array_sort(F.map_entries(as_object(v)), by_key), lambda e, i: node(i, e["value"])),
-        F.transform(as_list(v), lambda e, i: node(i, e)),
-    )
+
+    def split(c: Column) -> Column:
+        """An object and its children, or the children of a list; nothing of a scalar."""
+        entries = F.array_sort(F.map_entries(c["object"]), by_key)
+        return F.when(
+            c["object"].isNotNull(), F.concat(itself, F.transform(entries, lambda e, i: node(i, e["value"])))
+        ).otherwise(F.transform(c["list"], lambda e, i: node(i, e)))
+
     # finished nodes pass through untouched; scalars leave at the next step
-    step = F.when(done, itself).otherwise(F.concat(itself, children))
+    step = F.when(done, itself).otherwise(let(F.struct(as_object(v).alias("object"), as_list(v).alias("list")), split))
+    # the explode keeps later conditions from parsing the text again
+    root = F.struct(F.lit("").alias("_pos"), F.try_parse_json(F.col(text)).alias("_v"), F.lit(False).alias("_done"))
+    nodes = payloads.select(*others, F.inline(F.array(root)))
 
     def opened(rows: DataFrame, steps: int) -> DataFrame:
         for _ in range(steps):
-            rows = rows.filter(done | container).select(*others, F.inline(step))
+            rows = rows.select(*others, F.inline(step))
         return rows
 
     # no payload is deeper than its opening brackets are many
-    brackets = F.length(text) - F.length(F.translate(F.col(text), "{[", ""))
+    bare = F.replace(F.replace(F.col(text), F.lit("{"), F.lit("")), F.lit("["), F.lit(""))
+    brackets = F.octet_length(text) - F.octet_length(bare)
     deepest = payloads.agg(F.coalesce(F.max(brackets), F.lit(0))).first()[0]
     if deepest <= levels:
         nodes = opened(nodes, deepest)
@@ -103,7 +112,7 @@ def json_objects(payloads: DataFrame, text: str = "text", levels: int = 10) -> D
             nodes = reliable_checkpoint(opened(nodes, levels))
     return nodes.filter(done).select(
         *others, F.col("_pos").alias("position"), as_object(v).alias("object")
-    ).filter("object IS NOT NULL")
+    )
 
 
 def first_string(node: Column | str, keys: Sequence[str]) -> Column:
@@ -112,8 +121,9 @@ def first_string(node: Column | str, keys: Sequence[str]) -> Column:
 
     def text_of(key: str) -> Column:
         value = F.try_element_at(n, F.lit(key))
-        text = X.trim_unicode(F.try_variant_get(value, "$", "string"))
-        return F.when((F.schema_of_variant(value) == "STRING") & (F.length(text) > 0), text)
+        trimmed = X.trim_unicode(F.try_variant_get(value, "$", "string"))
+        filled = let(trimmed, lambda t: F.when(F.length(t) > 0, t))
+        return F.when(F.schema_of_variant(value) == "STRING", filled)
 
     return F.coalesce(*[text_of(k) for k in keys])
 
@@ -121,8 +131,8 @@ def first_string(node: Column | str, keys: Sequence[str]) -> Column:
 def contacts(payloads: DataFrame) -> DataFrame:
     """Contacts of decrypted archive entries (backup_id, source_path, entry_index, text).
 
-    Ordinals continue over the entries of an archive.  The rank window covers one entry (one document)
-    only; the offset of an entry is a blocked prefix sum of record counts.
+    Ordinals continue over the entries of an archive.  Records are numbered in blocks of ``ORDINAL_BLOCK`` entries, and
+    a block begins behind the records of the blocks before.
     """
     region = payloads.withColumn("text", X.json_region("text"))
     found = (
@@ -133,14 +143,15 @@ def contacts(payloads: DataFrame) -> DataFrame:
     )
     # ranks and offsets both start from the records, so the walk is done once and kept
     found = reliable_checkpoint(found).filter("title IS NOT NULL")
-    entry = ["backup_id", "source_path", "entry_index"]
-    ranked = found.withColumn(
-        "_rank", F.row_number().over(Window.partitionBy(*entry).orderBy("position")) - 1
-    )
-    counts = found.groupBy(*entry).agg(F.count("*").alias("_n"))
-    offsets = prefix_sum(counts, entry[:2], "entry_index", "_n", "_before").drop("_n")
+    archive = ["backup_id", "source_path"]
+    cut = found.withColumn("_block", F.floor(F.col("entry_index") / ORDINAL_BLOCK))
+    place = Window.partitionBy(*archive, "_block").orderBy("entry_index", "position")
+    earlier = Window.partitionBy(*archive).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    totals = cut.groupBy(*archive, "_block").agg(F.count("*").alias("_n"))
+    offsets = totals.select(*archive, "_block", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    ranked = cut.withColumn("_rank", F.row_number().over(place) - 1)
     ordinal = F.col("_before") + F.col("_rank")
-    return ranked.join(offsets, entry).select(
+    return ranked.join(offsets, [*archive, "_block"]).select(
         "backup_id",
         *_record(
             "contact", F.col("title"), F.col("subtitle"), "parsed_decrypted_contact",

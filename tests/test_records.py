@@ -275,3 +275,12 @@ def test_message_database_choice(spark):
     )
     got = {r.device: (r.remote_path, r.format) for r in L.message_db_choice(frame).collect()}
     assert got == {"a": (f"{current}/msgstore.db.crypt15", "crypt15"), "b": (f"{current}/msgstore-2026-06-21.1.db.crypt15", "crypt15")}
+
+
+def test_contacts_are_numbered_over_blocks_and_parsed_once(spark, monkeypatch):
+    frame = payloads(spark, *[f'[{{"name": "a{i}"}}, {{"x": [{{"name": "b{i}"}}]}}]' for i in range(5)])
+    plan = R.json_objects(frame)._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert plan.count("parse_json") + plan.count("parsejson") == 1
+    monkeypatch.setattr(R, "ORDINAL_BLOCK", 2)
+    got = {r.title: r.id for r in R.contacts(frame).collect()}
+    assert got == {f"{n}{i}": f"b:contact:/b/f:{2 * i + k}" for i in range(5) for k, n in enumerate("ab")}
