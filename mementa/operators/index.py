@@ -52,7 +52,7 @@ def hash_from_table(contents: DataFrame, content: str = "content",
 
     A bitmap of the wanted paths (at most ``filter_bits``, hence safe to broadcast) drops other rows before
     their bytes are hashed; what it lets through by chance is dropped by a join of paths and hashes.
-    Bytes are never shuffled.
+    Bytes are never shuffled.  A path that the table holds several times gets one hash, the least.
     """
 
     def slot() -> Column:
@@ -68,7 +68,8 @@ def hash_from_table(contents: DataFrame, content: str = "content",
         marked = F.call_function("shiftright", byte, F.pmod(position, F.lit(8)).cast("int")).bitwiseAND(F.lit(1)) == 1
         near = contents.withColumn("_bucket", F.bitmap_bucket_number(slot())).join(F.broadcast(marks), "_bucket")
         hashed = near.filter(marked).select("absolute_path", F.sha2(F.col(content), 256).alias("content_hash"))
-        return hashed.join(wanted, "absolute_path", "left_semi")
+        held = hashed.join(wanted, "absolute_path", "left_semi")
+        return held.groupBy("absolute_path").agg(F.min("content_hash").alias("content_hash"))
 
     return run
 

@@ -318,6 +318,14 @@ def test_index_job_is_idempotent(spark, tmp_path):
     assert library.read("scan_runs").count() == 2 and all(i is not None for i, _, _ in once)
 
 
+def test_paths_that_a_table_repeats_are_indexed_once(spark, tmp_path):
+    inv = inventory(spark, "/r", [("a.txt", b"one", 1), ("b.txt", b"two", 2)])
+    twice = inv.select("absolute_path", "content").unionAll(inv.select("absolute_path", "content"))
+    library = Library(spark, str(tmp_path / "lib"))
+    run_index(library, inv.drop("content_hash", "content"), I.hash_from_table(twice))
+    assert sorted(r.content_hash for r in library.read("files").collect()) == sorted(r.content_hash for r in inv.collect())
+
+
 def test_objects_in_chunks(spark, tmp_path):
     sizes = {"empty": 0, "one": 5, "full": 4096, "more": 4097, "big": 300_001}
     data = {n: bytes(i * 31 % 251 for i in range(size)) for n, size in sizes.items()}
