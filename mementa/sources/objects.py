@@ -11,7 +11,11 @@ from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, functions as F
 
+from mementa.session import reliable_checkpoint
+
 CHUNK_BYTES = 4 << 20
+# Names of objects with several chunks are broadcast up to this number and joined by key beyond it.
+BROADCAST_NAMES = 100_000
 
 
 def chunks(wanted: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
@@ -47,7 +51,8 @@ def from_table(contents: DataFrame, content: str = "content", chunk_bytes: int =
 
     def run(wanted: DataFrame) -> DataFrame:
         held = contents.select("absolute_path", F.col(content).cast("binary").alias("_data"))
-        found = held.join(wanted.select("absolute_path", "content_hash", "size_bytes"), "absolute_path")
+        # the narrow side is hashed, so the bytes are not sorted
+        found = held.join(wanted.select("absolute_path", "content_hash", "size_bytes").hint("shuffle_hash"), "absolute_path")
         each = found.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.ceil(F.col("size_bytes") / chunk_bytes) - 1, F.lit(0)).cast("long"))))
         piece = F.substring("_data", (F.col("chunk") * chunk_bytes + 1).cast("int"), F.lit(chunk_bytes))
         return each.select(F.col("content_hash").alias("hash"), "chunk", piece.alias("data"))
@@ -60,10 +65,24 @@ def sharded(stored: DataFrame, run: str) -> DataFrame:
 
 
 def read_back(objects: DataFrame) -> DataFrame:
-    """(hash, n_bytes, intact) per stored object: its chunks are streamed in order through SHA-256.
+    """(hash, n_bytes, intact) per stored object.
 
-    Chunks that two runs stored at once count once.
+    An object of one chunk, as most are, is hashed where it is read.  Only those of several chunks are shuffled: their
+    chunks are streamed in order through SHA-256.  Chunks that two runs stored at once count once.
     """
+    first = F.when(F.col("chunk") == 0, F.struct((F.sha2("data", 256) == F.col("hash")).alias("intact"), F.octet_length("data").cast("long").alias("n_bytes")))
+    held = objects.select("hash", "chunk", first.alias("first")).groupBy("hash").agg(F.max("chunk").alias("last"), F.min("first").alias("first"))
+    single = held.filter("last = 0").select("hash", "first.n_bytes", "first.intact")
+    several = reliable_checkpoint(objects.filter("chunk > 0").select("hash").distinct())
+    n = several.count()
+    if not n:
+        return single
+    rows = objects.select("hash", "chunk", "data").join(F.broadcast(several) if n <= BROADCAST_NAMES else several, "hash", "left_semi")
+    return single.unionByName(_streamed(rows))
+
+
+def _streamed(objects: DataFrame) -> DataFrame:
+    """``read_back`` of objects of any number of chunks."""
 
     def run(batches):
         import pyarrow as pa

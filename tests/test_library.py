@@ -326,6 +326,15 @@ def test_paths_that_a_table_repeats_are_indexed_once(spark, tmp_path):
     assert sorted(r.content_hash for r in library.read("files").collect()) == sorted(r.content_hash for r in inv.collect())
 
 
+def test_objects_of_one_chunk_are_read_back_without_a_shuffle_of_bytes(spark):
+    """Only names, sizes and verdicts leave the scan, and no Python worker sees the bytes."""
+    rows = [(hashlib.sha256(d).hexdigest(), 0, d) for d in (b"", b"one", b"three")] + [("torn", 0, b"x")]
+    objects = spark.createDataFrame(rows, "hash string, chunk long, data binary")
+    found = O.read_back(objects)
+    assert {tuple(r) for r in found.collect()} == {(h, len(d), h != "torn") for h, _, d in rows}
+    assert "MapInArrow" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_objects_in_chunks(spark, tmp_path):
     sizes = {"empty": 0, "one": 5, "full": 4096, "more": 4097, "big": 300_001}
     data = {n: bytes(i * 31 % 251 for i in range(size)) for n, size in sizes.items()}
