@@ -45,6 +45,32 @@ def int_lists(chunks: Iterable[bytes]):
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(chunks), "<i4")))
 
 
+def by_bytes(batches: Iterable, column: int, limit: int) -> Iterator:
+    """The rows of Arrow batches in order, in batches of at most ``limit`` bytes of a text column, or one longer row.
+
+    A row counts 16 bytes more, so that empty texts are bounded, too.
+    """
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    held, size = [], 0
+    for batch in batches:
+        ends = np.cumsum(pc.binary_length(batch.column(column)).to_numpy().astype(np.int64) + 16)
+        start, begin = 0, 0
+        while start < batch.num_rows:
+            stop = int(np.searchsorted(ends, begin + limit - size, "right"))
+            if stop <= start and held:
+                yield pa.concat_batches(held)
+                held, size = [], 0
+                continue
+            stop = max(stop, start + 1)
+            held.append(batch.slice(start, stop - start))
+            size += int(ends[stop - 1]) - begin
+            start, begin = stop, int(ends[stop - 1])
+    if held:
+        yield pa.concat_batches(held)
+
+
 def int_rows(array) -> Iterator[np.ndarray]:
     """The rows of an Arrow list<int32> array as numpy views."""
     values = array.values.to_numpy(zero_copy_only=False)

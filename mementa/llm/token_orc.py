@@ -11,12 +11,11 @@ from __future__ import annotations
 import re
 import zlib
 from functools import lru_cache
-from itertools import pairwise
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from mementa.llm.common import gather, int_rows, text_of
+from mementa.llm.common import by_bytes, gather, int_rows, text_of
 
 STRIPE_BYTES = 32 << 20
 ROW_INDEX_STRIDE = 1000
@@ -24,7 +23,7 @@ BLOOM_FPP = 0.01
 # Known words of one worker, in two generations of this size at most: words met again survive.
 KNOWN_WORDS = 330_000
 # Bytes of the texts that are encoded together, and chunks whose ids are laid out together.
-TEXT_BYTES = 20 << 20
+TEXT_BYTES = 8 << 20
 CHUNKS_AT_ONCE = 500_000
 # White space that the tokenizer drops; Python also splits at separators that are words to the tokenizer.
 _SPLIT = re.compile(r"[ \t\n\r]+").split
@@ -35,6 +34,12 @@ _OTHER_SPACE = r"[\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}
 _LATIN = "A-Za-zÀ-ÖØ-öø-ÿ"
 _PARTS = re.compile(rf"^(?:([{_LATIN}]*)([!-&(-/:-@\[-`{{-~]*)|.*)$", re.MULTILINE).findall
 _WORDS_AT_ONCE = 500
+# Bytes: ASCII letters, capitals and marks, and the second bytes of the letters À to ÿ, whose first byte is 0xC3.
+_CODES = np.arange(256)
+_LETTER = np.isin(_CODES, np.frombuffer(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", np.uint8))
+_CAPITAL = (_CODES >= 65) & (_CODES <= 90)
+_MARK = (_CODES > 32) & (_CODES < 127) & ~_LETTER & ~((_CODES >= 48) & (_CODES <= 57))
+_ACCENTED = (_CODES >= 0x80) & (_CODES < 0xC0) & (_CODES != 0x97) & (_CODES != 0xB7)
 
 
 class ChunkEncoder:
@@ -56,6 +61,7 @@ class ChunkEncoder:
         suffix, vocabulary = self.library.model.end_of_word_suffix, self.library.get_vocab()
         self.last = np.zeros(max(vocabulary.values()) + 1, bool)
         self.last[[i for t, i in vocabulary.items() if suffix and t.endswith(suffix)]] = True
+        self.special = [token.content for token in self.library.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
@@ -80,28 +86,58 @@ class ChunkEncoder:
             self.known[chunk] = np.array(ids, "<u4").tobytes()
 
     def _pieces(self, chunks: list[str]) -> list[bytes]:
-        """The ids of distinct chunks; their words are looked up, and the new ones learnt."""
+        """The ids of distinct chunks; they are looked up, and the words of new ones learnt."""
         if len(self.known) > KNOWN_WORDS:
             self.known, self.older = {}, self.known
+        known, older = self.known, self.older
+        known[""] = b""
+        missing = [c for c in chunks if c not in known]
+        known.update([(c, older[c]) for c in missing if c in older])
+        missing = [c for c in missing if c not in known]
         # a chunk of another form has two empty parts; an empty part has no ids
-        heads, tails = map(list, zip(*_PARTS("\n".join(chunks)))) if chunks else ([], [])
+        heads, tails = map(list, zip(*_PARTS("\n".join(missing)))) if missing else ([], [])
         heads = "\n".join(heads).lower().split("\n")
-        others = [k for k, (a, b) in enumerate(zip(heads, tails)) if not a and not b]
-        odd = {chunks[k] for k in others}
-        known, older = self.known, self.older
-        missing = set(heads).union(tails, odd) - known.keys()
-        met = missing & older.keys()
+        words = set(heads).union(tails) - known.keys()
+        met = words & older.keys()
         known.update(zip(met, map(older.__getitem__, met)))
-        missing -= met
-        missing.discard("")
-        self._words(list(missing - odd))
-        self._others(list(missing & odd))
-        known[""] = b""
-        ids = known.__getitem__
-        pieces = list(map(bytes.__add__, map(ids, heads), map(ids, tails)))
-        for k in others:
-            pieces[k] = known[chunks[k]]
-        return pieces
+        self._words(list(words - met))
+        self._others([c for c, a, b in zip(missing, heads, tails) if not a and not b])
+        known.update([(c, known[a] + known[b]) for c, a, b in zip(missing, heads, tails) if c != a and c != b and (a or b)])
+        return list(map(known.__getitem__, chunks))
+
+    def _parted(self, texts):
+        """The texts with fewer distinct chunks and the same ids: small letters, and a space between a letter and a mark.
+
+        The tokenizer lower-cases, and cuts between a letter and a following mark, anyway.  Left as they are: texts that
+        hold a special token in any case, and capitals before other than ASCII, which may be a combining accent.
+        """
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        raw = texts.cast(pa.large_binary())
+        offsets = np.frombuffer(raw.buffers()[1], np.int64)[raw.offset : raw.offset + len(raw) + 1]
+        data = np.frombuffer(raw.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+        offsets = offsets - offsets[0]
+        if len(data) < 3:
+            return texts
+        free = np.ones(len(raw), bool)
+        for token in self.special:
+            free &= ~pc.match_substring(texts, token, ignore_case=True).to_numpy(zero_copy_only=False)
+        capital = _CAPITAL[data]
+        capital[:-1] &= data[1:] < 0x80
+        before = _LETTER[data]
+        before[1:] |= _ACCENTED[data[1:]] & (data[:-1] == 0xC3)
+        cut = _MARK[data]
+        cut[0] = False
+        cut[1:] &= before[:-1]
+        if not free.all():
+            inside = np.repeat(free, np.diff(offsets))
+            capital &= inside
+            cut &= inside
+        at = np.flatnonzero(cut)
+        spaced = np.insert(data + 32 * capital.view(np.uint8), at, 32)
+        moved = offsets + np.searchsorted(at, offsets)
+        return pa.LargeStringArray.from_buffers(len(raw), pa.py_buffer(moved), pa.py_buffer(spaced))
 
     def encode(self, texts, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(offsets, ids) of an Arrow array of texts, each followed by the id ``end``.
@@ -115,11 +151,10 @@ class ChunkEncoder:
         if pc.any(odd).as_py():
             plain = [" ".join(_SPLIT(t) if _SEPARATORS(t) else t.split()) if o else t for t, o in zip(texts.to_pylist(), odd.to_pylist())]
             texts = pa.array(plain, pa.string())
-        lists = pc.ascii_split_whitespace(texts)
+        lists = pc.ascii_split_whitespace(self._parted(texts))
         bounds = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy())])
         numbered = lists.flatten().dictionary_encode()
-        chunks = numbered.dictionary.to_pylist()
-        pieces = self._pieces(chunks)
+        pieces = self._pieces(numbered.dictionary.to_numpy(zero_copy_only=False).tolist())
         starts = np.zeros(len(pieces) + 1, np.int64)
         np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces)) // 4, out=starts[1:])
         picks = numbered.indices.to_numpy()
@@ -154,24 +189,20 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int, key: str =
 
     def run(batches):
         import pyarrow as pa
-        import pyarrow.compute as pc
         from pyspark import TaskContext
 
         encoder, part, skipped = _encoder(tokenizer), TaskContext.get().partitionId(), 0
-        for batch in batches:
-            ends = np.cumsum(pc.binary_length(batch.column(1)).to_numpy())
-            cuts = np.flatnonzero(np.diff(ends // TEXT_BYTES)) + 1
-            for start, stop in pairwise(sorted({0, batch.num_rows, *cuts.tolist()})):
-                some = batch.slice(start, stop - start)
-                offsets, ids = encoder.encode(some.column(1), end_id)
-                counts = np.diff(offsets)
-                before = skipped + offsets[:-1]
-                skipped += int(offsets[-1])
-                lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))
-                yield pa.RecordBatch.from_arrays(
-                    [some.column(0), pa.array([part] * some.num_rows, pa.int32()), pa.array(before, pa.int64()), pa.array(counts, pa.int64()), lists],
-                    ["key", "part", "skipped", "n_ids", "ids"],
-                )
+        # many texts together hold a word once, so the session's bound of batches does not count here
+        for some in by_bytes(batches, 1, TEXT_BYTES):
+            offsets, ids = encoder.encode(some.column(1), end_id)
+            counts = np.diff(offsets)
+            before = skipped + offsets[:-1]
+            skipped += int(offsets[-1])
+            lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))
+            yield pa.RecordBatch.from_arrays(
+                [some.column(0), pa.array([part] * some.num_rows, pa.int32()), pa.array(before, pa.int64()), pa.array(counts, pa.int64()), lists],
+                ["key", "part", "skipped", "n_ids", "ids"],
+            )
 
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(F.col(key).alias("key"), text_of(text).alias("text"))

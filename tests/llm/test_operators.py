@@ -477,6 +477,46 @@ def test_orc_batches_lose_no_rows(spark, tmp_path, monkeypatch, texts):
     assert [r["doc_id"] for r in token_orc.read(spark, str(tmp_path / "t")).orderBy("doc_id").collect()] == list(range(len(texts)))
 
 
+_PIECES = ["Word", "wORD", "H\u0331", "I\u0307", "É", "é", "×", "÷", "ÿ", "Σ", "'S", "'", "(", "<", ",'s", "=\u0338", "9", "\xa0", " ", "日",
+           "<|endoftext|>", "<|ENDOFTEXT|>", "\u212a", "\u0301", "ß.", "\n"]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(_PIECES), max_size=8).map("".join), max_size=8))
+def test_orc_parted_texts_keep_their_ids(texts):
+    """Small letters, and spaces before marks, leave accents, contractions and special tokens as they were."""
+    encoder = token_orc._encoder(WORD_TOKENIZER)
+    expected = [np.array(encoder.library.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert encoder.batch(texts) == expected
+
+
+def test_orc_looks_a_word_up_once(monkeypatch):
+    """Whatever its case and the marks after it."""
+    import pyarrow as pa
+
+    encoder, looked = token_orc.ChunkEncoder(WORD_TOKENIZER), []
+    pieces = encoder._pieces
+    monkeypatch.setattr(encoder, "_pieces", lambda chunks: looked.extend(chunks) or pieces(chunks))
+    encoder.encode(pa.array(["Same same, SAME. same; Über", "same über, über."], pa.string()))
+    assert sorted(looked) == sorted(["same", ",", ".", ";", "Über", "über"])
+
+
+def test_orc_texts_are_encoded_in_large_parts():
+    """The session's small batches are put together, and no row is lost or out of order."""
+    import pyarrow as pa
+
+    from mementa.llm.common import by_bytes
+
+    sizes = [0, 100, 84, 0, 84, 84, 84, 5000, 0, 84, 84]
+    rows = pa.record_batch([pa.array(range(len(sizes))), pa.array(["x" * n for n in sizes])], ["key", "text"])
+    for step in (1, 2, 4, 20):
+        parts = list(by_bytes((rows.slice(k, step) for k in range(0, len(sizes), step)), 1, 300))
+        assert [p.column(0).to_pylist() for p in parts] == [[0, 1, 2, 3], [4, 5, 6], [7], [8, 9, 10]]
+    small = pa.record_batch([pa.array([1] * 100), pa.array(["word " * 8000] * 100)], ["key", "text"])
+    parts = [p.num_rows for p in by_bytes([small] * 20, 1, token_orc.TEXT_BYTES)]
+    assert sum(parts) == 2000 and len(parts) == 10 and not list(by_bytes([small.slice(0, 0)], 1, 300))
+
+
 def test_orc_pruning(spark, tmp_path):
     frame = spark.range(20_000).select((F.col("id") * 2).alias("doc_id"), F.lit("some words").alias("text"))
     folder = str(tmp_path / "orc")
