@@ -189,3 +189,24 @@ def test_text_grids_hold_little_beside_their_batch():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert len(grids) == 10_000 and peak < 20_000_000
+
+
+def test_grid_of_a_long_text_holds_no_copy_of_it():
+    """One text of 32 MB: its bytes are summed where they lie, to the same cells."""
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    from mementa.plans.bindings import text_grids
+
+    n = 32_000_007
+    text = "abcdefg" * (n // 7) + "a" * (n % 7)
+    texts = pa.array([text, None, "b" * 300], pa.string())
+    tracemalloc.start()
+    grids = text_grids(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    raw = np.frombuffer(text.encode(), np.uint8)
+    cells = [int(raw[i * n // 272 : (i + 1) * n // 272].astype(np.int64).sum()) // ((i + 1) * n // 272 - i * n // 272) for i in range(272)]
+    assert grids.to_pylist() == [cells, None, [98] * 272] and peak < 2_000_000
